@@ -106,12 +106,6 @@ def segment_distance(
     return planar_distance(px, py, x1 + t * dx, y1 + t * dy)
 
 
-def shifted(ring: Column) -> Column:
-    """Pair every vertex with its successor: array of ``struct<a, b>``."""
-    follow = F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, 1, 1))
-    return F.arrays_zip(ring.alias("a"), follow.alias("b"))
-
-
 def edges_of(ring: Column) -> Column:
     """Closed ring as an array of ``struct<x1, y1, x2, y2>``; zero-length edges dropped."""
     n = F.size(ring)
