@@ -38,6 +38,32 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def tm_forward(lat: str, lon: str, epsg: int = 9680) -> Column:
+    """Projected position of two columns as ``struct<x, y>``; nulls give null fields.
+
+    The two one-element ``transform`` steps bind intermediate values to a name. Plain
+    nested columns would be copied wherever a filter or join key on ``x`` is pushed down,
+    and the expression grows past what one generated method may hold.
+    """
+    dlon = f"radians(`{lon}` - {MERIDIANS[epsg]}D)"
+    phi = f"radians(`{lat}`)"
+    e = f"{ECC!r}D"
+    conformal = f"sinh(atanh(sin({phi})) - {e} * atanh({e} * sin({phi})))"
+    sphere = (
+        f"transform(array({conformal}), t -> named_struct("
+        f"'xi', atan2(t, cos({dlon})), 'eta', atanh(sin({dlon}) / sqrt(1D + t * t))))"
+    )
+    east, north = "v.eta", "v.xi"
+    for j, a in enumerate(ALPHA, start=1):
+        east += f" + {a!r}D * cos({2 * j}D * v.xi) * sinh({2 * j}D * v.eta)"
+        north += f" + {a!r}D * sin({2 * j}D * v.xi) * cosh({2 * j}D * v.eta)"
+    k = f"{SCALE * RECTIFYING!r}D"
+    return F.expr(
+        f"transform({sphere}, v -> named_struct("
+        f"'x', {FALSE_EASTING!r}D + {k} * ({east}), 'y', {k} * ({north})))[0]"
+    )
+
+
 def project(
     df: DataFrame,
     lat: str = "lat",
@@ -46,23 +72,9 @@ def project(
     y: str = "y",
     epsg: int = 9680,
 ) -> DataFrame:
-    """Add projected metres ``x, y``; a null coordinate stays null."""
-    dlon = F.radians(F.col(lon) - F.lit(MERIDIANS[epsg]))
-    phi = F.radians(F.col(lat))
-    staged = df.withColumn(
-        "_t", F.sinh(F.atanh(F.sin(phi)) - F.lit(ECC) * F.atanh(F.lit(ECC) * F.sin(phi)))
-    ).withColumn("_xi", F.atan2(F.col("_t"), F.cos(dlon))).withColumn(
-        "_eta", F.atanh(F.sin(dlon) / F.sqrt(F.lit(1.0) + F.col("_t") * F.col("_t")))
-    )
-    east, north = F.col("_eta"), F.col("_xi")
-    for j, a in enumerate(ALPHA, start=1):
-        angle, hyper = F.lit(2.0 * j) * F.col("_xi"), F.lit(2.0 * j) * F.col("_eta")
-        east = east + F.lit(a) * F.cos(angle) * F.sinh(hyper)
-        north = north + F.lit(a) * F.sin(angle) * F.cosh(hyper)
-    k = SCALE * RECTIFYING
-    return staged.withColumns(
-        {x: F.lit(FALSE_EASTING) + F.lit(k) * east, y: F.lit(k) * north}
-    ).drop("_t", "_xi", "_eta")
+    """Add projected metres ``x, y``."""
+    placed = df.withColumn("_xy", tm_forward(lat, lon, epsg))
+    return placed.withColumns({x: F.col("_xy.x"), y: F.col("_xy.y")}).drop("_xy")
 
 
 def project_point(lat: float, lon: float, epsg: int = 9680) -> tuple[float, float]:

@@ -75,9 +75,9 @@ def near_duplicates(points: DataFrame, key: str, reach: float, leaf: int = spati
         .select("_cell", F.col("_other").alias("_grp"), "x", "y")
         .withColumn("_probe", F.struct("_cell", "_grp", "x", "y"))
     )
-    targets = spots.select(F.col("_cell").alias("_grp"), "x", "y").withColumn("_hit", F.lit(1))
+    targets = spots.select(F.col("_cell").alias("_grp"), "x", "y")
     linked = (
-        spatial.nearest(cut_lineage(probes, "probes"), targets, "_probe", ["_hit"], ["_grp"], distance="_d", leaf=leaf)
+        spatial.nearest(cut_lineage(probes, "probes"), targets, "_probe", (), ["_grp"], distance="_d", leaf=leaf)
         .filter(F.col("_d") <= reach)
         .select("_cell", "_grp")
         .distinct()

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.functions import geo
+from terrasift.session import cut_lineage
 
 LEAF = 256
 FAN = 8  # a cell splits into FAN x FAN children
@@ -70,10 +71,8 @@ class _Grid:
         return self.points.withColumns({"_cx": cx, "_cy": cy})
 
     def leaves(self) -> DataFrame:
-        """``on, cell -> pts``: the features of every finest cell."""
+        """``on, cell -> _pts``: the features of every finest cell (at most a leaf's worth)."""
         entry = F.struct(*[F.col(f) for f in self.fields])
-        if not self.sizes:
-            return self.points.groupBy(*self.on).agg(F.collect_list(entry).alias("_pts"))
         return (
             self._keyed(len(self.sizes) - 1)
             .groupBy(*self.on, "_cx", "_cy")
@@ -121,9 +120,9 @@ def _searched(
         unique = valid.groupBy(*on, *coords).agg(weight)
         fields = [*coords, "_w"]
     else:
-        best = F.min(F.struct(*payload)).alias("_pay")
-        unique = valid.groupBy(*on, *coords).agg(best, weight)
-        fields = [*coords, "_pay"]
+        best = [F.min(F.struct(*payload)).alias("_pay")] if payload else []
+        unique = valid.groupBy(*on, *coords).agg(*best, weight)
+        fields = [*coords, "_pay"] if payload else coords
     if shape == "point":
         box = {"_mx": "x", "_my": "y", "_x0": "x", "_y0": "y", "_x1": "x", "_y1": "y"}
         return unique.withColumns({k: F.col(v) for k, v in box.items()}), fields
@@ -143,22 +142,24 @@ def _searched(
 
 
 def _plan_sizes(points: DataFrame, on: Sequence[str], start: float | None, leaf: int) -> list[float]:
-    """Cell sizes needed so that no leaf holds more than ``leaf`` distinct geometries."""
-
-    def fullest(keys):
-        top = points.groupBy(*on, *keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-        return top[0] or 0
+    """Cell sizes needed so that no leaf holds more than ``leaf`` distinct geometries.
 
+    Empty when whole groups already fit and no ``start`` size is given.
+    """
     if start is None:
-        if fullest([]) <= leaf:
+        groups = points.groupBy(*on).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_mx").alias("a"), F.max("_mx").alias("b"),
+            F.min("_my").alias("c"), F.max("_my").alias("d"),
+        )
+        e = groups.agg(F.max("n"), F.min("a"), F.max("b"), F.min("c"), F.max("d")).first()
+        if (e[0] or 0) <= leaf:
             return []
-        e = points.agg(F.min("_mx"), F.max("_mx"), F.min("_my"), F.max("_my")).first()
-        start = max(e[1] - e[0], e[3] - e[2], MIN_CELL)
+        start = max(e[2] - e[1], e[4] - e[3], MIN_CELL)
     sizes = [start]
     while sizes[-1] / FAN > MIN_CELL:
         fine = sizes[-1]
-        here = fullest([F.floor(F.col("_mx") / fine), F.floor(F.col("_my") / fine)])
-        if here <= leaf:
+        cells = points.groupBy(*on, F.floor(F.col("_mx") / fine), F.floor(F.col("_my") / fine)).count()
+        if (cells.agg(F.max("count")).first()[0] or 0) <= leaf:
             break
         sizes.append(fine / FAN)
     return sizes
@@ -195,8 +196,14 @@ def _prune(joined: DataFrame, metric: str) -> DataFrame:
     """
     px, py = F.col("_px"), F.col("_py")
     surely = F.array_min(F.transform("_boxes", lambda b: _box_high(px, py, b, metric)))
-    capped = joined.withColumn("_cap", F.least("_cap", surely))
-    return _open(capped, F.filter("_boxes", lambda b: _box_low(px, py, b, metric) <= F.col("_cap")))
+    opened = joined.withColumn("_cap", F.least("_cap", surely)).select(
+        *[c for c in joined.columns if c not in ("_boxes", "_cap")], "_cap", F.explode("_boxes").alias("_box")
+    )
+    return (
+        opened.filter(_box_low(px, py, F.col("_box"), metric) <= F.col("_cap"))
+        .withColumns({"_cx": F.col("_box.cx"), "_cy": F.col("_box.cy")})
+        .drop("_box")
+    )
 
 
 def _descend(slim: DataFrame, grid: _Grid, reach: float | None, margin: float, metric: str) -> DataFrame:
@@ -235,36 +242,35 @@ def nearest(
     smallest payload. For segments under a ``reach``, ``max_half`` bounds half their extent.
     """
     points, fields = _searched(right, on, shape, payload, count=False)
+    points = cut_lineage(points, "searched")
     grid = _Grid(points, on, _plan_sizes(points, on, None if reach is None else 2 * reach, leaf), fields)
     px, py = F.col("_px"), F.col("_py")
-
-    def closest(pts: Column) -> Column:
-        scored = F.transform(
-            pts, lambda p: F.struct(_dist(metric, shape, px, py, p).alias("d"), p["_pay"].alias("pay"))
-        )
-        return F.array_min(scored)
-
-    found = [F.col("_best.d").alias(distance), *[F.col("_best.pay")[c].alias(c) for c in payload]]
-    if not grid.sizes and grid.on:
-        joined = left.withColumns({"_px": F.col("x"), "_py": F.col("y")}).join(
-            grid.leaves(), list(on), "left"
-        )
-        best = F.when(px.isNotNull() & py.isNotNull(), closest(F.col("_pts")))
-        return joined.withColumn("_best", best).select(*[left[c] for c in left.columns], *found)
     slim = left.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
         F.col(key).alias("_key"), *on, F.col("x").alias("_px"), F.col("y").alias("_py")
     )
-    if not grid.sizes:
-        hits = slim.withColumn("_pts", grid.leaves().select("_pts").scalar())
-    else:
+    entry = F.struct(*[F.col(f) for f in fields]).alias("_p")
+    if grid.sizes:
         cells = _descend(slim, grid, reach, max_half, metric)
-        hits = cells.join(grid.leaves(), [*grid.on, "_cx", "_cy"])
-    best = hits.select("_key", closest(F.col("_pts")).alias("_c")).filter("_c is not null")
+        hits = cells.join(grid.leaves(), [*grid.on, "_cx", "_cy"]).select(
+            "_key", "_px", "_py", F.explode("_pts").alias("_p")
+        )
+    elif grid.on:
+        hits = slim.join(points.select(*on, entry), list(on)).select("_key", "_px", "_py", "_p")
+    else:
+        # At most a leaf's worth of features in all.
+        few = points.select(entry).agg(F.collect_list("_p").alias("_pts"))
+        hits = slim.withColumn("_p", F.explode(few.scalar()))
+    scored = hits.select("_key", _dist(metric, shape, px, py, F.col("_p")).alias("d"), "_p")
     if reach is not None:
-        best = best.filter(F.col("_c.d") <= reach)
-    best = best.groupBy("_key").agg(F.min("_c").alias("_best"))
+        scored = scored.filter(F.col("d") <= reach)
+    if payload:
+        best = scored.groupBy("_key").agg(F.min(F.struct("d", F.col("_p._pay").alias("pay"))).alias("_best"))
+    else:
+        best = scored.groupBy("_key").agg(F.min("d").alias("d")).select("_key", F.struct("d").alias("_best"))
     return left.join(best, left[key] == best["_key"], "left").select(
-        *[left[c] for c in left.columns], *found
+        *[left[c] for c in left.columns],
+        F.col("_best.d").alias(distance),
+        *[F.col("_best.pay")[c].alias(c) for c in payload],
     )
 
 
@@ -273,9 +279,7 @@ def within(
     metric: str = "euclidean", strict: bool = False, how: str = "left_semi",
 ) -> DataFrame:
     """Semi or anti join on having any feature within ``reach`` (``strict``: closer than)."""
-    marked = nearest(
-        left, right.withColumn("_hit", F.lit(1)), key, ["_hit"], on, reach, metric, distance="_d"
-    )
+    marked = nearest(left, right, key, (), on, reach, metric, distance="_d")
     near = F.coalesce(F.col("_d") < reach if strict else F.col("_d") <= reach, F.lit(False))
     return marked.filter(near if how == "left_semi" else ~near).select(*left.columns)
 
@@ -290,6 +294,7 @@ def radius_count(
     skipped, and only cells the circle cuts are opened.
     """
     points, fields = _searched(right, on, "point", (), count=True)
+    points = cut_lineage(points, "counted")
     grid = _Grid(points, on, _plan_sizes(points, on, 2 * radius, leaf), fields)
     px, py = F.col("_px"), F.col("_py")
     slim = left.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
@@ -313,9 +318,11 @@ def radius_count(
             & (_box_high(px, py, b, "euclidean") > radius),
         )
         rows = _open(joined, cut)
-    hits = rows.join(grid.leaves(), [*grid.on, "_cx", "_cy"])
-    inside = F.filter("_pts", lambda p: _dist("euclidean", "point", px, py, p) <= radius)
-    counted = hits.select("_key", total(inside, "_w").alias("_n"))
+    hits = rows.join(grid.leaves(), [*grid.on, "_cx", "_cy"]).select(
+        "_key", "_px", "_py", F.explode("_pts").alias("_p")
+    )
+    inside = _dist("euclidean", "point", px, py, F.col("_p")) <= radius
+    counted = hits.filter(inside).select("_key", F.col("_p._w").cast("long").alias("_n"))
     for part in parts:
         counted = counted.unionByName(part)
     sums = counted.groupBy("_key").agg(F.sum("_n").alias("_n"))
