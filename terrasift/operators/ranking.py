@@ -24,49 +24,55 @@ def _ranges(df: DataFrame) -> int:
     return max(2, min(MAX_RANGES, wanted))
 
 
-def _below(keys: Sequence[Column], point: Sequence) -> Column:
-    """Lexicographic ``keys < point``."""
-    test = F.lit(False)
-    for key, value in reversed(list(zip(keys, point))):
-        test = (key < F.lit(value)) | ((key == F.lit(value)) & test)
+def _literal(value) -> str:
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"{value!r}D"
+    if isinstance(value, int):
+        return f"{value}L"
+    if isinstance(value, datetime.datetime):
+        return f"timestamp_micros({int(value.timestamp() * 1_000_000)}L)"
+    if isinstance(value, datetime.date):
+        return f"DATE'{value.isoformat()}'"
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'"
+
+
+def _below(point: Sequence) -> str:
+    """Lexicographic ``_keys < point``."""
+    test = "false"
+    for i, value in reversed(list(enumerate(point))):
+        v = _literal(value)
+        test = f"(_keys.k{i} < {v} OR (_keys.k{i} = {v} AND {test}))"
     return test
 
 
-def _locate(keys: Sequence[Column], points: list, low: int, high: int) -> Column:
+def _locate(points: list, low: int, high: int) -> str:
     """Range number by a balanced chain of comparisons."""
     if low == high:
-        return F.lit(low)
+        return str(low)
     middle = (low + high) // 2
-    return F.when(
-        _below(keys, points[middle]), _locate(keys, points, low, middle)
-    ).otherwise(_locate(keys, points, middle + 1, high))
+    return (
+        f"CASE WHEN {_below(points[middle])} THEN {_locate(points, low, middle)} "
+        f"ELSE {_locate(points, middle + 1, high)} END"
+    )
 
 
-def range_number(df: DataFrame, keys: Sequence[Column], ranges: int | None = None) -> Column:
-    """Expression for the range a row falls in; equal keys share a range.
+def in_ranges(df: DataFrame, keys: Sequence[Column], ranges: int | None = None) -> DataFrame:
+    """Add ``_range``, the key range a row falls in; equal keys share a range.
 
     The split points come from the rows with the smallest key hashes, a fixed-size and
     repeatable sample (one TakeOrdered job).
     """
     ranges = ranges or _ranges(df)
-    named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
-    names = [f"k{i}" for i in range(len(keys))]
+    keyed = df.withColumn("_keys", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
     sample = (
-        df.select(*named)
-        .orderBy(F.xxhash64(*names))
-        .limit(ranges * SAMPLE_PER_RANGE)
-        .collect()
+        keyed.select("_keys").orderBy(F.expr("xxhash64(_keys)")).limit(ranges * SAMPLE_PER_RANGE).collect()
     )
-    ordered = sorted({tuple(r) for r in sample})
-    if not ordered:
-        return F.lit(0)
-    step = len(ordered) / ranges
-    points = sorted({ordered[int(i * step)] for i in range(1, ranges)})
-    # A UTC session reads timestamps back as naive values in the driver's zone.
-    points = [
-        tuple(v.astimezone() if isinstance(v, datetime.datetime) else v for v in p) for p in points
-    ]
-    return _locate(list(keys), points, 0, len(points))
+    ordered = sorted({tuple(r[0]) for r in sample})
+    points = sorted({ordered[int(i * len(ordered) / ranges)] for i in range(1, ranges)}) if ordered else []
+    return keyed.selectExpr("*", f"{_locate(points, 0, len(points))} AS _range").drop("_keys")
 
 
 def ordinal(
@@ -82,7 +88,7 @@ def ordinal(
     ``weight`` the column is the running total of ``weight`` including the row.
     """
     keys = [F.col(c) for c in by] + list(order)
-    ranged = df.withColumn("_range", range_number(df, keys))
+    ranged = in_ranges(df, keys)
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
     totals = ranged.groupBy("_range", *by).agg(amount.alias("_amount"))
     # One row per range and group: small, since groups are contiguous across ranges.
@@ -99,7 +105,7 @@ def ordinal(
     return (
         ranged.join(offsets, ["_range", *by])
         .withColumn(name, local + F.col("_before"))
-        .select(*df.columns, name)
+        .drop("_range", "_before")
     )
 
 
@@ -112,7 +118,7 @@ def previous_row(
     at the last row of the range before it.
     """
     keys = [F.col(c) for c in by] + list(order)
-    ranged = df.withColumn("_range", range_number(df, keys))
+    ranged = in_ranges(df, keys)
     carried = F.struct(*[F.col(c) for c in columns])
     last = ranged.groupBy("_range", *by).agg(
         F.max_by(carried, F.struct(*order)).alias("_last")

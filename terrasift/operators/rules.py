@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from terrasift import config
 from terrasift.config import Rule, Technology
-from terrasift.functions import geo
 from terrasift.operators import spatial
 
 FEATURE_FIELDS = (
@@ -18,99 +17,67 @@ FEATURE_FIELDS = (
 )
 
 
-def polygon_edges(layer: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Polygon layer (``rings``) as one row per edge."""
-    edge = F.explode(F.flatten(F.transform("rings", geo.edges_of)))
-    return layer.select(*keep, edge.alias("_e")).select(*keep, "_e.x1", "_e.y1", "_e.x2", "_e.y2")
-
-
-def nearest_in_layer(
-    sites: DataFrame, layer: DataFrame, key: str, name: str, payload: Sequence[str],
-    on: Sequence[str] = ("district",), shape: str = "point",
+def nearest_by_layer(
+    sites: DataFrame, edges: DataFrame, key: str, layers: Sequence[str], payload: Sequence[str] = ("feature_id",),
+    polygons: DataFrame | None = None, global_layers: Sequence[str] = config.GLOBAL_LAYERS,
 ) -> DataFrame:
-    """Add ``name`` (metres) and ``<name>_feature`` for one mapped layer.
+    """Add ``dist_<layer>_m`` and ``dist_<layer>_m_feature`` for every layer in one pass.
 
-    ``shape`` is ``point``, ``segment`` or ``polygon``; inside a polygon the distance is 0.
-    Rows whose group has no feature stay null.
+    ``edges`` is ``layer, scope, x1, y1, x2, y2`` plus the payload (a point is a zero-length
+    edge); ``scope`` is the district, or ``*`` for layers searched everywhere. Inside a
+    polygon of ``polygons`` (``layer, scope, rings``) the distance is 0. Groups without
+    features stay null.
     """
-    if shape != "polygon":
-        found = spatial.nearest(sites, layer, key, payload, on, shape=shape, distance=name)
-    else:
-        edges = polygon_edges(layer, [*on, *payload])
-        found = spatial.nearest(sites, edges, key, payload, on, shape="segment", distance=name)
-        found = _zero_inside(found, sites, layer, key, name, payload, on)
-    packed = F.when(F.col(name).isNotNull(), F.struct(*payload)).alias(f"{name}_feature")
-    return found.select(*sites.columns, name, packed)
-
-
-def _zero_inside(found, sites, layer, key, name, payload, on):
-    scope = F.struct(*[F.col(c) for c in on]) if on else F.lit(0)
-    inside = spatial.point_in_polygon(
-        sites, layer.withColumn("_scope", scope), key, ["_scope", *payload], "x", "y", cell=5000.0
-    ) if not on else None
-    if inside is None:
-        # A site counts as inside only for polygons of its own group.
-        strips = spatial.polygon_strips(layer, 5000.0, [*on, *payload])
-        keyed = sites.select(
-            F.col(key).alias("_key"), *on, "x", "y",
-            F.floor(F.col("x") / 5000.0).alias("_cx"), F.floor(F.col("y") / 5000.0).alias("_cy"),
-        )
-        odd = F.pmod(geo.crossings(F.col("_edges"), F.col("x"), F.col("y")), F.lit(2)) == 1
-        hits = keyed.join(strips, [*on, "_cx", "_cy"]).filter(odd)
-    else:
-        hits = inside.filter(F.col("_scope").isNotNull()).withColumn("_key", F.col(key))
-    hits = hits.groupBy("_key").agg(F.min(F.struct(*payload)).alias("_in"))
-    joined = found.join(hits, found[key] == hits["_key"], "left")
-    got = F.col("_in").isNotNull()
-    return joined.select(
-        *[found[c] for c in sites.columns],
-        F.when(got, F.lit(0.0)).otherwise(found[name]).alias(name),
-        *[F.when(got, F.col("_in")[c]).otherwise(found[c]).alias(c) for c in payload],
+    listed = ", ".join(f"'{n}'" for n in layers)
+    everywhere = ", ".join(f"'{n}'" for n in global_layers) or "''"
+    asked = sites.selectExpr(key, "district", "x", "y", f"explode(array({listed})) AS layer").selectExpr(
+        key, "layer", f"CASE WHEN layer IN ({everywhere}) THEN '*' ELSE district END AS scope", "x", "y"
     )
+    best = spatial.nearest_best(asked, edges, [key, "layer"], payload, ["scope", "layer"], shape="segment")
+    if polygons is not None:
+        inside = spatial.containing(
+            asked.withColumn("_ask", F.expr(f"struct({key}, layer)")), polygons, "_ask",
+            list(payload), "x", "y", 5000.0, ["scope", "layer"],
+        ).selectExpr(f"_ask.{key} AS {key}", "_ask.layer AS layer", "named_struct('d', 0D, 'pay', _hit) AS _best")
+        best = best.unionByName(inside).groupBy(key, "layer").agg(F.expr("min(_best) AS _best"))
+    wide = best.groupBy(key).agg(*[F.expr(f"max(_best) FILTER (WHERE layer = '{n}') AS `{n}`") for n in layers])
+    out = [e for n in layers for e in (f"`{n}`.d AS dist_{n}_m", f"`{n}`.pay AS dist_{n}_m_feature")]
+    return sites.join(wide, key, "left").selectExpr("*", *out).drop(*layers)
 
 
-def fires(rule: Rule) -> Column:
+def point_edges(points: DataFrame, scope: str, payload: Sequence[str] = ("feature_id",)) -> DataFrame:
+    return points.selectExpr("layer", f"{scope} AS scope", *payload, "x AS x1", "y AS y1", "x AS x2", "y AS y2")
+
+
+def fires(rule: Rule) -> str:
     """A rule fires strictly inside its buffer; an unknown distance never fires."""
-    return F.coalesce(F.col(rule.distance) < F.lit(rule.buffer_m), F.lit(False))
+    return f"coalesce({rule.distance} < {rule.buffer_m!r}D, false)"
 
 
-def technology_flag(technology: Technology, column: str = "class") -> Column:
-    return F.coalesce(F.col(column).isin(*technology.flagged_classes), F.lit(False))
+def technology_flag(technology: Technology = config.TECHNOLOGY, column: str = "class") -> str:
+    names = ", ".join(f"'{c}'" for c in technology.flagged_classes)
+    return f"coalesce({column} IN ({names}), false)"
 
 
-def signal_columns(
-    rules: Sequence[Rule] = config.RULES, technology: Technology = config.TECHNOLOGY
-) -> dict[str, Column]:
-    """Signals in order: technology first, then the rules as configured."""
+def with_signals(
+    df: DataFrame, rules: Sequence[Rule] = config.RULES, technology: Technology = config.TECHNOLOGY
+) -> DataFrame:
+    """Add the signal columns; technology comes first, then the rules as configured."""
     flagged = technology_flag(technology)
-    hits = [F.when(flagged, F.lit(config.TECHNOLOGY_SIGNAL))] + [
-        F.when(fires(r), F.lit(r.id)) for r in rules
-    ]
-    score = F.when(flagged, F.lit(technology.severity)).otherwise(F.lit(0.0))
+    hits = [f"CASE WHEN {flagged} THEN '{config.TECHNOLOGY_SIGNAL}' END"]
+    score = [f"CASE WHEN {flagged} THEN {technology.severity!r}D ELSE 0D END"]
+    notes = []
     for r in rules:
-        score = score + F.when(fires(r), F.lit(r.severity)).otherwise(F.lit(0.0))
-    notes = [
-        F.when(
-            F.col(r.distance).isNull(),
-            F.lit(
-                f"{r.feature}: no readable boundary layer"
-                if r.feature in config.GLOBAL_LAYERS
-                else f"{r.feature}: no OSM data"
-            ),
-        )
-        for r in rules
-    ]
-    breached = F.filter(F.array(*hits), lambda s: s.isNotNull())
-    return {
-        "technology_flagged": flagged,
-        "breached_rules": breached,
-        "breach_count": F.size(breached),
-        "rule_signals_count": F.size(breached),
-        "breach_score": score,
-        "rule_data_notes": F.concat_ws("; ", *notes),
-        "rules_version": F.lit(config.RULES_VERSION),
-        "rules_verified": F.lit(not config.any_unverified(rules, technology)),
-    }
+        hits.append(f"CASE WHEN {fires(r)} THEN '{r.id}' END")
+        score.append(f"CASE WHEN {fires(r)} THEN {r.severity!r}D ELSE 0D END")
+        missing = "no readable boundary layer" if r.feature in config.GLOBAL_LAYERS else "no OSM data"
+        notes.append(f"CASE WHEN {r.distance} IS NULL THEN '{r.feature}: {missing}' END")
+    verified = str(not config.any_unverified(rules, technology)).lower()
+    return df.selectExpr(
+        "*", f"{flagged} AS technology_flagged", f"array_compact(array({', '.join(hits)})) AS breached_rules",
+        f"{' + '.join(score)} AS breach_score", f"concat_ws('; ', {', '.join(notes)}) AS rule_data_notes",
+        f"'{config.RULES_VERSION}' AS rules_version", f"{verified} AS rules_verified",
+    ).selectExpr("*", "size(breached_rules) AS breach_count", "size(breached_rules) AS rule_signals_count")
 
 
 def provenance(rules: Sequence[Rule] = config.RULES, technology: Technology = config.TECHNOLOGY) -> Column:
@@ -138,7 +105,7 @@ def provenance(rules: Sequence[Rule] = config.RULES, technology: Technology = co
 
     parts = [
         F.when(
-            technology_flag(technology),
+            F.expr(technology_flag(technology)),
             record(
                 config.TECHNOLOGY_SIGNAL, "technology",
                 "Model class signal only; no technology or legal status is established.",
@@ -152,7 +119,7 @@ def provenance(rules: Sequence[Rule] = config.RULES, technology: Technology = co
         source["source_layer_id"] = F.coalesce(source["source_layer_id"], F.lit(f"openstreetmap:{r.feature}"))
         parts.append(
             F.when(
-                fires(r),
+                F.expr(fires(r)),
                 record(
                     r.id, f"siting_rules.{r.id}",
                     "Mapped-feature screening signal; legal instrument mapping and applicability are unresolved.",
@@ -238,5 +205,5 @@ def traffic_light(rules: Sequence[Rule], near_factor: float = 1.5) -> tuple[Colu
 def flagged_for_review(rules: Sequence[Rule], count: str = "rule_signals_count") -> Column:
     flag = F.coalesce(F.col(count), F.lit(0)) > 0
     for r in rules:
-        flag = flag | fires(r)
+        flag = flag | F.expr(fires(r))
     return flag

@@ -14,178 +14,124 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.functions import geo
 from terrasift.session import cut_lineage
 
 LEAF = 256
 FAN = 8  # a cell splits into FAN x FAN children
 MIN_CELL = 1e-6
+SLACK = 1 + 1e-12  # pruning bounds are widened by rounding error, never the results
 
+METRICS = {
+    "euclidean": "sqrt(({0} - {2}) * ({0} - {2}) + ({1} - {3}) * ({1} - {3}))",
+    "chebyshev": "greatest(abs({0} - {2}), abs({1} - {3}))",
+}
+_NORMS = {"euclidean": "hypot({}, {})", "chebyshev": "greatest({}, {})"}
 
-def _metric(name: str):
-    if name not in ("euclidean", "chebyshev"):
-        raise ValueError(f"Unsupported metric: {name}")
-    return geo.planar_distance if name == "euclidean" else geo.chebyshev
 
-
-def _norm(dx: Column, dy: Column, metric: str) -> Column:
-    return F.sqrt(dx * dx + dy * dy) if metric == "euclidean" else F.greatest(dx, dy)
-
-
-def _box_low(px: Column, py: Column, b: Column, metric: str) -> Column:
-    """Smallest distance from a point to a box."""
-    zero = F.lit(0.0)
-    dx = F.greatest(zero, b["x0"] - px, px - b["x1"])
-    dy = F.greatest(zero, b["y0"] - py, py - b["y1"])
-    return _norm(dx, dy, metric)
+def box_low(b: str, metric: str = "euclidean") -> str:
+    """Smallest distance from ``(_px, _py)`` to a box."""
+    return _NORMS[metric].format(
+        f"greatest(0D, {b}.x0 - _px, _px - {b}.x1)", f"greatest(0D, {b}.y0 - _py, _py - {b}.y1)"
+    )
 
 
-def _box_high(px: Column, py: Column, b: Column, metric: str) -> Column:
-    """Largest distance from a point to a box: some feature is at most this far."""
-    dx = F.greatest(F.abs(px - b["x0"]), F.abs(px - b["x1"]))
-    dy = F.greatest(F.abs(py - b["y0"]), F.abs(py - b["y1"]))
-    return _norm(dx, dy, metric)
+def box_high(b: str, metric: str = "euclidean") -> str:
+    """Largest distance from ``(_px, _py)`` to a box: some feature is at most this far."""
+    return _NORMS[metric].format(
+        f"greatest(abs(_px - {b}.x0), abs(_px - {b}.x1))", f"greatest(abs(_py - {b}.y0), abs(_py - {b}.y1))"
+    )
 
 
-class _Grid:
-    """Hierarchy over the searched side. ``sizes`` runs from coarse to fine."""
+class Grid:
+    """Hierarchy over the searched side; ``sizes`` runs from coarse to fine."""
 
     def __init__(self, points: DataFrame, on: Sequence[str], sizes: list[float], fields: list[str]):
-        self.on, self.sizes, self.fields = list(on), sizes, fields
-        self.points = points
+        self.points, self.on, self.sizes, self.fields = points, list(on), sizes, fields
 
-    def _cells(self, level: int) -> tuple[Column, Column]:
+    def _keyed(self, level: int) -> DataFrame:
         """Cell index at a level, derived from the finest index so levels nest exactly."""
-        fine = self.sizes[-1]
-        shift = FAN ** (len(self.sizes) - 1 - level)
-        return (
-            F.floor(F.floor(F.col("_mx") / fine) / shift),
-            F.floor(F.floor(F.col("_my") / fine) / shift),
+        fine, shift = f"{self.sizes[-1]!r}D", FAN ** (len(self.sizes) - 1 - level)
+        return self.points.selectExpr(
+            "*", f"floor(floor(_mx / {fine}) / {shift}) AS _cx", f"floor(floor(_my / {fine}) / {shift}) AS _cy"
         )
 
-    def _keyed(self, level: int) -> DataFrame:
-        cx, cy = self._cells(level)
-        return self.points.withColumns({"_cx": cx, "_cy": cy})
-
     def leaves(self) -> DataFrame:
         """``on, cell -> _pts``: the features of every finest cell (at most a leaf's worth)."""
-        entry = F.struct(*[F.col(f) for f in self.fields])
-        return (
-            self._keyed(len(self.sizes) - 1)
-            .groupBy(*self.on, "_cx", "_cy")
-            .agg(F.collect_list(entry).alias("_pts"))
+        keyed = self._keyed(len(self.sizes) - 1)
+        return keyed.groupBy(*self.on, "_cx", "_cy").agg(
+            F.expr(f"collect_list(struct({', '.join(self.fields)})) AS _pts")
         )
 
     def children(self, level: int) -> DataFrame:
         """``on, cell at level -> boxes of its children`` (at most FAN squared)."""
-        return self._boxes(self._keyed(level + 1), level + 1, FAN)
+        up = self._boxes(level + 1).selectExpr(
+            *self.on, f"floor(_cx / {FAN}) AS _ux", f"floor(_cy / {FAN}) AS _uy", "_box"
+        )
+        grouped = up.groupBy(*self.on, "_ux", "_uy").agg(F.expr("collect_list(_box) AS _boxes"))
+        return grouped.withColumnsRenamed({"_ux": "_cx", "_uy": "_cy"})
 
     def roots(self) -> DataFrame:
         """``on -> boxes of the coarsest cells`` (a handful, as they span the extent)."""
-        return self._boxes(self._keyed(0), 0, None)
-
-    def _boxes(self, keyed: DataFrame, level: int, fan: int | None) -> DataFrame:
-        boxes = keyed.groupBy(*self.on, "_cx", "_cy").agg(
-            F.min("_x0").alias("x0"),
-            F.min("_y0").alias("y0"),
-            F.max("_x1").alias("x1"),
-            F.max("_y1").alias("y1"),
-            F.sum("_w").alias("w"),
-        )
-        entry = F.struct(
-            F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), "x0", "y0", "x1", "y1", "w"
+        return self._boxes(0).groupBy(*self.on).agg(F.expr("collect_list(_box) AS _boxes"))
+
+    def _boxes(self, level: int) -> DataFrame:
+        boxes = self._keyed(level).groupBy(*self.on, "_cx", "_cy").agg(
+            F.expr("min(_x0) AS x0"), F.expr("min(_y0) AS y0"), F.expr("max(_x1) AS x1"),
+            F.expr("max(_y1) AS y1"), F.expr("sum(_w) AS w"),
         )
-        if fan is None:
-            return boxes.groupBy(*self.on).agg(F.collect_list(entry).alias("_boxes"))
-        parent = {"_px": F.floor(F.col("_cx") / fan), "_py": F.floor(F.col("_cy") / fan)}
-        return (
-            boxes.withColumns(parent)
-            .groupBy(*self.on, "_px", "_py")
-            .agg(F.collect_list(entry).alias("_boxes"))
-            .withColumnsRenamed({"_px": "_cx", "_py": "_cy"})
+        return boxes.selectExpr(
+            "*", "named_struct('cx', _cx, 'cy', _cy, 'x0', x0, 'y0', y0, 'x1', x1, 'y1', y1, 'w', w) AS _box"
         )
 
 
 def _searched(
-    right: DataFrame, on: Sequence[str], shape: str, payload: Sequence[str], count: bool
+    right: DataFrame, on: Sequence[str], shape: str, payload: Sequence[str]
 ) -> tuple[DataFrame, list[str]]:
-    """Distinct geometries per group with their box; copies collapse here."""
+    """Distinct geometries per group with their box, written once; copies collapse here."""
     coords = ["x", "y"] if shape == "point" else ["x1", "y1", "x2", "y2"]
-    valid = right.filter(" and ".join(f"{c} is not null" for c in [*coords, *on]))
-    weight = F.count(F.lit(1)).alias("_w")
-    if count:
-        unique = valid.groupBy(*on, *coords).agg(weight)
-        fields = [*coords, "_w"]
-    else:
-        best = [F.min(F.struct(*payload)).alias("_pay")] if payload else []
-        unique = valid.groupBy(*on, *coords).agg(*best, weight)
-        fields = [*coords, "_pay"] if payload else coords
-    if shape == "point":
-        box = {"_mx": "x", "_my": "y", "_x0": "x", "_y0": "y", "_x1": "x", "_y1": "y"}
-        return unique.withColumns({k: F.col(v) for k, v in box.items()}), fields
-    return (
-        unique.withColumns(
-            {
-                "_mx": (F.col("x1") + F.col("x2")) / 2,
-                "_my": (F.col("y1") + F.col("y2")) / 2,
-                "_x0": F.least("x1", "x2"),
-                "_y0": F.least("y1", "y2"),
-                "_x1": F.greatest("x1", "x2"),
-                "_y1": F.greatest("y1", "y2"),
-            }
-        ),
-        fields,
+    valid = right.filter(" AND ".join(f"{c} IS NOT NULL" for c in [*coords, *on]))
+    best = [F.expr(f"min(struct({', '.join(payload)})) AS _pay")] if payload else []
+    unique = valid.groupBy(*on, *coords).agg(*best, F.expr("count(1) AS _w"))
+    ax, ay, bx, by = coords if shape != "point" else ["x", "y", "x", "y"]
+    boxed = unique.selectExpr(
+        "*", f"({ax} + {bx}) / 2 AS _mx", f"({ay} + {by}) / 2 AS _my",
+        f"least({ax}, {bx}, {ax}) AS _x0", f"least({ay}, {by}, {ay}) AS _y0",
+        f"greatest({ax}, {bx}, {ax}) AS _x1", f"greatest({ay}, {by}, {ay}) AS _y1",
     )
+    return cut_lineage(boxed, "searched"), coords + (["_pay"] if payload else [])
 
 
-def _plan_sizes(points: DataFrame, on: Sequence[str], start: float | None, leaf: int) -> list[float]:
+def plan_sizes(points: DataFrame, on: Sequence[str], start: float | None, leaf: int) -> list[float]:
     """Cell sizes needed so that no leaf holds more than ``leaf`` distinct geometries.
 
     Empty when whole groups already fit and no ``start`` size is given.
     """
     if start is None:
         groups = points.groupBy(*on).agg(
-            F.count(F.lit(1)).alias("n"), F.min("_mx").alias("a"), F.max("_mx").alias("b"),
-            F.min("_my").alias("c"), F.max("_my").alias("d"),
+            F.expr("count(1) AS n"), F.expr("min(_mx) AS a"), F.expr("max(_mx) AS b"),
+            F.expr("min(_my) AS c"), F.expr("max(_my) AS d"),
         )
-        e = groups.agg(F.max("n"), F.min("a"), F.max("b"), F.min("c"), F.max("d")).first()
-        if (e[0] or 0) <= leaf:
+        n, a, b, c, d = groups.selectExpr("max(n)", "min(a)", "max(b)", "min(c)", "max(d)").first()
+        if (n or 0) <= leaf:
             return []
-        start = max(e[2] - e[1], e[4] - e[3], MIN_CELL)
+        start = max(b - a, d - c, MIN_CELL)
     sizes = [start]
     while sizes[-1] / FAN > MIN_CELL:
-        fine = sizes[-1]
-        cells = points.groupBy(*on, F.floor(F.col("_mx") / fine), F.floor(F.col("_my") / fine)).count()
-        if (cells.agg(F.max("count")).first()[0] or 0) <= leaf:
+        cells = points.groupBy(*on, F.expr(f"floor(_mx / {sizes[-1]!r}D)"), F.expr(f"floor(_my / {sizes[-1]!r}D)"))
+        if (cells.count().selectExpr("max(count)").first()[0] or 0) <= leaf:
             break
-        sizes.append(fine / FAN)
+        sizes.append(sizes[-1] / FAN)
     return sizes
 
 
-def _dist(metric: str, shape: str, px: Column, py: Column, p: Column) -> Column:
-    if shape == "point":
-        return _metric(metric)(px, py, p["x"], p["y"])
-    return geo.segment_distance(px, py, p["x1"], p["y1"], p["x2"], p["y2"])
-
-
-def _around(slim: DataFrame, size: float, reach: float) -> DataFrame:
+def around(rows: DataFrame, size: float, reach: float) -> DataFrame:
     """Pair searching rows with the (at most four) cells their reach touches."""
-
-    def span(c: str) -> Column:
-        return F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size))
-
-    return slim.withColumn("_cx", F.explode(span("_px"))).withColumn("_cy", F.explode(span("_py")))
-
-
-def _open(joined: DataFrame, chosen: Column) -> DataFrame:
-    """One row per chosen box, standing on that box's cell."""
-    return (
-        joined.withColumn("_box", F.explode(chosen))
-        .withColumns({"_cx": F.col("_box.cx"), "_cy": F.col("_box.cy")})
-        .drop("_box", "_boxes")
+    span = "explode(sequence(floor(({0} - {1!r}D) / {2!r}D), floor(({0} + {1!r}D) / {2!r}D))) AS {3}"
+    return rows.selectExpr("*", span.format("_px", float(reach), size, "_cx")).selectExpr(
+        "*", span.format("_py", float(reach), size, "_cy")
     )
 
 
@@ -194,84 +140,89 @@ def _prune(joined: DataFrame, metric: str) -> DataFrame:
 
     ``_cap`` is a distance within which some feature is known to lie.
     """
-    px, py = F.col("_px"), F.col("_py")
-    surely = F.array_min(F.transform("_boxes", lambda b: _box_high(px, py, b, metric)))
-    opened = joined.withColumn("_cap", F.least("_cap", surely)).select(
-        *[c for c in joined.columns if c not in ("_boxes", "_cap")], "_cap", F.explode("_boxes").alias("_box")
-    )
+    high = box_high("b", metric)
     return (
-        opened.filter(_box_low(px, py, F.col("_box"), metric) <= F.col("_cap"))
-        .withColumns({"_cx": F.col("_box.cx"), "_cy": F.col("_box.cy")})
-        .drop("_box")
+        joined.selectExpr("*", f"least(_cap, {SLACK!r}D * array_min(transform(_boxes, b -> {high}))) AS _new")
+        .selectExpr("*", "explode(_boxes) AS _box")
+        .drop("_cap", "_boxes")
+        .filter(f"{box_low('_box', metric)} <= _new")
+        .selectExpr("*", "_new AS _cap", "_box.cx AS _cx", "_box.cy AS _cy")
+        .drop("_new", "_box")
     )
 
 
-def _descend(slim: DataFrame, grid: _Grid, reach: float | None, margin: float, metric: str) -> DataFrame:
+def _descend(slim: DataFrame, grid: Grid, reach: float | None, margin: float, metric: str) -> DataFrame:
     """Walk searching rows down to the leaves worth opening."""
-    rows = slim.withColumn("_cap", F.lit(float("inf") if reach is None else reach))
+    cap = "double('infinity')" if reach is None else f"{float(reach) * SLACK!r}D"
+    rows = slim.selectExpr("*", f"{cap} AS _cap")
     if reach is not None:
-        rows = _around(rows, grid.sizes[0], reach + margin)
+        rows = around(rows, grid.sizes[0], (reach + margin) * SLACK)
     elif grid.on:
         rows = _prune(rows.join(grid.roots(), grid.on), metric)
     else:
         rows = _prune(rows.withColumn("_boxes", grid.roots().select("_boxes").scalar()), metric)
     for level in range(len(grid.sizes) - 1):
-        joined = rows.join(grid.children(level), [*grid.on, "_cx", "_cy"]).drop("_cx", "_cy")
-        rows = _prune(joined, metric)
+        rows = _prune(rows.join(grid.children(level), [*grid.on, "_cx", "_cy"]).drop("_cx", "_cy"), metric)
     return rows
 
 
-def nearest(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    payload: Sequence[str],
-    on: Sequence[str] = (),
-    reach: float | None = None,
-    metric: str = "euclidean",
-    shape: str = "point",
-    distance: str = "distance",
-    max_half: float = 0.0,
-    leaf: int = LEAF,
+def nearest_best(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], payload: Sequence[str] = (),
+    on: Sequence[str] = (), reach: float | None = None, metric: str = "euclidean",
+    shape: str = "point", max_half: float = 0.0, leaf: int = LEAF,
 ) -> DataFrame:
-    """Left join every row to its nearest feature within the same ``on`` group.
-
-    ``left`` has ``x, y`` and a unique ``key``; ``right`` has ``x, y`` (or ``x1, y1, x2, y2``
-    for ``shape='segment'``). Adds ``distance`` and the payload columns, null where the
-    group is empty or everything is further than ``reach``. Equal distances take the
-    smallest payload. For segments under a ``reach``, ``max_half`` bounds half their extent.
-    """
-    points, fields = _searched(right, on, shape, payload, count=False)
-    points = cut_lineage(points, "searched")
-    grid = _Grid(points, on, _plan_sizes(points, on, None if reach is None else 2 * reach, leaf), fields)
-    px, py = F.col("_px"), F.col("_py")
-    slim = left.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
-        F.col(key).alias("_key"), *on, F.col("x").alias("_px"), F.col("y").alias("_py")
+    """``keys, _best struct<d, pay>`` for the rows of ``left`` that have a nearest feature."""
+    if metric not in METRICS:
+        raise ValueError(f"Unsupported metric: {metric}")
+    points, fields = _searched(right, on, shape, payload)
+    grid = Grid(points, on, plan_sizes(points, on, None if reach is None else 2.0 * reach, leaf), fields)
+    slim = left.filter("x IS NOT NULL AND y IS NOT NULL").selectExpr(
+        *dict.fromkeys([*keys, *on]), "x AS _px", "y AS _py"
     )
-    entry = F.struct(*[F.col(f) for f in fields]).alias("_p")
+    entry = f"struct({', '.join(fields)}) AS _p"
     if grid.sizes:
         cells = _descend(slim, grid, reach, max_half, metric)
-        hits = cells.join(grid.leaves(), [*grid.on, "_cx", "_cy"]).select(
-            "_key", "_px", "_py", F.explode("_pts").alias("_p")
-        )
+        hits = cells.join(grid.leaves(), [*grid.on, "_cx", "_cy"]).selectExpr(*keys, "_px", "_py", "explode(_pts) AS _p")
     elif grid.on:
-        hits = slim.join(points.select(*on, entry), list(on)).select("_key", "_px", "_py", "_p")
+        hits = slim.join(points.selectExpr(*on, entry), list(on))
     else:
         # At most a leaf's worth of features in all.
-        few = points.select(entry).agg(F.collect_list("_p").alias("_pts"))
-        hits = slim.withColumn("_p", F.explode(few.scalar()))
-    scored = hits.select("_key", _dist(metric, shape, px, py, F.col("_p")).alias("d"), "_p")
+        few = points.selectExpr(entry).agg(F.expr("collect_list(_p) AS _pts"))
+        hits = slim.withColumn("_pts", few.scalar()).selectExpr(*keys, "_px", "_py", "explode(_pts) AS _p")
+    if shape == "segment":
+        dx, dy = "(_p.x2 - _p.x1)", "(_p.y2 - _p.y1)"
+        squared = f"({dx} * {dx} + {dy} * {dy})"
+        hits = hits.selectExpr(
+            "*",
+            f"greatest(0D, least(1D, CASE WHEN {squared} > 0 THEN ((_px - _p.x1) * {dx} + (_py - _p.y1) * {dy}) "
+            f"/ {squared} ELSE 0D END)) AS _t",
+        )
+        d = METRICS[metric].format("_px", "_py", f"(_p.x1 + _t * {dx})", f"(_p.y1 + _t * {dy})")
+    else:
+        d = METRICS[metric].format("_px", "_py", "_p.x", "_p.y")
+    scored = hits.selectExpr(*keys, f"{d} AS d", "_p")
     if reach is not None:
-        scored = scored.filter(F.col("d") <= reach)
+        scored = scored.filter(f"d <= {float(reach)!r}D")
     if payload:
-        best = scored.groupBy("_key").agg(F.min(F.struct("d", F.col("_p._pay").alias("pay"))).alias("_best"))
-    else:
-        best = scored.groupBy("_key").agg(F.min("d").alias("d")).select("_key", F.struct("d").alias("_best"))
-    return left.join(best, left[key] == best["_key"], "left").select(
-        *[left[c] for c in left.columns],
-        F.col("_best.d").alias(distance),
-        *[F.col("_best.pay")[c].alias(c) for c in payload],
-    )
+        return scored.groupBy(*keys).agg(F.expr("min(named_struct('d', d, 'pay', _p._pay)) AS _best"))
+    return scored.groupBy(*keys).agg(F.expr("min(d) AS d")).selectExpr(*keys, "struct(d) AS _best")
+
+
+def nearest(
+    left: DataFrame, right: DataFrame, key: str, payload: Sequence[str] = (), on: Sequence[str] = (),
+    reach: float | None = None, metric: str = "euclidean", shape: str = "point",
+    distance: str = "distance", max_half: float = 0.0, leaf: int = LEAF,
+) -> DataFrame:
+    """Left join every row to its nearest feature within the same ``on`` group.
+
+    ``left`` has ``x, y`` and a unique ``key``; ``right`` has ``x, y`` (or ``x1, y1, x2, y2``
+    for ``shape='segment'``). Adds ``distance`` and the payload columns, null where the
+    group is empty or everything is further than ``reach``. Equal distances take the
+    smallest payload. For segments under a ``reach``, ``max_half`` bounds half their extent.
+    """
+    best = nearest_best(left, right, [key], payload, on, reach, metric, shape, max_half, leaf)
+    out = [f"_best.d AS {distance}", *[f"_best.pay.{c} AS {c}" for c in payload]]
+    return left.join(best, key, "left").selectExpr("*", *out).drop("_best")
 
 
 def within(
@@ -279,9 +230,9 @@ def within(
     metric: str = "euclidean", strict: bool = False, how: str = "left_semi",
 ) -> DataFrame:
     """Semi or anti join on having any feature within ``reach`` (``strict``: closer than)."""
-    marked = nearest(left, right, key, (), on, reach, metric, distance="_d")
-    near = F.coalesce(F.col("_d") < reach if strict else F.col("_d") <= reach, F.lit(False))
-    return marked.filter(near if how == "left_semi" else ~near).select(*left.columns)
+    best = nearest_best(left, right, [key], (), on, reach, metric)
+    near = best.filter(f"_best.d {'<' if strict else '<='} {float(reach)!r}D").select(key)
+    return left.join(near, key, how)
 
 
 def radius_count(
@@ -293,72 +244,39 @@ def radius_count(
     Cells wholly inside the circle add their stored count, cells wholly outside are
     skipped, and only cells the circle cuts are opened.
     """
-    points, fields = _searched(right, on, "point", (), count=True)
-    points = cut_lineage(points, "counted")
-    grid = _Grid(points, on, _plan_sizes(points, on, 2 * radius, leaf), fields)
-    px, py = F.col("_px"), F.col("_py")
-    slim = left.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(
-        F.col(key).alias("_key"), *on, F.col("x").alias("_px"), F.col("y").alias("_py")
+    points, fields = _searched(right, on, "point", ())
+    fields = [*fields, "_w"]
+    grid = Grid(points, on, plan_sizes(points, on, 2.0 * radius, leaf), fields)
+    r = f"{float(radius)!r}D"
+    slim = left.filter("x IS NOT NULL AND y IS NOT NULL").selectExpr(
+        *dict.fromkeys([key, *on]), "x AS _px", "y AS _py"
     )
-    rows = _around(slim, grid.sizes[0], radius)
+    rows = around(slim, grid.sizes[0], radius * SLACK)
     parts = []
-
-    def total(entries: Column, weight: str) -> Column:
-        return F.aggregate(
-            entries, F.lit(0).cast("long"), lambda acc, e: acc + e[weight].cast("long")
-        )
-
     for level in range(len(grid.sizes) - 1):
-        joined = rows.join(grid.children(level), [*grid.on, "_cx", "_cy"]).drop("_cx", "_cy")
-        inner = F.filter("_boxes", lambda b: _box_high(px, py, b, "euclidean") <= radius)
-        parts.append(joined.select("_key", total(inner, "w").alias("_n")))
-        cut = F.filter(
-            "_boxes",
-            lambda b: (_box_low(px, py, b, "euclidean") <= radius)
-            & (_box_high(px, py, b, "euclidean") > radius),
-        )
-        rows = _open(joined, cut)
-    hits = rows.join(grid.leaves(), [*grid.on, "_cx", "_cy"]).select(
-        "_key", "_px", "_py", F.explode("_pts").alias("_p")
-    )
-    inside = _dist("euclidean", "point", px, py, F.col("_p")) <= radius
-    counted = hits.filter(inside).select("_key", F.col("_p._w").cast("long").alias("_n"))
+        rows, inside = step_inside(rows, grid, level, f"{box_high('b')} * {SLACK!r}D <= {r}", f"{box_low('b')} <= {r} * {SLACK!r}D")
+        parts.append(inside.selectExpr(key, "cast(_sum AS bigint) AS _n"))
+    hits = rows.join(grid.leaves(), [*grid.on, "_cx", "_cy"]).selectExpr(key, "_px", "_py", "explode(_pts) AS _p")
+    near = METRICS["euclidean"].format("_px", "_py", "_p.x", "_p.y")
+    counted = hits.filter(f"{near} <= {r}").selectExpr(key, "_p._w AS _n")
     for part in parts:
         counted = counted.unionByName(part)
-    sums = counted.groupBy("_key").agg(F.sum("_n").alias("_n"))
-    return left.join(sums, left[key] == sums["_key"], "left").select(
-        *[left[c] for c in left.columns], F.coalesce("_n", F.lit(0)).cast("long").alias(name)
-    )
+    sums = counted.groupBy(key).agg(F.expr("sum(_n) AS _n"))
+    return left.join(sums, key, "left").selectExpr("*", f"coalesce(_n, 0L) AS {name}").drop("_n")
 
 
-def radius_pairs(
-    left: DataFrame, right: DataFrame, radius: float, keep: Sequence[str], half: str | None = None
-) -> DataFrame:
-    """All pairs closer than ``radius`` plus the feature's own half extent (a candidate set
-    for area clipping, whose output is one value per pair).
-
-    The searched side is copied to the cells its reach touches; the searching side stays.
-    """
-    reach = F.lit(radius) if half is None else F.lit(radius) + F.col(half)
-    size = 2.0 * radius
-
-    def span(c: str) -> Column:
-        return F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size))
-
-    spread = (
-        right.withColumn("_reach", reach)
-        .withColumn("_cx", F.explode(span("x")))
-        .withColumn("_cy", F.explode(span("y")))
-        .withColumnsRenamed({"x": "_rx", "y": "_ry"})
-        .select(*keep, "_rx", "_ry", "_reach", "_cx", "_cy")
+def step_inside(rows: DataFrame, grid: Grid, level: int, inside: str, touched: str) -> tuple[DataFrame, DataFrame]:
+    """One level down: rows on the cells to open, and per row the weight of whole cells."""
+    joined = rows.join(grid.children(level), [*grid.on, "_cx", "_cy"]).drop("_cx", "_cy")
+    whole = joined.selectExpr(
+        "*", f"aggregate(filter(_boxes, b -> {inside}), 0D, (acc, b) -> acc + b.w) AS _sum"
     )
-    keyed = left.withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
-    d = geo.planar_distance(F.col("x"), F.col("y"), F.col("_rx"), F.col("_ry"))
-    return (
-        keyed.join(spread, ["_cx", "_cy"])
-        .filter(d <= F.col("_reach"))
-        .select(*left.columns, *keep)
+    cut = (
+        joined.selectExpr("*", f"explode(filter(_boxes, b -> NOT ({inside}) AND {touched})) AS _box")
+        .selectExpr("*", "_box.cx AS _cx", "_box.cy AS _cy")
+        .drop("_box", "_boxes")
     )
+    return cut, whole
 
 
 def polygon_strips(polygons: DataFrame, cell: float, keep: Sequence[str]) -> DataFrame:
@@ -368,23 +286,54 @@ def polygon_strips(polygons: DataFrame, cell: float, keep: Sequence[str]) -> Dat
     not lie wholly to its west, so a border of a million vertices is never scanned whole.
     ``rings`` is an array of rings; holes and several parts work through even-odd counts.
     """
-    edges = F.flatten(F.transform("rings", geo.edges_of))
-    listed = (
-        polygons.withColumn("_west", F.floor(F.array_min(F.transform(F.flatten("rings"), lambda p: p["x"])) / cell))
-        .withColumn("_e", F.explode(edges))
-        .withColumns(
-            {
-                "_lo": F.floor(F.least("_e.y1", "_e.y2") / cell),
-                "_hi": F.floor(F.greatest("_e.y1", "_e.y2") / cell),
-                "_right": F.floor(F.greatest("_e.x1", "_e.x2") / cell),
-            }
+    c = f"{float(cell)!r}D"
+    return (
+        polygon_edges(polygons, [*keep, f"floor(array_min(transform(flatten(rings), p -> p.x)) / {c}) AS _west"])
+        .selectExpr(
+            *keep, "_west", "struct(x1, y1, x2, y2) AS _e",
+            f"explode(sequence(floor(least(y1, y2) / {c}), floor(greatest(y1, y2) / {c}))) AS _cy",
         )
+        .selectExpr("*", f"explode(sequence(_west, floor(greatest(_e.x1, _e.x2) / {c}))) AS _cx")
+        .groupBy(*keep, "_cx", "_cy")
+        .agg(F.expr("collect_list(_e) AS _edges"))
     )
+
+
+def polygon_edges(polygons: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Polygons (``rings``) as one row per edge ``x1, y1, x2, y2``."""
+    edge = (
+        "named_struct('x1', r[i].x, 'y1', r[i].y, 'x2', r[(i + 1) % size(r)].x, 'y2', r[(i + 1) % size(r)].y)"
+    )
+    per_ring = f"transform(rings, r -> transform(sequence(0, size(r) - 1), i -> {edge}))"
+    names = [k.split(" AS ")[-1] for k in keep]
     return (
-        listed.withColumn("_cy", F.explode(F.sequence("_lo", "_hi")))
-        .withColumn("_cx", F.explode(F.sequence("_west", "_right")))
-        .groupBy(*keep, "_cx", "_cy")
-        .agg(F.collect_list("_e").alias("_edges"))
+        polygons.selectExpr(*keep, f"explode(flatten({per_ring})) AS _e")
+        .selectExpr(*names, "_e.x1", "_e.y1", "_e.x2", "_e.y2")
+        .filter("x1 <> x2 OR y1 <> y2")
+    )
+
+
+CROSSINGS = (
+    "size(filter(_edges, e -> (e.y1 > {y}) <> (e.y2 > {y}) AND "
+    "{x} < e.x1 + ({y} - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1)))"
+)
+
+
+def containing(
+    points: DataFrame, polygons: DataFrame, key: str, keep: Sequence[str],
+    x: str = "lon", y: str = "lat", cell: float = 0.25, on: Sequence[str] = (),
+) -> DataFrame:
+    """``key, _hit``: the smallest ``keep`` record among the polygons containing the point."""
+    strips = polygon_strips(polygons, cell, list(dict.fromkeys([*on, *keep])))
+    c = f"{float(cell)!r}D"
+    keyed = points.selectExpr(
+        *dict.fromkeys([key, *on]), f"{x} AS _px", f"{y} AS _py", f"floor({x} / {c}) AS _cx", f"floor({y} / {c}) AS _cy"
+    )
+    return (
+        keyed.join(strips, [*on, "_cx", "_cy"])
+        .filter(f"{CROSSINGS.format(x='_px', y='_py')} % 2 = 1")
+        .groupBy(key)
+        .agg(F.expr(f"min(struct({', '.join(keep)})) AS _hit"))
     )
 
 
@@ -396,19 +345,7 @@ def point_in_polygon(
 
     ``how='left_semi'`` keeps only contained points, adding no columns.
     """
-    strips = polygon_strips(polygons, cell, keep)
-    keyed = points.withColumns(
-        {"_cx": F.floor(F.col(x) / cell), "_cy": F.floor(F.col(y) / cell)}
-    )
-    odd = F.pmod(geo.crossings(F.col("_edges"), F.col(x), F.col(y)), F.lit(2)) == 1
-    hits = (
-        keyed.select(F.col(key).alias("_key"), x, y, "_cx", "_cy")
-        .join(strips, ["_cx", "_cy"])
-        .filter(odd)
-        .groupBy("_key")
-        .agg(F.min(F.struct(*keep)).alias("_hit"))
-    )
-    joined = points.join(hits, points[key] == hits["_key"], "left" if how == "left" else "left_semi")
-    if how == "left_semi":
-        return joined.select(*points.columns)
-    return joined.select(*[points[c] for c in points.columns], *[F.col("_hit")[c].alias(c) for c in keep])
+    hits = containing(points, polygons, key, keep, x, y, cell)
+    if how != "left":
+        return points.join(hits.select(key), key, how)
+    return points.join(hits, key, "left").selectExpr("*", *[f"_hit.{c} AS {c}" for c in keep]).drop("_hit")

@@ -24,30 +24,27 @@ def m_sql(expr: str, digits: int = 3) -> str:
     return f"floor(({expr}) * 1e{digits} + 0.5) / 1e{digits}"
 
 
-def with_distances(t: Tables, features: bool = False) -> DataFrame:
-    """Sites with one distance per rule layer (and the nearest feature's record)."""
-    # Positions are projected once; every layer reads the written tables.
-    out = cut_lineage(t.sites_xy(), "sites")
-    mapped = cut_lineage(t.features_xy(), "features")
-    out = rules.nearest_in_layer(
-        out, cut_lineage(t.forests(), "forests"), "kiln_id", "dist_government_forest_m", ["feature_id"],
-        on=(), shape="polygon",
-    )
-    for layer in POINT_LAYERS:
-        part = mapped.filter(F.col("layer") == layer)
-        out = rules.nearest_in_layer(out, part, "kiln_id", f"dist_{layer}_m", ["feature_id"])
-    out = rules.nearest_in_layer(
-        out, cut_lineage(t.rail_segments(), "rails"), "kiln_id", "dist_railways_m", ["feature_id"], shape="segment"
-    )
-    return out if features else out.select(*[c for c in out.columns if not c.endswith("_feature")])
+def layer_edges(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """All rule layers as edges, and the polygon layers."""
+    points = rules.point_edges(t.features_xy().filter("layer NOT IN ('railways', 'government_forest')"), "district")
+    rails = t.rail_segments().selectExpr("layer", "district AS scope", "feature_id", "x1", "y1", "x2", "y2")
+    woods = t.forests().selectExpr("layer", "'*' AS scope", "feature_id", "rings")
+    edges = points.unionByName(rails).unionByName(spatial.polygon_edges(woods, ["layer", "scope", "feature_id"]))
+    return edges, woods
+
+
+def with_distances(t: Tables) -> DataFrame:
+    """Sites with one distance per rule layer and the nearest feature's record."""
+    edges, woods = layer_edges(t)
+    sites = cut_lineage(t.sites_xy(), "sites")
+    return rules.nearest_by_layer(sites, edges, "kiln_id", [r.feature for r in config.RULES], polygons=woods)
 
 
 def signals(t: Tables) -> DataFrame:
-    """Distances rounded to millimetres, then the rule signals."""
+    """Distances rounded to millimetres, then the rule signals and severity."""
     d = with_distances(t)
-    rounded = d.withColumns({r.distance: metres(F.col(r.distance)) for r in config.RULES})
-    flagged = rounded.withColumns(rules.signal_columns())
-    return flagged.withColumns(score.severity_columns())
+    rounded = d.withColumns({r.distance: F.expr(m_sql(r.distance)) for r in config.RULES})
+    return score.with_severity(rules.with_signals(rounded))
 
 
 def exposures(t: Tables, radius: float = config.SCORING.exposure_radius_m) -> DataFrame:
@@ -157,27 +154,35 @@ def nearest_feature(t: Tables) -> DataFrame:
     return out.select("kiln_id", metres(F.col("distance")).alias("distance_m"), "feature_id")
 
 
+def _one_layer(t: Tables, layer: str) -> DataFrame:
+    edges, woods = layer_edges(t)
+    mapped = edges.filter(F.col("layer") == layer)
+    polygons = woods if layer == "government_forest" else None
+    sites = cut_lineage(t.sites_xy(), "sites")
+    return rules.nearest_by_layer(sites, mapped, "kiln_id", [layer], polygons=polygons).selectExpr(
+        "kiln_id", f"{m_sql(f'dist_{layer}_m')} AS distance_m"
+    )
+
+
 @query("nearest_railway_segment", f"""WITH rail AS ({RAIL_NEAR_SQL})
 SELECT s.kiln_id, {m_sql('d')} AS distance_m FROM sites_xy s LEFT JOIN rail USING (kiln_id)""")
 def nearest_rail(t: Tables) -> DataFrame:
-    out = rules.nearest_in_layer(t.sites_xy(), t.rail_segments(), "kiln_id", "d", ["feature_id"], shape="segment")
-    return out.select("kiln_id", metres(F.col("d")).alias("distance_m"))
+    return _one_layer(t, "railways")
 
 
 @query("nearest_forest_polygon", f"""WITH forest_edges AS ({FOREST_EDGES_SQL}), wood AS ({FOREST_NEAR_SQL})
 SELECT kiln_id, {m_sql('d')} AS distance_m FROM wood""")
 def nearest_forest(t: Tables) -> DataFrame:
-    out = rules.nearest_in_layer(
-        cut_lineage(t.sites_xy(), "sites"), cut_lineage(t.forests(), "forests"), "kiln_id", "d", ["feature_id"], on=(), shape="polygon")
-    return out.select("kiln_id", metres(F.col("d")).alias("distance_m"))
+    return _one_layer(t, "government_forest")
 
 
 @query("retained_layer_distances", f"""WITH {DIST_CTES} SELECT kiln_id, dist_railways_m, dist_water_m FROM dist""")
 def retained(t: Tables) -> DataFrame:
-    out = rules.nearest_in_layer(t.sites_xy(), t.rail_segments(), "kiln_id", "r", ["feature_id"], shape="segment")
-    water = t.features_xy().filter("layer = 'water'")
-    out = rules.nearest_in_layer(out, water, "kiln_id", "w", ["feature_id"])
-    return out.select("kiln_id", metres(F.col("r")).alias("dist_railways_m"), metres(F.col("w")).alias("dist_water_m"))
+    edges, _ = layer_edges(t)
+    kept = rules.nearest_by_layer(
+        cut_lineage(t.sites_xy(), "sites"), edges.filter("layer IN ('railways', 'water')"), "kiln_id", ["railways", "water"]
+    )
+    return kept.selectExpr("kiln_id", *[f"{m_sql(c)} AS {c}" for c in ("dist_railways_m", "dist_water_m")])
 
 
 @query("rule_signals", f"""WITH {SIGNAL_CTES} SELECT kiln_id, technology_flagged,
@@ -197,7 +202,7 @@ def severity(t: Tables) -> DataFrame:
 
 @query("signal_provenance")
 def signal_provenance(t: Tables) -> DataFrame:
-    d = with_distances(t, features=True)
+    d = with_distances(t)
     for r in config.RULES:
         f = f"{r.distance}_feature"
         record = F.struct(
