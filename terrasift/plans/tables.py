@@ -18,6 +18,8 @@ CHIP_SOUTH, CHIP_WEST, CHIP_SPAN = 22.0, 88.4, 2.4
 LAYERS = ("schools", "hospitals", "settlements", "railways", "water", "government_forest")
 PLACE_TYPES = ("city", "town", "suburb", "village", "hamlet", "locality")
 BOX_SIDE = 0.08
+SERVED_DISTANCES = (("schools", 31), ("hospitals", 97), ("settlements", 57), ("railways", 71), ("water", 43), ("government_forest", 83))
+SERVED_SIGNALS = (("schools", "near_school"), ("hospitals", "near_hospital"), ("water", "near_wetland"))
 
 
 def _at(key: str, mult: int, mod: int, low: float, span: float) -> Column:
@@ -152,6 +154,21 @@ class Tables:
             line.alias("labels"),
         )
 
+    def served(self) -> DataFrame:
+        """Sites as the serving layer sees them: ranks, bands, statuses, distances, nulls."""
+        c = self.raw("customer").selectExpr("c_custkey AS kiln_id", "c_acctbal")
+        return self.sites().join(c, "kiln_id").selectExpr(
+            "kiln_id", "lat", "lon", "district",
+            "CASE WHEN kiln_id % 13 = 0 THEN ' ' ELSE upazila END AS upazila", "class",
+            "CASE WHEN kiln_id % 3 <> 0 THEN class END AS class_name", "confidence",
+            "CASE WHEN kiln_id % 17 <> 0 THEN c_acctbal END AS priority",
+            "CASE WHEN kiln_id % 19 <> 0 THEN (kiln_id * 37) % 2001 + 1 END AS priority_rank",
+            "CASE WHEN kiln_id % 23 = 0 THEN NULL WHEN kiln_id % 5 = 0 THEN 'High' WHEN kiln_id % 5 <= 2 THEN 'Medium' ELSE 'Low' END AS priority_band",
+            "CASE WHEN kiln_id % 4 = 0 THEN 'New candidate (2025-26)' ELSE 'Known (2023-24 survey)' END AS detection_status",
+            "CASE kiln_id % 9 WHEN 0 THEN 'False positive' WHEN 1 THEN 'Verified kiln' ELSE 'Unreviewed' END AS verified",
+            *[f"CASE WHEN kiln_id % {29 + 2 * i} <> 0 THEN (kiln_id * {m}) % 5000 / 2D END AS dist_{n}_m" for i, (n, m) in enumerate(SERVED_DISTANCES)],
+        ).selectExpr("*", "array_compact(array(" + ", ".join(f"CASE WHEN dist_{n}_m < 1000D THEN '{r}' END" for n, r in SERVED_SIGNALS) + ")) AS breached_rules")
+
     def _boxes(self, shift: Column) -> DataFrame:
         l = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax")
         x = (F.pmod("l_partkey", F.lit(8)) + shift).cast("double")
@@ -300,6 +317,20 @@ TABLES_SQL = {
   {_pick_sql('p_partkey', ('train', 'val', 'test'))} AS split,
   list_transform(range(least(p_size % 4, 3)), lambda i: ((p_size + i) % 3)::VARCHAR || ' 0.10 0.20 0.30 0.20 0.30 0.40 0.10 0.40') AS labels
   FROM part""",
+    "served": """SELECT *, list_filter([""" + ", ".join(f"CASE WHEN dist_{n}_m < 1000 THEN '{r}' END" for n, r in SERVED_SIGNALS) + """], lambda v: v IS NOT NULL) AS breached_rules
+  FROM (SELECT kiln_id, lat, lon, district, CASE WHEN kiln_id % 13 = 0 THEN ' ' ELSE upazila END AS upazila, class,
+  CASE WHEN kiln_id % 3 <> 0 THEN class END AS class_name, confidence,
+  CASE WHEN kiln_id % 17 <> 0 THEN c_acctbal END AS priority,
+  CASE WHEN kiln_id % 19 <> 0 THEN (kiln_id * 37) % 2001 + 1 END AS priority_rank,
+  CASE WHEN kiln_id % 23 = 0 THEN NULL WHEN kiln_id % 5 = 0 THEN 'High' WHEN kiln_id % 5 <= 2 THEN 'Medium' ELSE 'Low' END AS priority_band,
+  CASE WHEN kiln_id % 4 = 0 THEN 'New candidate (2025-26)' ELSE 'Known (2023-24 survey)' END AS detection_status,
+  CASE kiln_id % 9 WHEN 0 THEN 'False positive' WHEN 1 THEN 'Verified kiln' ELSE 'Unreviewed' END AS verified, """ + ", ".join(
+        f"CASE WHEN kiln_id % {29 + 2 * i} <> 0 THEN ((kiln_id * {m}) % 5000)::DOUBLE / 2 END AS dist_{n}_m" for i, (n, m) in enumerate(SERVED_DISTANCES)
+    ) + " FROM sites JOIN customer ON c_custkey = kiln_id)",
+    "chip_pos": """SELECT *, floor(lat / 0.25)::BIGINT AS cell_row, floor(lon / 0.25)::BIGINT AS cell_col FROM (SELECT *,
+  regexp_extract(image_name, '^(-?[0-9]+\\.[0-9]+)_(-?[0-9]+\\.[0-9]+)\\.png$', 1)::DOUBLE AS lat,
+  regexp_extract(image_name, '^(-?[0-9]+\\.[0-9]+)_(-?[0-9]+\\.[0-9]+)\\.png$', 2)::DOUBLE AS lon FROM chips)""",
+    "chip_xy": project_sql("chip_pos"),
     "detections": _boxes_sql("0"),
     "truths": _boxes_sql("(l_suppkey % 3)"),
     "audit": """SELECT *, CASE WHEN confidence < 0.25 THEN 'low' WHEN confidence < 0.45 THEN 'mid' ELSE 'high' END AS band FROM (
