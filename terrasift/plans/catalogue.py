@@ -1,6 +1,6 @@
 """All named queries."""
 
-from terrasift.plans import chip_queries, screening  # noqa: F401
+from terrasift.plans import chip_queries, screening, serving_queries  # noqa: F401
 from terrasift.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

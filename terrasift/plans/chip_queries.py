@@ -13,7 +13,7 @@ from terrasift.plans.tables import Tables
 from terrasift.session import cut_lineage, scratch_dir
 from terrasift.sources import chips as source
 
-BORDER = ((88.6, 22.2), (90.6, 22.3), (89.9, 24.2), (88.9, 23.9))
+BORDER = ((89.55, 23.05), (90.1, 23.1), (90.0, 23.65), (89.6, 23.6))
 _EDGES = ", ".join(
     f"({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)"
     for a, b in zip(BORDER, BORDER[1:] + BORDER[:1])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from terrasift.functions import geo
 
 SOUTH, WEST, SPAN = 23.6, 89.8, 0.4
-CHIP_SOUTH, CHIP_WEST, CHIP_SPAN = 22.0, 88.4, 2.4
+CHIP_SOUTH, CHIP_WEST, CHIP_SPAN = 23.0, 89.5, 0.7
 LAYERS = ("schools", "hospitals", "settlements", "railways", "water", "government_forest")
 PLACE_TYPES = ("city", "town", "suburb", "village", "hamlet", "locality")
 BOX_SIDE = 0.08
