@@ -273,7 +273,7 @@ def modal_signal(df: DataFrame, by: str) -> DataFrame:
 
 
 def distance_text(column: str, buffer_m: float | None = None) -> str:
-    shown = f"CASE WHEN {column} >= 1000 THEN concat(format_number({column} / 1000, 1), ' km') ELSE concat(format_number({column}, 0), ' m') END"
+    shown = f"CASE WHEN {column} >= 1000 THEN concat(format_number({column} / 1000, 1), ' km') ELSE concat(cast(rint({column}) AS bigint), ' m') END"
     mark = f"CASE WHEN {column} < {buffer_m!r}D THEN ' !' ELSE '' END" if buffer_m is not None else "''"
     return f"CASE WHEN {column} IS NULL THEN 'no data' ELSE concat({shown}, {mark}) END"
 
@@ -410,5 +410,5 @@ def review_export(df: DataFrame, rules: Sequence[Rule] = config.RULES) -> DataFr
         f"{distance('forests')} AS Dist_Forest_m", f"{distance('water')} AS Dist_Water_m",
         "size(breached_rules) AS Rule_Signals_Count", f"(size(breached_rules) > 0 OR {flags}) AS Flagged_For_Review",
         "cast(NULL AS string) AS Rule_Data_Notes", "cast(size(breached_rules) AS double) AS Breach_Severity_Score",
-        "coalesce(breached_rules[0], 'None') AS Top_Rule_Signal",
+        "coalesce(get(breached_rules, 0), 'None') AS Top_Rule_Signal",
     )

@@ -141,7 +141,7 @@ def labels(t: Tables) -> DataFrame:
 
 
 def _dist_text(c: str, buffer: float) -> str:
-    return (f"CASE WHEN {c} IS NULL THEN 'no data' ELSE (CASE WHEN {c} >= 1000 THEN format('{{:.1f}} km', {c} / 1000) ELSE format('{{:.0f}} m', {c}) END) "
+    return (f"CASE WHEN {c} IS NULL THEN 'no data' ELSE (CASE WHEN {c} >= 1000 THEN format('{{:.1f}} km', {c} / 1000) ELSE round_even({c}, 0)::BIGINT || ' m' END) "
             f"|| CASE WHEN {c} < {buffer} THEN ' !' ELSE '' END END")
 
 
