@@ -229,7 +229,7 @@ def targeted(t: Tables) -> DataFrame:
     return A.sample_strata(_banded(t), "kiln_id", ["district", "band"], _targets(t))
 
 
-@query("sample_shortfall", f"SELECT n_name AS district, band, target AS requested, least(target, coalesce(n, 0)) AS sampled, target - least(target, coalesce(n, 0)) AS shortfall FROM nation, (VALUES ('low', 5), ('mid', 4), ('high', 40)) v(band, target) LEFT JOIN (SELECT district, band, count(*) AS n FROM ({_SB}) GROUP BY 1, 2) c ON c.district = n_name AND c.band = v.band")
+@query("sample_shortfall", f"SELECT n_name AS district, v.band, target AS requested, least(target, coalesce(n, 0)) AS sampled, target - least(target, coalesce(n, 0)) AS shortfall FROM nation, (VALUES ('low', 5), ('mid', 4), ('high', 40)) v(band, target) LEFT JOIN (SELECT district, band, count(*) AS n FROM ({_SB}) GROUP BY 1, 2) c ON c.district = n_name AND c.band = v.band")
 def shortfall(t: Tables) -> DataFrame:
     return A.shortfall(_banded(t), ["district", "band"], _targets(t))
 
@@ -252,10 +252,6 @@ def sheets(t: Tables) -> DataFrame:
 _OLD = "old AS (SELECT kiln_id + 7 AS kiln_id, x + 20 AS x, y - 30 AS y FROM sites_xy WHERE confidence < 0.1)"
 
 
-def _old(t: Tables) -> DataFrame:
-    return t.sites_xy().filter("confidence < 0.1").selectExpr("kiln_id + 7 AS kiln_id", "x + 20 AS x", "y - 30 AS y")
-
-
 @query("exclude_already_labelled", f"WITH {_OLD} SELECT kiln_id FROM sites_xy s WHERE kiln_id NOT IN (SELECT kiln_id FROM old) AND NOT EXISTS (SELECT 1 FROM old o WHERE sqrt((s.x - o.x) * (s.x - o.x) + (s.y - o.y) * (s.y - o.y)) <= 50)")
 def exclusions(t: Tables) -> DataFrame:
     sites = cut_lineage(t.sites_xy().select("kiln_id", "x", "y", "confidence"), "sites")

@@ -371,6 +371,9 @@ def with_tables(sql: str) -> str:
     visit(sql)
     own = sql.strip()
     head = [f"{n} AS ({TABLES_SQL[n]})" for n in order]
+    if own[:14].upper() == "WITH RECURSIVE":
+        head.append(own[14:].strip())
+        return "WITH RECURSIVE " + ",\n".join(head)
     if own[:4].upper() == "WITH":
         head.append(own[4:].strip())
         return "WITH " + ",\n".join(head)
