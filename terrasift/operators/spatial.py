@@ -313,6 +313,11 @@ def polygon_edges(polygons: DataFrame, keep: Sequence[str]) -> DataFrame:
     )
 
 
+# A point on an edge is not strictly inside.
+ON_EDGE = (
+    "exists(_edges, e -> (e.x2 - e.x1) * ({y} - e.y1) - (e.y2 - e.y1) * ({x} - e.x1) = 0 AND "
+    "{x} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) AND {y} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2))"
+)
 CROSSINGS = (
     "size(filter(_edges, e -> (e.y1 > {y}) <> (e.y2 > {y}) AND "
     "{x} < e.x1 + ({y} - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1)))"
@@ -331,7 +336,7 @@ def containing(
     )
     return (
         keyed.join(strips, [*on, "_cx", "_cy"])
-        .filter(f"{CROSSINGS.format(x='_px', y='_py')} % 2 = 1")
+        .filter(f"{CROSSINGS.format(x='_px', y='_py')} % 2 = 1 AND NOT {ON_EDGE.format(x='_px', y='_py')}")
         .groupBy(key)
         .agg(F.expr(f"min(struct({', '.join(keep)})) AS _hit"))
     )

@@ -179,25 +179,25 @@ def windows(t: Tables) -> DataFrame:
     return df.filter("least(128, w - start) >= 64").select("p_partkey", "start")
 
 
-@query("box_centroids_and_areas", "SELECT scene, box_id, bx + 3 AS cx, by + 3 AS cy, 36.0::DOUBLE AS area FROM detections")
+@query("box_centroids_and_areas", "SELECT scene, box_id, left_x + 3 AS cx, low_y + 3 AS cy, 36.0::DOUBLE AS area FROM detections")
 def centroids(t: Tables) -> DataFrame:
     df = t.detections().withColumn("ring", F.expr("transform(sequence(0, 3), i -> named_struct('x', xy[2 * i], 'y', xy[2 * i + 1]))"))
     cx, cy = geo.ring_centroid(F.col("ring"))
     return df.select("scene", "box_id", cx.alias("cx"), cy.alias("cy"), geo.ring_area(F.col("ring")).alias("area"))
 
 
-@query("chip_box_centre", "SELECT scene, box_id, (4 * bx + 12) / 4 AS cx, (4 * by + 12) / 4 AS cy FROM detections")
+@query("chip_box_centre", "SELECT scene, box_id, (4 * left_x + 12) / 4 AS cx, (4 * low_y + 12) / 4 AS cy FROM detections")
 def chip_centre(t: Tables) -> DataFrame:
     mean = "aggregate(filter(xy, (v, i) -> i % 2 = {}), 0D, (a, v) -> a + v) / 4 AS {}"
     return t.detections().selectExpr("scene", "box_id", mean.format(0, "cx"), mean.format(1, "cy"))
 
 
-@query("boxes_inside_polygon", "SELECT scene, box_id FROM detections WHERE bx + 3 > 4 AND bx + 3 < 8 AND by + 3 > 2 AND by + 3 < 7")
+@query("boxes_inside_polygon", "SELECT scene, box_id FROM detections WHERE left_x + 3 > 4 AND left_x + 3 < 8 AND low_y + 3 > 2 AND low_y + 3 < 7")
 def inside_boxes(t: Tables) -> DataFrame:
     ring = [[(4.0, 2.0), (8.0, 2.0), (8.0, 7.0), (4.0, 7.0)]]
     area = t.spark.createDataFrame([("d", ring)], "name string, rings array<array<struct<x double, y double>>>")
-    centred = t.detections().selectExpr("scene", "box_id", "struct(scene, box_id) AS k", "bx + 3.000001D AS lon", "by + 3.000001D AS lat")
-    return spatial.point_in_polygon(centred, area, "k", ["name"], cell=2.0, how="left_semi").filter("lon < 8 AND lat < 7").select("scene", "box_id")
+    centred = t.detections().selectExpr("scene", "box_id", "struct(scene, box_id) AS k", "left_x + 3 AS lon", "low_y + 3 AS lat")
+    return spatial.point_in_polygon(centred, area, "k", ["name"], cell=2.0, how="left_semi").select("scene", "box_id")
 
 
 @query("radius_box", f"SELECT kiln_id, {m_sql('lat - 1000.0::DOUBLE / 110574', 9)} AS south, {m_sql('lon + 1000.0::DOUBLE / (111320 * cos(radians(lat)))', 9)} AS east FROM sites")
@@ -271,7 +271,7 @@ def text_match(t: Tables) -> DataFrame:
 
 # ---- Boxes --------------------------------------------------------------------------
 
-_IOU = "(greatest(0, 6 - abs(a.bx - b.bx)) * greatest(0, 6 - abs(a.by - b.by))) / (72 - greatest(0, 6 - abs(a.bx - b.bx)) * greatest(0, 6 - abs(a.by - b.by)))"
+_IOU = "(greatest(0, 6 - abs(a.left_x - b.left_x)) * greatest(0, 6 - abs(a.low_y - b.low_y))) / (72 - greatest(0, 6 - abs(a.left_x - b.left_x)) * greatest(0, 6 - abs(a.low_y - b.low_y)))"
 
 
 @query("suppress_overlapping_boxes", f"SELECT scene, box_id FROM detections a WHERE NOT EXISTS (SELECT 1 FROM detections b WHERE a.scene = b.scene AND (b.conf > a.conf OR (b.conf = a.conf AND b.box_id < a.box_id)) AND {_IOU} > 0.5)")
@@ -301,7 +301,7 @@ def iou_pairs(t: Tables) -> DataFrame:
     return pairs.selectExpr("scene", "pred AS box_id", "truth", f"{m_sql('iou', 9)} AS iou")
 
 
-@query("detections_as_points", "SELECT box_id, scene, CASE class_id WHEN 0 THEN 'FCBK' ELSE 'Zigzag' END AS class_name, conf AS confidence, bx + 3 AS lon, by + 3 AS lat FROM detections")
+@query("detections_as_points", "SELECT box_id, scene, CASE class_id WHEN 0 THEN 'FCBK' ELSE 'Zigzag' END AS class_name, conf AS confidence, left_x + 3 AS lon, low_y + 3 AS lat FROM detections")
 def as_points(t: Tables) -> DataFrame:
     df = t.detections().withColumn("ring", F.expr("transform(sequence(0, 3), i -> named_struct('x', xy[2 * i], 'y', xy[2 * i + 1]))"))
     lon, lat = geo.ring_centroid(F.col("ring"))
@@ -356,14 +356,14 @@ def pearson(t: Tables) -> DataFrame:
     return imagery.pearson(_pairs(t)).selectExpr("chip", f"{m_sql('r', 6)} AS r")
 
 
-@query("histogram_distance", f"WITH {_PAIR}, h AS (SELECT chip, k, sum(d) AS d FROM (SELECT chip, a // 8 AS k, 1 AS d FROM pp UNION ALL SELECT chip, b // 8, -1 FROM pp) GROUP BY 1, 2) SELECT chip, {m_sql('sum(abs(d)) / 128.0::DOUBLE', 6)} AS hist FROM h GROUP BY 1")
+@query("histogram_distance", f"WITH {_PAIR}, h AS (SELECT chip, k, sum(d) AS d FROM (SELECT chip, floor(a / 8) AS k, 1 AS d FROM pp UNION ALL SELECT chip, floor(b / 8), -1 FROM pp) GROUP BY 1, 2) SELECT chip, {m_sql('sum(abs(d)) / 128.0::DOUBLE', 6)} AS hist FROM h GROUP BY 1")
 def hist(t: Tables) -> DataFrame:
     return imagery.histogram_distance(_pairs(t)).selectExpr("chip", f"{m_sql('hist', 6)} AS hist")
 
 
 @query("best_pixel_alignment", f"""WITH u AS (SELECT chip, {_U8} AS px FROM patches), p AS (SELECT chip, (unnest(range(64)) % 8) AS x, unnest(range(64)) // 8 AS y, unnest(px)::DOUBLE AS v FROM u),
 j AS (SELECT a.chip, dx, dy, a.v AS a, b.v AS b FROM p a, (VALUES (-1), (0), (1)) o(dx), (VALUES (-1), (0), (1)) q(dy), p b WHERE b.chip = a.chip + 1 AND b.x = a.x + dx AND b.y = a.y + dy),
-r AS (SELECT chip, dx, dy, corr(a, b) AS r, count(*) AS n FROM j GROUP BY 1, 2, 3), h AS (SELECT chip, dx, dy, sum(abs(d)) AS s FROM (SELECT chip, dx, dy, k, sum(d) AS d FROM (SELECT chip, dx, dy, a // 8 AS k, 1 AS d FROM j UNION ALL SELECT chip, dx, dy, b // 8, -1 FROM j) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
+r AS (SELECT chip, dx, dy, corr(a, b) AS r, count(*) AS n FROM j GROUP BY 1, 2, 3), h AS (SELECT chip, dx, dy, sum(abs(d)) AS s FROM (SELECT chip, dx, dy, k, sum(d) AS d FROM (SELECT chip, dx, dy, floor(a / 8) AS k, 1 AS d FROM j UNION ALL SELECT chip, dx, dy, floor(b / 8), -1 FROM j) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
 SELECT chip, dx, dy, n AS compared_pixels FROM r JOIN h USING (chip, dx, dy) QUALIFY row_number() OVER (PARTITION BY chip ORDER BY -round(r, 9), round(s / (2.0::DOUBLE * n), 9), abs(dx) + abs(dy), dy, dx) = 1""")
 def alignment(t: Tables) -> DataFrame:
     u = cut_lineage(_stretched(t), "u8")

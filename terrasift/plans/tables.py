@@ -179,7 +179,7 @@ class Tables:
             F.pmod("l_partkey", F.lit(2)).cast("int").alias("class_id"),
             F.array(x, y, x + 6.0, y, x + 6.0, y + 6.0, x, y + 6.0).alias("xy"),
             (F.round(F.col("l_discount") * 100) * 9 + F.round(F.col("l_tax") * 100)).alias("conf"),
-            x.alias("bx"), y.alias("by"),
+            x.alias("left_x"), y.alias("low_y"),
         )
 
     def detections(self) -> DataFrame:
@@ -278,7 +278,7 @@ def _squares_sql(layer: str, half: str) -> str:
 def _boxes_sql(shift: str) -> str:
     return f"""SELECT l_orderkey AS scene,
   l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS box_id,
-  (l_partkey % 2)::INT AS class_id, (l_partkey % 8 + {shift})::DOUBLE AS bx, (l_suppkey % 6)::DOUBLE AS by,
+  (l_partkey % 2)::INT AS class_id, (l_partkey % 8 + {shift})::DOUBLE AS left_x, (l_suppkey % 6)::DOUBLE AS low_y,
   round(l_discount * 100) * 9 + round(l_tax * 100) AS conf FROM lineitem"""
 
 
