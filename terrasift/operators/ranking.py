@@ -127,9 +127,9 @@ def previous_row(
     edge = last.select("_range", *by, F.lag("_last").over(steps).alias("_edge"))
     inside = Window.partitionBy("_range", *by).orderBy(*order)
     joined = ranged.join(edge, ["_range", *by]).withColumns(
-        {"_lag": F.lag(carried).over(inside), "_first": F.row_number().over(inside) == 1}
+        {"_prior_row": F.lag(carried).over(inside), "_opens_range": F.row_number().over(inside) == 1}
     )
-    source = F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_lag"))
+    source = F.when(F.col("_opens_range"), F.col("_edge")).otherwise(F.col("_prior_row"))
     return joined.select(
         *df.columns, *[source[c].alias(f"prev_{c}") for c in columns]
     )

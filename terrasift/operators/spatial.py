@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from terrasift.session import cut_lineage
 
-LEAF = 256
+LEAF = 32
 FAN = 8  # a cell splits into FAN x FAN children
 MIN_CELL = 1e-6
 SLACK = 1 + 1e-12  # pruning bounds are widened by rounding error, never the results

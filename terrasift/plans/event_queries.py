@@ -77,13 +77,13 @@ def notes(t: Tables) -> DataFrame:
     return ranking.ordinal(df, [F.col("updated_at"), F.col("seq")], ["kiln_id"], "pos").select("kiln_id", "seq", "pos")
 
 
-_OPS = "SELECT event_id AS seq, user_id AS owner, json_extract_string(props, '$.k')::INT % 5 AS name, ts AS at, event_type AS payload, CASE event_type WHEN 'error' THEN 'delete' ELSE 'upsert' END AS op FROM events"
+_OPS = "SELECT event_id AS seq, user_id AS owner, json_extract_string(props, '$.k')::INT % 5 AS name, ts AS op_at, event_type AS payload, CASE event_type WHEN 'error' THEN 'delete' ELSE 'upsert' END AS op FROM events"
 
 
-@query("saved_filter_state", f"WITH o AS ({_OPS}), g AS (SELECT owner, name, max(seq) AS gone FROM o WHERE op = 'delete' GROUP BY 1, 2) SELECT owner, name, arg_max(payload, seq) AS payload, min(at) AS created_at, max(at) AS updated_at FROM o LEFT JOIN g USING (owner, name) WHERE op = 'upsert' AND (gone IS NULL OR seq > gone) GROUP BY 1, 2")
+@query("saved_filter_state", f"WITH o AS ({_OPS}), g AS (SELECT owner, name, max(seq) AS gone FROM o WHERE op = 'delete' GROUP BY 1, 2) SELECT owner, name, arg_max(payload, seq) AS payload, min(op_at) AS created_at, max(op_at) AS updated_at FROM o LEFT JOIN g USING (owner, name) WHERE op = 'upsert' AND (gone IS NULL OR seq > gone) GROUP BY 1, 2")
 def filters(t: Tables) -> DataFrame:
     ops = t.raw("events").selectExpr(
-        "event_id AS seq", "user_id AS owner", "cast(get_json_object(props, '$.k') AS int) % 5 AS name", "ts AS at",
+        "event_id AS seq", "user_id AS owner", "cast(get_json_object(props, '$.k') AS int) % 5 AS name", "ts AS op_at",
         "event_type AS payload", "CASE event_type WHEN 'error' THEN 'delete' ELSE 'upsert' END AS op",
     )
     return E.saved_filters(ops, ["owner", "name"])

@@ -42,7 +42,7 @@ def rate_limit(df: DataFrame, session: str = "session", at: str = "created_at",
     stream of batches holding only its last accepted times. Pauses are found on one row per
     session and window-long slot, not on the events.
     """
-    timed = df.withColumns({"_at": F.expr(f"unix_micros({at})"), "_slot": F.expr(f"floor(unix_micros({at}) / {window_s * 1000000})")})
+    timed = df.withColumns({"_at": F.expr(f"unix_micros(cast({at} AS timestamp))"), "_slot": F.expr(f"floor(unix_micros(cast({at} AS timestamp)) / {window_s * 1000000})")})
     slots = timed.groupBy(session, "_slot").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
     before = ranking.previous_row(slots, [session], [F.col("_slot")], ["_last"])
     starts = before.withColumn(
@@ -89,7 +89,7 @@ def rate_limit_stream(df: DataFrame, limit: int = RATE_LIMIT, window_s: int = RA
         state.update((kept,))
         yield pd.DataFrame({"id": rows["id"], "session": rows["session"], "allowed": allowed})
 
-    slim = df.selectExpr("id", "session", "unix_micros(created_at) AS at")
+    slim = df.selectExpr("id", "session", "unix_micros(cast(created_at AS timestamp)) AS at")
     return slim.groupBy("session").applyInPandasWithState(
         step, "id long, session long, allowed boolean", "kept array<long>", "append", GroupStateTimeout.NoTimeout
     )
@@ -119,7 +119,7 @@ def saved_filters(ops: DataFrame, by: Sequence[str]) -> DataFrame:
     """State after upserts and deletes: latest payload, creation time since the last delete."""
     dropped = ops.filter("op = 'delete'").groupBy(*by).agg(F.expr("max(seq) AS _gone"))
     alive = ops.filter("op = 'upsert'").join(dropped, list(by), "left").filter("_gone IS NULL OR seq > _gone")
-    return alive.groupBy(*by).agg(F.expr("max_by(payload, seq) AS payload"), F.expr("min(at) AS created_at"), F.expr("max(at) AS updated_at"))
+    return alive.groupBy(*by).agg(F.expr("max_by(payload, seq) AS payload"), F.expr("min(op_at) AS created_at"), F.expr("max(op_at) AS updated_at"))
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -130,7 +130,8 @@ def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
 
 def run_intake(stream: DataFrame, extent: Sequence[float], good: str, bad: str, checkpoint: str) -> StreamingQuery:
     """Route reports to an accepted and a rejected table."""
-    unique = stream.withWatermark("created_at", "1 hour").dropDuplicatesWithinWatermark(["id"])
+    timed = stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    unique = timed.withWatermark("created_at", "1 hour").dropDuplicatesWithinWatermark(["id"])
 
     def split(batch: DataFrame, batch_id: int) -> None:
         routed = route_reports(batch, extent).withColumn("batch", F.lit(batch_id))
