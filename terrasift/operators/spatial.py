@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from terrasift.session import cut_lineage
 
 LEAF = 32
-FAN = 8  # a cell splits into FAN x FAN children
+FAN = 4  # a cell splits into FAN x FAN children
 MIN_CELL = 1e-6
 SLACK = 1 + 1e-12  # pruning bounds are widened by rounding error, never the results
 
@@ -135,19 +135,35 @@ def around(rows: DataFrame, size: float, reach: float) -> DataFrame:
     )
 
 
-def _prune(joined: DataFrame, metric: str) -> DataFrame:
-    """Keep the boxes that may hold the nearest feature.
+def _capped(rows: DataFrame, grid: Grid, metric: str) -> DataFrame:
+    """Tighten ``_cap``, a distance within which some feature is known to lie.
 
-    ``_cap`` is a distance within which some feature is known to lie.
+    The searching row's own cell is looked up at every level: if it holds a feature, that
+    feature is no further than the far corner of the cell's box. Each lookup is a left join
+    to one row per cell.
     """
-    high = box_high("b", metric)
+    fine = f"{grid.sizes[-1]!r}D"
+    for level in range(len(grid.sizes)):
+        shift = FAN ** (len(grid.sizes) - 1 - level)
+        own = grid._boxes(level).selectExpr(*grid.on, "_cx AS _ox", "_cy AS _oy", "_box AS _own")
+        rows = (
+            rows.selectExpr("*", f"floor(floor(_px / {fine}) / {shift}) AS _ox", f"floor(floor(_py / {fine}) / {shift}) AS _oy")
+            .join(own, [*grid.on, "_ox", "_oy"], "left")
+            .selectExpr("*", f"least(_cap, {SLACK!r}D * {box_high('_own', metric)}) AS _new")
+            .drop("_cap", "_own", "_ox", "_oy")
+            .withColumnRenamed("_new", "_cap")
+        )
+    return rows
+
+
+def _open(joined: DataFrame, metric: str) -> DataFrame:
+    """One row per box that may hold something within ``_cap``."""
     return (
-        joined.selectExpr("*", f"least(_cap, {SLACK!r}D * array_min(transform(_boxes, b -> {high}))) AS _new")
-        .selectExpr("*", "explode(_boxes) AS _box")
-        .drop("_cap", "_boxes")
-        .filter(f"{box_low('_box', metric)} <= _new")
-        .selectExpr("*", "_new AS _cap", "_box.cx AS _cx", "_box.cy AS _cy")
-        .drop("_new", "_box")
+        joined.selectExpr("*", "explode(_boxes) AS _box")
+        .drop("_boxes")
+        .filter(f"{box_low('_box', metric)} <= _cap")
+        .selectExpr("*", "_box.cx AS _cx", "_box.cy AS _cy")
+        .drop("_box")
     )
 
 
@@ -155,14 +171,16 @@ def _descend(slim: DataFrame, grid: Grid, reach: float | None, margin: float, me
     """Walk searching rows down to the leaves worth opening."""
     cap = "double('infinity')" if reach is None else f"{float(reach) * SLACK!r}D"
     rows = slim.selectExpr("*", f"{cap} AS _cap")
+    if reach is None or len(grid.sizes) > 1:
+        rows = _capped(rows, grid, metric)
     if reach is not None:
         rows = around(rows, grid.sizes[0], (reach + margin) * SLACK)
     elif grid.on:
-        rows = _prune(rows.join(grid.roots(), grid.on), metric)
+        rows = _open(rows.join(grid.roots(), grid.on), metric)
     else:
-        rows = _prune(rows.withColumn("_boxes", grid.roots().select("_boxes").scalar()), metric)
+        rows = _open(rows.withColumn("_boxes", grid.roots().select("_boxes").scalar()), metric)
     for level in range(len(grid.sizes) - 1):
-        rows = _prune(rows.join(grid.children(level), [*grid.on, "_cx", "_cy"]).drop("_cx", "_cy"), metric)
+        rows = _open(rows.join(grid.children(level), [*grid.on, "_cx", "_cy"]).drop("_cx", "_cy"), metric)
     return rows
 
 

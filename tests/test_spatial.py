@@ -23,7 +23,7 @@ def clouds(spark):
     return left, right, spark.createDataFrame(left), spark.createDataFrame(right).withColumnRenamed("id", "fid")
 
 
-@pytest.mark.parametrize("leaf", [4, 64, 100000])
+@pytest.mark.parametrize("leaf", [16, 100000])
 @pytest.mark.parametrize("reach", [None, 900.0])
 @pytest.mark.parametrize("metric", ["euclidean", "chebyshev"])
 def test_nearest(clouds, leaf, reach, metric):
@@ -42,7 +42,7 @@ def test_nearest(clouds, leaf, reach, metric):
         assert got.loc[row.id, "fid"] == part.id[d == d.min()].min()
 
 
-@pytest.mark.parametrize("leaf", [4, 100000])
+@pytest.mark.parametrize("leaf", [16, 100000])
 def test_nearest_without_groups(clouds, leaf):
     left, right, ldf, rdf = clouds
     got = spatial.nearest(ldf, rdf.drop("g"), "id", ["fid"], leaf=leaf).toPandas().set_index("id")
@@ -51,7 +51,7 @@ def test_nearest_without_groups(clouds, leaf):
         assert got.loc[row.id, "distance"] == pytest.approx(d, abs=1e-9)
 
 
-@pytest.mark.parametrize("leaf", [4, 32, 100000])
+@pytest.mark.parametrize("leaf", [16, 100000])
 @pytest.mark.parametrize("radius", [12.0, 700.0])
 def test_radius_count(clouds, leaf, radius):
     left, right, ldf, rdf = clouds
