@@ -17,14 +17,39 @@ TOP = 8
 
 
 def _bounds(df: DataFrame) -> DataFrame:
-    xs = F.filter("xy", lambda v, i: i % 2 == 0)
-    ys = F.filter("xy", lambda v, i: i % 2 == 1)
-    return df.withColumns(
-        {
-            "_x0": F.array_min(xs), "_x1": F.array_max(xs),
-            "_y0": F.array_min(ys), "_y1": F.array_max(ys),
-        }
+    """Bounding box and area; ``_flat`` marks a box that fills its bounding box."""
+    xs, ys = "filter(xy, (v, i) -> i % 2 = 0)", "filter(xy, (v, i) -> i % 2 = 1)"
+    twice = " + ".join(
+        f"(xy[{2 * i}] * xy[{(2 * i + 3) % 8}] - xy[{(2 * i + 2) % 8}] * xy[{2 * i + 1}])" for i in range(4)
     )
+    return df.selectExpr(
+        "*", f"array_min({xs}) AS _x0", f"array_max({xs}) AS _x1", f"array_min({ys}) AS _y0", f"array_max({ys}) AS _y1",
+        f"abs({twice}) / 2 AS _area",
+    ).selectExpr("*", "_area = (_x1 - _x0) * (_y1 - _y0) AS _flat")
+
+
+BOX = ("xy", "_x0", "_x1", "_y0", "_y1", "_area", "_flat")
+
+
+def _with_iou(pairs: DataFrame, a: str, b: str, keep: list[str], floor: str) -> DataFrame:
+    """``keep`` and ``iou`` for the pairs that pass ``floor``, a test on ``iou``.
+
+    The bounding boxes' overlap bounds the real one from above, and is exact when both
+    boxes fill theirs; only turned boxes that pass the bound are clipped in Python.
+    """
+    shared = (
+        f"greatest(0D, least({a}._x1, {b}._x1) - greatest({a}._x0, {b}._x0)) * "
+        f"greatest(0D, least({a}._y1, {b}._y1) - greatest({a}._y0, {b}._y0))"
+    )
+    most = f"least({shared}, {a}._area, {b}._area)"
+    bound = f"coalesce(try_divide({most}, {a}._area + {b}._area - {most}), 0D)"
+    slim = pairs.selectExpr(
+        *keep, f"{bound} AS iou", f"{a}._flat AND {b}._flat AS _exact", f"{a}.xy AS _pa", f"{b}.xy AS _pb"
+    )
+    names = [k.split(" AS ")[-1].split(".")[-1] for k in keep]
+    flat = slim.filter("_exact").filter(floor).select(*names, "iou")
+    turned = slim.filter("NOT _exact").filter(floor.replace("iou", "iou * (1 + 1e-9D)")).withColumn("iou", iou("_pa", "_pb"))
+    return flat.unionByName(turned.filter(floor).select(*names, "iou"))
 
 
 def _cell_size(df: DataFrame) -> float:
@@ -66,7 +91,7 @@ def suppress(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     wide = _bounds(df)
     rank = F.struct((-F.col("conf")).alias("c"), F.col("box_id").alias("i"))
-    solo = wide.groupBy("scene", "xy", "_x0", "_x1", "_y0", "_y1").agg(F.min(rank).alias("rank"))
+    solo = wide.groupBy("scene", *BOX).agg(F.min(rank).alias("rank"))
     size = _cell_size(wide)
     boxes = _in_cells(solo, size)
     ahead = F.col("s.rank") < F.col("v.rank")
@@ -76,11 +101,8 @@ def suppress(df: DataFrame, threshold: float = 0.5) -> DataFrame:
         pairs = victims.alias("v").join(suppressors.alias("s"), keys).filter(
             ahead & _touch("v", "s") & _counted_here("v", "s", size)
         )
-        return (
-            pairs.filter(iou(F.col("v.xy"), F.col("s.xy")) > threshold)
-            .select("scene", F.col("v.rank.i").alias("_i"))
-            .distinct()
-        )
+        hits = _with_iou(pairs, "v", "s", ["scene", "v.rank.i AS _i"], f"iou > {threshold!r}D")
+        return hits.select("scene", "_i").distinct()
 
     crowd = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     alive = boxes
@@ -119,17 +141,10 @@ def candidate_pairs(preds: DataFrame, truths: DataFrame, floor: float, same_clas
     p, t = _bounds(preds), _bounds(truths)
     size = max(_cell_size(p), _cell_size(t))
     keys = ["scene", "_cx", "_cy"] + (["class_id"] if same_class else [])
-    left = _in_cells(p, size).select(*keys, F.col("box_id").alias("pred"), "conf", "xy", "_x0", "_x1", "_y0", "_y1")
-    right = _in_cells(t, size).select(
-        *keys, F.col("box_id").alias("truth"), "xy", "_x0", "_x1", "_y0", "_y1"
-    )
-    joined = left.alias("p").join(right.alias("t"), keys).filter(
-        _touch("p", "t") & _counted_here("p", "t", size)
-    )
-    return (
-        joined.select("scene", "pred", "conf", "truth", iou(F.col("p.xy"), F.col("t.xy")).alias("iou"))
-        .filter(F.col("iou") >= floor)
-    )
+    left = _in_cells(p, size).selectExpr(*keys, "box_id AS pred", "conf", *BOX)
+    right = _in_cells(t, size).selectExpr(*keys, "box_id AS truth", *BOX)
+    joined = left.alias("p").join(right.alias("t"), keys).filter(_touch("p", "t") & _counted_here("p", "t", size))
+    return _with_iou(joined, "p", "t", ["scene", "pred", "conf", "truth"], f"iou >= {float(floor)!r}D")
 
 
 def match_greedy(preds: DataFrame, truths: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -74,6 +74,23 @@ def test_suppress(spark, n):
     assert got == want
 
 
+def test_turned_boxes(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(80):
+        angle, centre = rng.uniform(0, np.pi), rng.uniform(0, 8, 2)
+        turn = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+        quad = np.array([[-3, -2], [3, -2], [3, 2], [-3, 2]]) @ turn.T + centre
+        rows.append((0, i, [float(v) for v in quad.reshape(-1)], float(rng.uniform()), 0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    quads = np.array([r[2] for r in rows]).reshape(-1, 4, 2)
+    table = np.array([quad_iou(np.repeat(q[None], len(quads), 0), quads) for q in quads])
+    got = {r.box_id for r in boxes.suppress(df, 0.4).collect()}
+    assert got == {
+        i for i in range(80) if not any(rows[j][3] > rows[i][3] and table[i, j] > 0.4 for j in range(80))
+    }
+
+
 def test_match_greedy(spark):
     preds, truths = _scene(4, 40), _scene(5, 40)
     matched = boxes.match_greedy(spark.createDataFrame(preds, SCHEMA), spark.createDataFrame(truths, SCHEMA), 0.5)
