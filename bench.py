@@ -18,6 +18,7 @@ HEADLINE = (
     "report_rate_limit", "best_pixel_alignment",
 )
 REPEATS = 2
+SLOW = 15.0  # seconds; slower queries run once
 
 
 def main() -> None:
@@ -42,6 +43,8 @@ def main() -> None:
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             spent = time.perf_counter() - start
             best = spent if best is None else min(best, spent)
+            if spent > SLOW:
+                break
         times[name] = round(best, 3)
         print(name, times[name], file=sys.stderr, flush=True)
     spark.stop()
