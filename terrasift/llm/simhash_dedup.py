@@ -32,7 +32,7 @@ SHINGLE = 3
 RADIUS = 2
 SEED = 42
 #: Buckets up to this size are compared directly; larger ones are split further.
-DIRECT = 32
+DIRECT = 64
 ALL_BITS = (1 << BITS) - 1
 HASHES_AT_ONCE = 1 << 15
 
@@ -105,7 +105,8 @@ def links(prints: DataFrame, radius: int = RADIUS, direct: int = DIRECT) -> Data
             rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "simhash-buckets"
         )
         members = stage(rows.join(full, ["mask", "key"]), "simhash-members")
-        last = all((ALL_BITS & ~m).bit_count() <= max(direct, 2).bit_length() - 1 for m in masks)
+        # Keys that leave out b positions hold at most 2^b different fingerprints.
+        last = all(1 << (ALL_BITS & ~m).bit_count() <= direct for m in masks)
         small = members if last else members.filter(F.col("n") <= direct)
         left, right = small.alias("l"), small.select("mask", "key", F.col("fp").alias("fp2")).alias("r")
         near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= radius
@@ -145,11 +146,11 @@ def deduplicate(docs: DataFrame, **how) -> DataFrame:
     rows = stage(components(docs, **how), "simhash-components")
     ids = rows.groupBy("doc_id", "mark", "component_id").agg(F.count(F.lit(1)).alias("repeats"))
     # Rows of different components may share an id; in one component the smallest mark of the smallest id stays.
-    best = ids.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(
-        F.min("mark").alias("_best")
-    )
-    decided = ids.join(best, ids["component_id"].eqNullSafe(best["component_id"])).select(
+    best = ids.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
+        F.col("component_id").alias("_group")
+    ).agg(F.min("mark").alias("_best"))
+    decided = ids.join(best, F.col("component_id").eqNullSafe(F.col("_group"))).select(
         "doc_id", "mark", "repeats",
-        (F.col("doc_id").eqNullSafe(ids["component_id"]) & (F.col("mark") == F.col("_best"))).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("_best"))).alias("kept"),
     )
     return keep_rows(docs, stage(decided, "simhash-decisions"))
