@@ -125,7 +125,10 @@ def links(prints: DataFrame, radius: int = RADIUS, direct: int = DIRECT) -> Data
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, mark, fp, component_id (smallest id reachable)."""
+    """One row per row of ``docs``: doc_id, mark, fp, component_id (smallest id reachable), root.
+
+    ``root``, a fingerprint, names the component; ids need not be unique.
+    """
     rows = fingerprints(docs, shingle, seed)
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
     labels = connected(links(nodes, radius))
@@ -133,8 +136,8 @@ def components(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius
         "fp", "low", F.coalesce("component", "fp").alias("root")
     )
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    roots = stage(placed.join(lowest, "root").select("fp", "component_id"), "simhash-roots")
-    return rows.join(roots, "fp").select("doc_id", "mark", "fp", "component_id")
+    roots = stage(placed.join(lowest, "root").select("fp", "component_id", "root"), "simhash-roots")
+    return rows.join(roots, "fp").select("doc_id", "mark", "fp", "component_id", "root")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -144,12 +147,12 @@ def hexadecimal(fp: Column) -> Column:
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
     """One row of each component with all its columns: the smallest id, then the smallest text mark."""
     rows = stage(components(docs, **how), "simhash-components")
-    ids = rows.groupBy("doc_id", "mark", "component_id").agg(F.count(F.lit(1)).alias("repeats"))
-    # Rows of different components may share an id; in one component the smallest mark of the smallest id stays.
+    ids = rows.groupBy("doc_id", "mark", "component_id", "root").agg(F.count(F.lit(1)).alias("repeats"))
+    # Several texts of a component may carry its smallest id: the smallest mark stays.
     best = ids.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(
-        F.col("component_id").alias("_group")
+        F.col("root").alias("_root")
     ).agg(F.min("mark").alias("_best"))
-    decided = ids.join(best, F.col("component_id").eqNullSafe(F.col("_group"))).select(
+    decided = ids.join(best, F.col("root") == F.col("_root")).select(
         "doc_id", "mark", "repeats",
         (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("mark") == F.col("_best"))).alias("kept"),
     )
