@@ -113,7 +113,8 @@ def quotas(sized: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] =
     """
     goal = stage(
         targets(sized, weights, most)
-        .withColumn("passes", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("int"))
+        .withColumn("passes", F.floor(F.try_divide("target", "source_size")).cast("int"))
+        .fillna(0, ["passes"])
         .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")),
         "mix-targets",
     )
