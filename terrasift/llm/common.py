@@ -53,7 +53,8 @@ def ranged_positions(df: DataFrame, order: list[Column], partitions: int, name:
         .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(low))),
         name,
     )
-    return placed.join(offsets(placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))), "_part").select(
+    starts = stage(offsets(placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))), f"{name}-offsets")
+    return placed.join(starts, "_part").select(
         *df.columns, (F.col("_place") + F.col("_before")).alias("_at"), "_all"
     )
 

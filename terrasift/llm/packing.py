@@ -20,49 +20,71 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from terrasift.llm.common import offsets, stage, text_of
 
 LENGTH = 2048
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CLOSING_ID = 1
-#: Words whose ids a task keeps; the memory is emptied when it is full.
+#: Pieces whose ids a task keeps; the memory is emptied when it is full.
 REMEMBERED = 400_000
 ID_BYTES = 4
+# How the tokenizer cuts lower-case text, its classes written out for Latin-1.
+LETTER, DIGIT = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^\\s{LETTER}{DIGIT}]+")
+#: Texts beyond printable Latin-1, and those that may hold its special tokens, go to it as they are.
+OTHER = re.compile(r"[^\n\t\x20-\x7e\xa1-\xff]|<\|")
 
 
 class WordIds:
-    """Ids of whole texts, remembered word by word.
+    """Ids of whole texts, remembered piece by piece.
 
-    The tokenizer splits at white space and drops it, so a text's ids are its words' ids.
+    The tokenizer lower-cases, cuts a text into pieces, drops white space and codes each piece
+    by itself, so a text's ids are its pieces' ids. New pieces are coded many at a time by the
+    tokenizer's own model without the steps that leave them as they are.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.remembered = remembered
+        self.whole, self.remembered = Tokenizer.from_file(path), remembered
+        self.ascii, self.latin = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        blanks, as_bytes = pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.ascii.pre_tokenizer, self.latin.pre_tokenizer = blanks, pre_tokenizers.Sequence([blanks, as_bytes])
+        self.ascii.normalizer = self.latin.normalizer = normalizers.Sequence([])
         self.known: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.remembered:
+    @staticmethod
+    def _coded(tokenizer: Tokenizer, pieces: list[str]) -> list[bytes]:
+        line = tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        ids, words = np.array(line.ids, "<u4").tobytes(), np.array(line.word_ids, np.int64)
+        ends = ((np.flatnonzero(np.diff(words)) + 1) * ID_BYTES).tolist() + [len(ids)]
+        if len(ends) != len(pieces):
+            raise RuntimeError("The tokenizer cuts pieces further")
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, pieces: set[str]) -> None:
+        if len(self.known) + len(pieces) > self.remembered:
             self.known.clear()
-        coded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        for word, code in zip(words, coded):
-            self.known[word] = np.array(code.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit numbers."""
-        words = re.split("[ \n\t]+", text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn([w for w in dict.fromkeys(words) if w not in self.known])
-            known = self.known
-            if all(w in known for w in words):
-                return b"".join(map(known.__getitem__, words))
-            # The memory was emptied on the way.
-            self.learn([w for w in dict.fromkeys(words) if w not in self.known])
-            return b"".join(map(self.known.__getitem__, words))
+        plain = [p for p in pieces if p.isascii()]
+        for tokenizer, new in ((self.ascii, plain), (self.latin, list(pieces.difference(plain)))):
+            if new:
+                self.known.update(zip(new, self._coded(tokenizer, new)))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        cut = [None if OTHER.search(text) else PIECES.findall(text.lower()) for text in texts]
+        pieces = set().union(*(c for c in cut if c))
+        new = pieces.difference(self.known)
+        if new:
+            self.learn(new)
+            again = pieces.difference(self.known)
+            if again:  # the memory was emptied
+                self.learn(again)
+        look = self.known.__getitem__
+        return [
+            np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if c is None
+            else b"".join(map(look, c)) for text, c in zip(texts, cut)
+        ]
 
 
 def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, closing: int = CLOSING_ID) -> DataFrame:
@@ -72,13 +94,13 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, closing: int = CLOSIN
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, place = WordIds(tokenizer), 0
         for batch in batches:
-            for rows in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                ids = [words.encode(t.as_py()) + end for t in rows.column("_text")]
+            for rows in (batch.slice(i, 128) for i in range(0, batch.num_rows, 128)):
+                ids = [x + end for x in words.encode(rows.column("_text").to_pylist())]
                 n = np.fromiter(map(len, ids), np.int64, len(ids)) // ID_BYTES
                 start = place + np.cumsum(n) - n
                 place += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), rows.column("part"), pa.array(start), pa.array(n), pa.array(ids, pa.large_binary() if sum(map(len, ids)) > 1 << 30 else pa.binary())],
+                    [rows.column("doc_id"), rows.column("part"), pa.array(start), pa.array(n), pa.array(ids, pa.binary())],
                     ["doc_id", "part", "place", "n", "ids"],
                 )
 
@@ -92,7 +114,8 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, closing: int = CLOSIN
 def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, closing: int = CLOSING_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
     coded = tokenised(docs, tokenizer, closing)
-    totals = offsets(coded.groupBy(F.col("part").alias("_part")).agg(F.sum("n").alias("_n")))
+    # Written, so that its known size lets the ids stay where they are.
+    totals = stage(offsets(coded.groupBy(F.col("part").alias("_part")).agg(F.sum("n").alias("_n"))), "pack-offsets")
     at = F.col("place") + F.col("_before")
     placed = coded.join(totals, coded["part"] == totals["_part"]).select("doc_id", "n", "ids", at.alias("at"))
     cut = placed.select(
