@@ -117,7 +117,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     kinds = dict(turns.dtypes)
     ordered = (
         turns.select("conv_id", "turn", "role", F.col("parts").cast(f"array<{PART}>").alias("parts"))
-        .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", F.to_json(F.struct("parts")))
+        .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "parts")
     )
     return ordered.mapInArrow(code, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, {FORMATTED}")
 
