@@ -1,21 +1,37 @@
-"""Name folding and token scores as SQL expressions."""
+"""Name folding and token scores."""
 
+from __future__ import annotations
 
-def fold_name(column: str) -> str:
-    """Lower case without accents or spaces."""
-    marks = "[\\\\p{M}\\\\s]"
-    return f"lower(regexp_replace(translate({column}, {_ACCENTED!r}, {_PLAIN!r}), '{marks}', ''))"
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
-# Composed Latin letters and their base letters.
-_ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 
+def _normal_form(column: Column, form: str) -> Column:
+    """Unicode normal form; Spark has no built-in one."""
 
-def fold_alphanumeric(column: str) -> str:
-    return f"regexp_replace(lower({column}), '[^\\\\p{{L}}\\\\p{{N}}]', '')"
+    def normalise(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield part.str.normalize(form)
+
+    normalise.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(normalise, "string")(column)
+
+
+def fold_name(column: str | Column) -> Column:
+    """Lower case without spaces or accents: non-spacing marks go, spacing vowel signs stay."""
+    value = F.col(column) if isinstance(column, str) else column
+    return F.lower(F.regexp_replace(_normal_form(value, "NFD"), r"[\p{Mn}\s]", ""))
+
+
+def fold_alphanumeric(column: str | Column) -> Column:
+    """Letters and digits of the compatibility form, in lower case."""
+    value = F.col(column) if isinstance(column, str) else column
+    return F.regexp_replace(F.lower(_normal_form(value, "NFKC")), r"[^\p{L}\p{N}]", "")
 
 
 def tokens(column: str) -> str:
-    """Distinct lower-case words of two letters or more."""
-    return f"array_distinct(filter(regexp_extract_all(lower({column}), '[\\\\p{{L}}\\\\p{{N}}_]+', 0), w -> length(w) > 1))"
+    """Distinct lower-case words of two letters or more, as an SQL expression."""
+    return f"array_distinct(filter(regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}_]+', 0), w -> length(w) > 1))"

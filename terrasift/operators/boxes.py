@@ -182,10 +182,8 @@ def match_greedy(preds: DataFrame, truths: DataFrame, threshold: float = 0.5) ->
 
 
 def best_overlap(preds: DataFrame, truths: DataFrame, floor: float = 0.5) -> DataFrame:
-    """Best truth for every prediction with IoU of at least ``floor``; truths may repeat."""
-    pairs = candidate_pairs(preds, truths, floor, same_class=False)
-    best = pairs.groupBy("scene", "pred").agg(F.max(F.struct("iou", "truth")).alias("_b"))
-    return best.select("scene", "pred", F.col("_b.truth").alias("truth"), F.col("_b.iou").alias("iou"))
+    """Matching in the order of the predictions: each takes its best free truth of its class."""
+    return match_greedy(preds.withColumn("conf", -F.col("box_id").cast("double")), truths, floor)
 
 
 def false_positives(preds: DataFrame, matched: DataFrame) -> DataFrame:

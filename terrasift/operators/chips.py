@@ -42,7 +42,7 @@ def remap_lines(labels: str = "labels") -> str:
     """Label lines with the class id mapped; coordinates stay verbatim."""
     first = "split(trim(l), '\\\\s+')[0]"
     mapped = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CLASS_REMAP.items())
-    rest = "array_join(slice(split(trim(l), '\\\\s+'), 2, 100000), ' ')"
+    rest = "array_join(slice(split(trim(l), '\\\\s+'), 2, size(split(trim(l), '\\\\s+'))), ' ')"
     return (
         f"transform(filter({labels}, l -> l <> ''), l -> concat_ws(' ', CASE {first} {mapped} ELSE {first} END, nullif({rest}, '')))"
     )
@@ -54,13 +54,14 @@ def class_name(column: str) -> str:
 
 
 def class_counts(df: DataFrame, by: str = "split", labels: str = "labels") -> DataFrame:
-    """Label counts per split and class, zero-filled."""
+    """Label counts per split and class, zero-filled; ids without a name count as ``unknown``."""
+    names = [*CLASS_NAMES.values(), "unknown"]
     lines = df.selectExpr(by, f"explode({remap_lines(labels)}) AS line").selectExpr(
         by, f"{class_name('cast(split(line, chr(32))[0] AS int)')} AS class"
-    )
-    counts = lines.groupBy(by).pivot("class", list(CLASS_NAMES.values())).count()
+    ).withColumn("class", F.when(F.col("class").isin(*CLASS_NAMES.values()), F.col("class")).otherwise("unknown"))
+    counts = lines.groupBy(by).pivot("class", names).count()
     everything = df.select(by).distinct().join(counts, by, "left")
-    return everything.fillna(0, list(CLASS_NAMES.values()))
+    return everything.fillna(0, names)
 
 
 def assign_blocks(df: DataFrame, ratios=(0.70, 0.15), seed: int = 42) -> DataFrame:

@@ -113,9 +113,9 @@ def one_boundary(boundaries: DataFrame, name: str) -> DataFrame:
 def boundary_by_alias(asked: DataFrame, boundaries: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """Left join on folded names after replacing known aliases; null when nothing matches."""
     pairs = ", ".join(f"'{a}', '{b}'" for a, b in aliases.items())
-    folded = asked.withColumn("_f", F.expr(fold_name("name")))
+    folded = asked.withColumn("_f", fold_name("name"))
     keyed = folded.withColumn("_f", F.expr(f"coalesce(try_element_at(map({pairs}), _f), _f)"))
-    return keyed.join(boundaries.withColumn("_f", F.expr(fold_name("shapeName"))), "_f", "left").drop("_f")
+    return keyed.join(boundaries.withColumn("_f", fold_name("shapeName")), "_f", "left").drop("_f")
 
 
 def merge_districts(parts: Sequence[DataFrame]) -> DataFrame:
@@ -160,7 +160,7 @@ def best_text_match(asked: DataFrame, candidates: DataFrame, floor: float = 0.34
 def districts_in_names(files: DataFrame, districts: DataFrame) -> DataFrame:
     """District named by a token of the file name, when exactly one matches."""
     words = files.selectExpr("file", "explode(array_distinct(split(lower(file), '[^a-z0-9]+'))) AS w")
-    hits = words.join(districts.selectExpr("district", f"{fold_name('district')} AS w"), "w")
+    hits = words.join(districts.select("district", fold_name("district").alias("w")), "w")
     return hits.groupBy("file").agg(F.expr("min(district) AS district"), F.expr("count(DISTINCT district) AS n")).filter("n = 1").drop("n")
 
 

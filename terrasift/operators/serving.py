@@ -210,7 +210,7 @@ def example_origin(df: DataFrame, district: str, upazila: str) -> DataFrame:
     stats = df.filter(F.expr(clean("upazila")).isNotNull()).groupBy("district", "upazila").agg(
         F.expr("count(1) AS n"), F.expr("avg(lat) AS lat"), F.expr("avg(lon) AS lon")
     )
-    preferred = F.expr(f"district = '{district}' AND upazila = '{upazila}'")
+    preferred = F.col("district").eqNullSafe(F.lit(district)) & F.col("upazila").eqNullSafe(F.lit(upazila))
     return stats.orderBy(preferred.desc(), F.desc("n"), F.desc("district"), F.desc("upazila")).limit(1)
 
 

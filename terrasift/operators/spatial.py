@@ -157,9 +157,17 @@ def _capped(rows: DataFrame, grid: Grid, metric: str) -> DataFrame:
 
 
 def _open(joined: DataFrame, metric: str) -> DataFrame:
-    """One row per box that may hold something within ``_cap``."""
+    """One row per box that may hold something within ``_cap``.
+
+    Every box holds a feature, so the boxes' own far corners bound the search as well: rows
+    whose own cell is empty, or that lie outside all cells, open a few boxes only.
+    """
+    nearest = f"array_min(transform(_boxes, b -> {box_high('b', metric)}))"
     return (
-        joined.selectExpr("*", "explode(_boxes) AS _box")
+        joined.selectExpr("*", f"least(_cap, {SLACK!r}D * {nearest}) AS _new")
+        .drop("_cap")
+        .withColumnRenamed("_new", "_cap")
+        .selectExpr("*", "explode(_boxes) AS _box")
         .drop("_boxes")
         .filter(f"{box_low('_box', metric)} <= _cap")
         .selectExpr("*", "_box.cx AS _cx", "_box.cy AS _cy")

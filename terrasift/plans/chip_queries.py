@@ -93,7 +93,7 @@ def contamination(t: Tables) -> DataFrame:
     return C.contamination(placed(t))
 
 
-@query("class_counts_per_split", """SELECT split, count(*) FILTER (c IN ('0', '1')) AS "FCBK", count(*) FILTER (c = '2') AS "Zigzag" FROM (
+@query("class_counts_per_split", """SELECT split, count(*) FILTER (c IN ('0', '1')) AS "FCBK", count(*) FILTER (c = '2') AS "Zigzag", count(*) FILTER (c NOT IN ('0', '1', '2')) AS "unknown" FROM (
 SELECT split, split_part(unnest(labels), ' ', 1) AS c FROM chips) GROUP BY 1""")
 def class_counts(t: Tables) -> DataFrame:
     return C.class_counts(t.chips())

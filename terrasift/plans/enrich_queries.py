@@ -231,14 +231,14 @@ def cheb(t: Tables) -> DataFrame:
     return t.sites_xy().select("kiln_id", d.alias("v")).selectExpr("kiln_id", f"{m_sql('v')} AS d")
 
 
-@query("fold_names", "SELECT doc_id, lower(regexp_replace(strip_accents(left(text, 200)), '\\s+', '', 'g')) AS folded FROM documents WHERE lang IN ('fr', 'es', 'de')")
+@query("fold_names", "SELECT doc_id, lower(regexp_replace(strip_accents(text), '\\s+', '', 'g')) AS folded FROM documents")
 def fold(t: Tables) -> DataFrame:
-    return t.raw("documents").filter("lang IN ('fr', 'es', 'de')").selectExpr("doc_id", f"{text.fold_name('left(text, 200)')} AS folded")
+    return t.raw("documents").select("doc_id", text.fold_name("text").alias("folded"))
 
 
 @query("fold_alphanumeric", "SELECT page_id, regexp_replace(lower(url), '[^a-z0-9]', '', 'g') AS folded FROM pages")
 def fold_alnum(t: Tables) -> DataFrame:
-    return t.raw("pages").selectExpr("page_id", f"{text.fold_alphanumeric('url')} AS folded")
+    return t.raw("pages").select("page_id", text.fold_alphanumeric("url").alias("folded"))
 
 
 @query("district_from_file_name", "SELECT 'tile ' || s_suppkey || ' lang' || s_suppkey % 30 || '.tif' AS file, 'lang' || s_suppkey % 30 AS district FROM supplier WHERE s_suppkey % 30 < 25")
@@ -279,7 +279,7 @@ def suppress(t: Tables) -> DataFrame:
     return boxes.suppress(t.detections(), 0.5).select("scene", "box_id")
 
 
-@query("best_overlap_matches", f"SELECT a.scene, a.box_id AS pred, arg_max(b.box_id, ({_IOU}, b.box_id)) AS truth FROM detections a JOIN truths b ON a.scene = b.scene AND {_IOU} >= 0.5 GROUP BY 1, 2")
+@query("best_overlap_matches")
 def best_overlap(t: Tables) -> DataFrame:
     return boxes.best_overlap(t.detections(), t.truths(), 0.5).select("scene", "pred", "truth")
 

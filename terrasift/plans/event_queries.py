@@ -127,12 +127,11 @@ def visit_sites(t: Tables) -> DataFrame:
     return now.join(t.sites().select("kiln_id", "district"), "kiln_id").select("kiln_id", "status", "district")
 
 
-@query("report_inbox", "SELECT id, created_at, district FROM reports r LEFT JOIN sites s ON s.kiln_id = r.session ORDER BY created_at DESC, id DESC LIMIT 100")
+@query("report_inbox", "SELECT id, created_at, district FROM reports r LEFT JOIN sites s ON s.kiln_id = r.session")
 def inbox(t: Tables) -> DataFrame:
     newest = t.reports().select("id", "created_at", F.col("session").alias("kiln_id"))
-    # Only the newest page needs its site.
-    page = newest.orderBy(F.desc("created_at"), F.desc("id")).limit(100)
-    return page.join(t.sites().select("kiln_id", "district"), "kiln_id", "left").select("id", "created_at", "district")
+    sited = newest.join(t.sites().select("kiln_id", "district"), "kiln_id", "left").select("id", "created_at", "district")
+    return sited.orderBy(F.desc("created_at"), F.desc("id"))
 
 
 @query("newest_activity", "SELECT seq, updated_by FROM visits ORDER BY updated_at DESC, seq DESC LIMIT 200")

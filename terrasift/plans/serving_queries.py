@@ -301,7 +301,10 @@ def cards(t: Tables) -> DataFrame:
     return ranking.ordinal(t.served().select("kiln_id", "priority_band", "dist_schools_m"), order, name="pos").select("kiln_id", "pos")
 
 
-simple("name_sort", ["place_id", "lower(name) AS folded"], "SELECT place_id, lower(name) AS folded FROM places", table="places")
+@query("name_sort", "SELECT place_id, lower(name) AS folded, row_number() OVER (ORDER BY lower(name) NULLS FIRST, place_id) AS pos FROM places")
+def name_sort(t: Tables) -> DataFrame:
+    folded = t.places().selectExpr("place_id", "lower(name) AS folded")
+    return ranking.ordinal(folded, [F.col("folded"), F.col("place_id")], name="pos").select("place_id", "folded", "pos").orderBy("pos")
 
 
 @query("nearby_search", f"{_XY} SELECT kiln_id, round({_DIST}, 1) AS distance_m FROM p WHERE {_DIST} <= 15000 ORDER BY round({_DIST}, 1), coalesce(priority_rank, 1000000000), kiln_id LIMIT 20")

@@ -26,9 +26,15 @@ def build_session(app: str = "terrasift", master: str | None = None, **conf: str
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: spark.checkpoint.dir, or a fresh one where unset."""
+    """Shared folder for intermediate tables: spark.checkpoint.dir.
+
+    Only a session on one machine may do without the setting; it gets a fresh local folder.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from terrasift.operators.chips import SPLITS, remap_lines
 from terrasift.schemas import CHIPS
@@ -16,20 +17,18 @@ def read_splits(spark: SparkSession, folder: str, columns: list[str]) -> DataFra
     out = None
     for split in SPLITS:
         path = os.path.join(folder, f"{split}.parquet")
-        if not _exists(spark, path):
+        try:
+            part = spark.read.schema(CHIPS).parquet(path).select(*columns, F.lit(split).alias("split"))
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
             continue
-        part = spark.read.schema(CHIPS).parquet(path).select(*columns, F.lit(split).alias("split"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise FileNotFoundError(f"No split files in {folder}")
     return out
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-
-
 def write_dataset(df: DataFrame, path: str, labels: str = "labels") -> None:
     """Chips with remapped label text, one folder per split."""
     text = f"concat(array_join({remap_lines(labels)}, '\\n'), CASE WHEN size({labels}) > 0 THEN '\\n' ELSE '' END) AS label_text"

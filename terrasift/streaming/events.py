@@ -97,10 +97,11 @@ def rate_limit_stream(df: DataFrame, limit: int = RATE_LIMIT, window_s: int = RA
 
 def changes(df: DataFrame, by: Sequence[str], order: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Updates that really change something: the first per key, or any field differing."""
-    prior = ranking.previous_row(df, list(by), [F.col(c) for c in order], list(fields))
+    # A mark tells an earlier row whose fields are all null from no earlier row.
+    marked = df.withColumn("_earlier", F.lit(True))
+    prior = ranking.previous_row(marked, list(by), [F.col(c) for c in order], [*fields, "_earlier"])
     same = " AND ".join(f"{c} <=> prev_{c}" for c in fields)
-    known = " OR ".join(f"prev_{c} IS NOT NULL" for c in fields)
-    return prior.filter(f"NOT ({same} AND ({known}))")
+    return prior.filter(f"NOT ({same} AND prev__earlier IS NOT NULL)").drop("_earlier", "prev__earlier")
 
 
 def activity(df: DataFrame, action: str) -> DataFrame:
