@@ -300,13 +300,16 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
     near = F.lit(False)
     for label, n in sizes.items():
         near |= (F.col("toxic") == label) & (F.col("_u") * n <= 1.2 * bound[label] + 20)
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(marks.filter(near), "doc_id").select(
+    # The chosen marks are bounded like the sample, so the texts stay where they are.
+    chosen = stage(marks.filter(near), "toxic-chosen")
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select(
         "toxic", "_u", F.substring("text", 1, CUT).alias("text")
     )
+    rows = stage(rows, "toxic-sample")
     out = []
-    for label in sizes:
-        chosen = rows.filter(F.col("toxic") == label).orderBy("_u", "text").limit(bound[label])
-        out += [(label, r["text"]) for r in chosen.select("text").collect()]
+    for label in sorted(sizes):
+        drawn = rows.filter(F.col("toxic") == label).orderBy("_u", "text").limit(bound[label])
+        out += [(label, r["text"]) for r in drawn.select("text").collect()]
     return out
 
 
