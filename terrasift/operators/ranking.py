@@ -1,78 +1,39 @@
 """Ranks, ordinals and bands over whole tables without a single-task window.
 
 A global ``row_number`` would pull the table into one task, and one per district would do
-the same for a hot district. Instead rows are cut into ranges of the sort key at split
-points taken from a bounded sample (as Spark's own range partitioner does), numbered inside
-each range, and shifted by the counts of the ranges before. The split points only balance
-the work: any choice of them gives the same numbers.
+the same for a hot district. Instead Spark's range partitioner cuts the rows into ranges of
+the sort key, rows are numbered inside each range and shifted by the counts of the ranges
+before. The cuts only balance the work: any choice of them gives the same numbers.
 """
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_PER_RANGE = 32
-MAX_RANGES = 512
+from terrasift.session import cut_lineage
 
 
-def _ranges(df: DataFrame) -> int:
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(MAX_RANGES, wanted))
+def in_ranges(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
+    """Add ``_range``, the key range a row falls in; equal keys share a range, nulls come first.
 
-
-def _literal(value) -> str:
-    if isinstance(value, bool):
-        return str(value).lower()
-    if isinstance(value, float):
-        return f"{value!r}D"
-    if isinstance(value, int):
-        return f"{value}L"
-    if isinstance(value, datetime.datetime):
-        return f"timestamp_micros({int(value.timestamp() * 1_000_000)}L)"
-    if isinstance(value, datetime.date):
-        return f"DATE'{value.isoformat()}'"
-    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
-    return f"'{text}'"
-
-
-def _below(point: Sequence) -> str:
-    """Lexicographic ``_keys < point``."""
-    test = "false"
-    for i, value in reversed(list(enumerate(point))):
-        v = _literal(value)
-        test = f"(_keys.k{i} < {v} OR (_keys.k{i} = {v} AND {test}))"
-    return test
-
-
-def _locate(points: list, low: int, high: int) -> str:
-    """Range number by a balanced chain of comparisons."""
-    if low == high:
-        return str(low)
-    middle = (low + high) // 2
-    return (
-        f"CASE WHEN {_below(points[middle])} THEN {_locate(points, low, middle)} "
-        f"ELSE {_locate(points, middle + 1, high)} END"
-    )
-
-
-def in_ranges(df: DataFrame, keys: Sequence[Column], ranges: int | None = None) -> DataFrame:
-    """Add ``_range``, the key range a row falls in; equal keys share a range.
-
-    The split points come from the rows with the smallest key hashes, a fixed-size and
-    repeatable sample (one TakeOrdered job).
+    Spark's range partitioner cuts the ranges, as many as the shuffle has partitions, and
+    small ones are merged at run time. The rows are written with the number of their range:
+    a second reading of the plan would cut elsewhere.
     """
-    ranges = ranges or _ranges(df)
     keyed = df.withColumn("_keys", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
-    sample = (
-        keyed.select("_keys").orderBy(F.expr("xxhash64(_keys)")).limit(ranges * SAMPLE_PER_RANGE).collect()
-    )
-    ordered = sorted({tuple(r[0]) for r in sample})
-    points = sorted({ordered[int(i * len(ordered) / ranges)] for i in range(1, ranges)}) if ordered else []
-    return keyed.selectExpr("*", f"{_locate(points, 0, len(points))} AS _range").drop("_keys")
+    return cut_lineage(keyed.repartitionByRange("_keys").drop("_keys").withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def _same_group(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``names``, null groups included; the columns come from ``left`` once."""
+    renamed = right.withColumnsRenamed({c: f"_same_{c}" for c in names})
+    condition = F.lit(True)
+    for c in names:
+        condition &= left[c].eqNullSafe(renamed[f"_same_{c}"])
+    return left.join(renamed, condition, how).drop(*[f"_same_{c}" for c in names])
 
 
 def ordinal(
@@ -84,7 +45,7 @@ def ordinal(
 ) -> DataFrame:
     """Add the 1-based position within ``by`` in ascending ``order``.
 
-    ``order`` must be non-null and should identify a row (end it with an id). With
+    ``order`` should identify a row (end it with an id); nulls come first. With
     ``weight`` the column is the running total of ``weight`` including the row.
     """
     keys = [F.col(c) for c in by] + list(order)
@@ -103,7 +64,7 @@ def ordinal(
         else F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     )
     return (
-        ranged.join(offsets, ["_range", *by])
+        _same_group(ranged, offsets, ["_range", *by])
         .withColumn(name, local + F.col("_before"))
         .drop("_range", "_before")
     )
@@ -126,7 +87,7 @@ def previous_row(
     steps = Window.partitionBy(*by).orderBy("_range")
     edge = last.select("_range", *by, F.lag("_last").over(steps).alias("_edge"))
     inside = Window.partitionBy("_range", *by).orderBy(*order)
-    joined = ranged.join(edge, ["_range", *by]).withColumns(
+    joined = _same_group(ranged, edge, ["_range", *by]).withColumns(
         {"_prior_row": F.lag(carried).over(inside), "_opens_range": F.row_number().over(inside) == 1}
     )
     source = F.when(F.col("_opens_range"), F.col("_edge")).otherwise(F.col("_prior_row"))
