@@ -91,12 +91,16 @@ def test_turned_boxes(spark):
     }
 
 
-def test_match_greedy(spark):
+@pytest.mark.parametrize("match, order", [
+    (boxes.match_greedy, lambda r: (-r[3], r[1])),
+    (boxes.best_overlap, lambda r: r[1]),
+])
+def test_one_to_one_matching(spark, match, order):
     preds, truths = _scene(4, 40), _scene(5, 40)
-    matched = boxes.match_greedy(spark.createDataFrame(preds, SCHEMA), spark.createDataFrame(truths, SCHEMA), 0.5)
+    matched = match(spark.createDataFrame(preds, SCHEMA), spark.createDataFrame(truths, SCHEMA), 0.5)
     got = {(r.scene, r.pred, r.truth) for r in matched.collect()}
     want, used = set(), set()
-    for p in sorted(preds, key=lambda r: (-r[3], r[1])):
+    for p in sorted(preds, key=order):
         options = [
             (_iou(p[2], t[2]), t[1]) for t in truths
             if t[0] == p[0] and t[4] == p[4] and (t[0], t[1]) not in used
