@@ -95,3 +95,43 @@ def any_unverified(rules=RULES, technology: Technology | None = TECHNOLOGY) -> b
     return (technology is not None and not technology.verified) or any(
         not r.verified for r in rules
     )
+
+
+# The provenance record of a signal.
+PROVENANCE_FIELDS = (
+    ("signal_id", "string"),
+    ("review_state", "string"),
+    ("reviewer", "string"),
+    ("reviewed_at", "string"),
+    ("evidence_references", "array<string>"),
+    ("review_notes", "string"),
+    ("rule_config_version", "string"),
+    ("rule_config_reference", "string"),
+    ("source_layer_id", "string"),
+    ("source_authority", "string"),
+    ("source_url", "string"),
+    ("source_version_date", "string"),
+    ("source_accessed_at", "string"),
+    ("instrument_id", "string"),
+    ("effective_dates", "string"),
+    ("feature_id", "string"),
+    ("geometry_provenance", "string"),
+    ("distance_m", "double"),
+    ("measurement_method", "string"),
+    ("detector_model", "string"),
+    ("detector_version", "string"),
+    ("detector_model_version", "string"),
+    ("detector_confidence", "double"),
+    ("imagery_date", "string"),
+)
+UNREVIEWED, UNREVIEWED_BEFORE = "unscreened_candidate", "unverified_candidate"
+TECHNOLOGY_NOTE = "Model class signal only; no technology or legal status is established."
+TECHNOLOGY_METHOD = "detector class label; no GIS/legal conclusion"
+FEATURE_NOTE = "Mapped-feature screening signal; legal instrument mapping and applicability are unresolved."
+FEATURE_METHOD = "nearest geometry distance from the detection to the mapped feature in projected metres"
+SOURCE_DEFAULTS = {
+    "source_layer_id": "openstreetmap:{layer}",
+    "source_authority": "OpenStreetMap contributors",
+    "source_url": "https://www.openstreetmap.org/",
+    "geometry_provenance": "Geometry provenance not recorded on this cached feature",
+}

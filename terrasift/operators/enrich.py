@@ -69,8 +69,11 @@ def negative_points(
         inside = geo.project(spatial.point_in_polygon(drawn, polygon, "id", ["name"], how="left_semi"))
         free = spatial.within(inside, sites, "id", apart, strict=True, how="left_anti")
         picked = free.orderBy("id").limit(n)
-        if size >= 4096 * n or picked.count() >= n:
+        found = picked.count()
+        if found >= n:
             return picked
+        if size >= 4096 * n:
+            raise ValueError(f"Only {found} of {n} points found: the polygon leaves hardly any room apart from the sites")
         size *= 4
 
 

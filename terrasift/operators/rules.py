@@ -80,88 +80,72 @@ def with_signals(
     ).selectExpr("*", "size(breached_rules) AS breach_count", "size(breached_rules) AS rule_signals_count")
 
 
-def provenance(rules: Sequence[Rule] = config.RULES, technology: Technology = config.TECHNOLOGY) -> Column:
-    """One record per signal as JSON: the rule, the nearest feature and the detector."""
+def provenance(
+    rules: Sequence[Rule] = config.RULES, technology: Technology = config.TECHNOLOGY, evidence: Sequence[str] = (),
+) -> Column:
+    """One record per signal as JSON: the rule, the nearest feature and the detector.
+
+    Every field of ``config.PROVENANCE_FIELDS`` is written, unknown ones as null; ``evidence``
+    lists the caller's references.
+    """
     def text(name: str) -> Column:
         return F.nullif(F.trim(F.col(name).cast("string")), F.lit(""))
 
-    def record(signal: str, reference: str, note: str, source: dict[str, Column], distance: Column) -> Column:
-        return F.struct(
-            F.lit(signal).alias("signal_id"),
-            F.lit("unscreened_candidate").alias("review_state"),
-            F.lit(note).alias("review_notes"),
-            F.lit(config.RULES_VERSION).alias("rule_config_version"),
-            F.lit(reference).alias("rule_config_reference"),
-            *[source.get(f, F.lit(None).cast("string")).alias(f) for f in FEATURE_FIELDS],
-            distance.alias("distance_m"),
-            text("detector_model").alias("detector_model"),
-            text("detector_version").alias("detector_version"),
-            F.nullif(F.concat_ws(" / ", text("detector_model"), text("detector_version")), F.lit("")).alias(
-                "detector_model_version"
-            ),
-            F.col("confidence").alias("detector_confidence"),
-            text("imagery_date").alias("imagery_date"),
-        )
-
-    parts = [
-        F.when(
-            F.expr(technology_flag(technology)),
-            record(
-                config.TECHNOLOGY_SIGNAL, "technology",
-                "Model class signal only; no technology or legal status is established.",
-                {}, F.lit(None).cast("double"),
-            ),
-        )
-    ]
+    model, version = text("detector_model"), text("detector_version")
+    detector = {
+        "detector_model": model, "detector_version": version,
+        "detector_model_version": F.nullif(F.concat_ws(" / ", model, version), F.lit("")),
+        "detector_confidence": F.col("confidence").cast("double"), "imagery_date": text("imagery_date"),
+    }
+
+    def record(values: dict[str, Column]) -> Column:
+        known = {
+            "review_state": F.lit(config.UNREVIEWED), "rule_config_version": F.lit(config.RULES_VERSION),
+            "evidence_references": F.array(*map(F.lit, evidence)).cast("array<string>"), **detector, **values,
+        }
+        return F.struct(*[
+            known.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in config.PROVENANCE_FIELDS
+        ])
+
+    parts = [F.when(F.expr(technology_flag(technology)), record({
+        "signal_id": F.lit(config.TECHNOLOGY_SIGNAL), "rule_config_reference": F.lit("technology"),
+        "review_notes": F.lit(config.TECHNOLOGY_NOTE), "measurement_method": F.lit(config.TECHNOLOGY_METHOD),
+    }))]
     for r in rules:
         feature = F.col(f"{r.distance}_feature")
-        source = {f: feature[f].cast("string") for f in FEATURE_FIELDS}
-        source["source_layer_id"] = F.coalesce(source["source_layer_id"], F.lit(f"openstreetmap:{r.feature}"))
-        parts.append(
-            F.when(
-                F.expr(fires(r)),
-                record(
-                    r.id, f"siting_rules.{r.id}",
-                    "Mapped-feature screening signal; legal instrument mapping and applicability are unresolved.",
-                    source, F.col(r.distance),
-                ),
-            )
-        )
-    return F.to_json(F.filter(F.array(*parts), lambda p: p.isNotNull()))
+        source = {f: F.nullif(F.trim(feature[f].cast("string")), F.lit("")) for f in FEATURE_FIELDS}
+        for name, default in config.SOURCE_DEFAULTS.items():
+            source[name] = F.coalesce(source.get(name, F.lit(None).cast("string")), F.lit(default.format(layer=r.feature)))
+        parts.append(F.when(F.expr(fires(r)), record({
+            "signal_id": F.lit(r.id), "rule_config_reference": F.lit(f"siting_rules.{r.id}"),
+            "review_notes": F.lit(config.FEATURE_NOTE), "distance_m": F.col(r.distance),
+            "measurement_method": F.lit(config.FEATURE_METHOD), **source,
+        })))
+    return F.to_json(F.filter(F.array(*parts), lambda p: p.isNotNull()), {"ignoreNullFields": "false"})
 
 
-PROVENANCE_SCHEMA = (
-    "array<struct<signal_id string, review_state string, review_notes string, "
-    "rule_config_version string, feature_id string, source_layer_id string, distance_m double>>"
-)
+PROVENANCE_SCHEMA = "array<struct<" + ", ".join(f"{name}: {kind}" for name, kind in config.PROVENANCE_FIELDS) + ">>"
+
+
+def review_states_today(json_text: Column) -> Column:
+    """Stored provenance text with today's name of the review state; all other keys stay as they are."""
+    old = rf'("review_state"\s*:\s*)"{config.UNREVIEWED_BEFORE}"'
+    return F.regexp_replace(json_text, old, f'$1"{config.UNREVIEWED}"')
 
 
 def parse_provenance(json_text: Column, signals: Column) -> Column:
     """Stored provenance with today's review state; rows from before it was stored get one
     placeholder per signal."""
-    parsed = F.from_json(json_text, PROVENANCE_SCHEMA)
-    filled = F.transform(
-        signals,
-        lambda s: F.struct(
-            s.alias("signal_id"),
-            F.lit("unscreened_candidate").alias("review_state"),
-            F.lit("not recorded").alias("review_notes"),
-            F.lit(None).cast("string").alias("rule_config_version"),
-            F.lit(None).cast("string").alias("feature_id"),
-            F.lit(None).cast("string").alias("source_layer_id"),
-            F.lit(None).cast("double").alias("distance_m"),
-        ),
-    )
+    parsed = F.from_json(review_states_today(json_text), PROVENANCE_SCHEMA)
+
+    def placeholder(signal: Column) -> Column:
+        known = {"signal_id": signal, "review_state": F.lit(config.UNREVIEWED), "review_notes": F.lit("not recorded")}
+        return F.struct(*[
+            known.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in config.PROVENANCE_FIELDS
+        ])
+
     present = F.coalesce(F.size(parsed) > 0, F.lit(False))
-    return F.transform(
-        F.when(present, parsed).otherwise(filled),
-        lambda p: p.withField(
-            "review_state",
-            F.when(p["review_state"] == "unverified_candidate", F.lit("unscreened_candidate")).otherwise(
-                p["review_state"]
-            ),
-        ),
-    )
+    return F.when(present, parsed).otherwise(F.transform(signals, placeholder))
 
 
 def signal_status(rule: Rule) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -130,17 +131,30 @@ def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
 
 
 def run_intake(stream: DataFrame, extent: Sequence[float], good: str, bad: str, checkpoint: str) -> StreamingQuery:
-    """Route reports to an accepted and a rejected table."""
+    """Route reports to an accepted and a rejected table; however late a report comes, it is routed.
+
+    A report that came before, by its id, is left out: the ids of the tables written so far
+    are the memory, so repeats are found without a bound on time.
+    """
     timed = stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    unique = timed.withWatermark("created_at", "1 hour").dropDuplicatesWithinWatermark(["id"])
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        routed = route_reports(batch, extent).withColumn("batch", F.lit(batch_id))
+        spark, fresh = batch.sparkSession, batch.dropDuplicates(["id"])
+        ids = f"id {dict(batch.dtypes)['id']}, batch int"
+        for path in (good, bad):
+            try:
+                before = spark.read.schema(ids).parquet(path).filter(F.col("batch") != batch_id)
+            except AnalysisException as error:
+                if "PATH_NOT_FOUND" not in str(error):
+                    raise
+                continue
+            fresh = fresh.join(before.select("id"), "id", "left_anti")
+        routed = route_reports(fresh, extent).withColumn("batch", F.lit(batch_id))
         # Overwriting the batch's own partition makes a replay harmless.
         for where, path in (("result = 'accepted'", good), ("result <> 'accepted'", bad)):
             routed.filter(where).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
-    return unique.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return timed.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_upsert(stream: DataFrame, by: Sequence[str], order: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrasift.functions import text
-from terrasift.operators import chips, ranking, serving, spatial
+from terrasift.operators import chips, ranking, rules, serving, spatial
 from terrasift.session import scratch_dir
 from terrasift.streaming import events
 
@@ -73,3 +73,25 @@ def test_cluster_session_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         scratch_dir(Session())
+
+
+def test_review_state_keeps_the_other_keys(spark):
+    stored = '[{"signal_id":"a","review_state": "unverified_candidate","reviewer":"X","other":5}]'
+    df = spark.createDataFrame([(stored, ["z"]), (None, ["q"])], "j string, s array<string>")
+    got = df.select(rules.parse_provenance(F.col("j"), F.col("s")).alias("p"), rules.review_states_today(F.col("j")).alias("t")).collect()
+    assert got[0].t == stored.replace("unverified", "unscreened")
+    assert (got[0].p[0].reviewer, got[0].p[0].review_state) == ("X", "unscreened_candidate")
+    assert (got[1].p[0].signal_id, got[1].p[0].review_notes) == ("q", "not recorded")
+
+
+def test_late_and_repeated_reports_in_several_batches(spark, tmp_path):
+    source, extent = str(tmp_path / "in"), (20.0, 80.0, 27.0, 93.0)
+    batches = [[(1, "12:00:00"), (2, "12:10:00")], [(3, "12:20:00"), (1, "12:00:00")], [(4, "09:00:00"), (5, "25:00:00")]]
+    for rows in batches:
+        values = [(i, f"2024-05-01 {t}" if t < "24" else None, 23.0, 90.0, "smoke" if i != 2 else "", "x") for i, t in rows]
+        schema = "id long, created_at string, lat double, lon double, kind string, reason string"
+        spark.createDataFrame(values, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        events.run_intake(stream, extent, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "mark")).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "good")).collect()) == [1, 3, 4, 5]
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [2]
