@@ -42,6 +42,8 @@ THRESHOLD = 0.7
 STEMS = range(4, 9)
 #: How often every toxic text is to be covered; terms at most.
 COVER, TERMS = 8, 400
+#: Terms expected to be chosen by chance.
+CHANCE = 0.05
 #: Shortest terms that allow one and two edits.
 ONE_EDIT, TWO_EDITS = 5, 10
 WINDOW = 8
@@ -246,9 +248,9 @@ def learn_terms(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
     spoiled: Counter[str] = Counter()
     for words in clean:
         spoiled.update(u for u in units(set(words)) if u in often)
-    # With this bound about one term of all candidates would be pure by chance.
+    # A bound on the terms of all candidates that would be pure by chance.
     base = len(toxic) / max(1, len(toxic) + len(clean))
-    least = max(3, math.ceil(math.log(max(len(often), 1)) / -math.log(min(max(base, 1e-6), 0.9))))
+    least = max(3, math.ceil(math.log(max(len(often), 1) / CHANCE) / -math.log(min(max(base, 1e-6), 0.9))))
     # Not more than one clean text in fifty of what the toxic rate would give.
     pure = {u for u, n in often.items() if n >= least and spoiled[u] / max(1, len(clean)) <= 0.02 * n / len(toxic)}
     holders: dict[str, list[int]] = {u: [] for u in pure}
@@ -265,14 +267,19 @@ def learn_terms(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
     need = np.full(len(toxic), COVER)
     chosen: list[str] = []
     while len(chosen) < TERMS and pure:
-        # Shorter beginnings and whole words first among equals.
-        gain, _, _, unit = max((int((need[holders[u]] > 0).sum()), u[-1] != "*", -len(u), u) for u in pure)
+        # Whole words and the longest, most telling beginnings first among equals.
+        gain, _, _, unit = max((int((need[holders[u]] > 0).sum()), u[-1] != "*", len(u), u) for u in pure)
         if gain < least:
             break
         chosen.append(unit)
         need[holders[unit]] -= 1
         stem = unit.rstrip("*")
-        pure = {u for u in pure if u != unit and not (unit[-1] == "*" and u.startswith(stem))}
+        # What a beginning covers is done, and so is a shorter one that holds hardly more texts.
+        pure = {
+            u for u in pure if u != unit and not (unit[-1] == "*" and (
+                u.startswith(stem) or u[-1] == "*" and stem.startswith(u[:-1]) and counts[u] < 1.2 * counts[unit]
+            ))
+        }
     return chosen
 
 
