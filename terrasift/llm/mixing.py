@@ -29,7 +29,8 @@ from terrasift.llm.common import WORD, row_mark, stage, text_of
 
 BLOCK_BITS = 10
 BLOCKS = 1 << BLOCK_BITS
-SHARDS = 64  # a power of two
+#: Output shards at least, a power of two, and words that a shard is to hold about.
+SHARDS, SHARD_WORDS = 64, 20_000_000
 WEIGHTS = (1, 2, 3)
 MOST = 3  # passes over a source
 SEED = 17
@@ -106,6 +107,14 @@ def _opened(groups: DataFrame, keys: list[str], block: str, rest: str) -> DataFr
     )
 
 
+def shards_for(sized: DataFrame) -> int:
+    """Number of shards, doubled until a shard holds about ``SHARD_WORDS`` words."""
+    words_in_all, shards = sized.agg(F.sum("size")).first()[0] or 0, SHARDS
+    while shards * SHARD_WORDS < words_in_all:
+        shards *= 2
+    return shards
+
+
 def quotas(sized: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """One row per source: target, whole passes, where the last pass ends, and shard runs.
 
@@ -257,17 +266,19 @@ def with_copies(rows: DataFrame, plan: DataFrame, most: int = MOST) -> DataFrame
     return joined.withColumn("copies", copies).withColumn("shards", shards)
 
 
-def amounts(docs: DataFrame, **how) -> DataFrame:
+def amounts(docs: DataFrame, shards: int | None = None, seed: int = SEED, **how) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies, shards."""
-    sized = sizes(docs, how.get("seed", SEED))
-    return with_copies(sized, quotas(sized, **how)).select(
+    sized = sizes(docs, seed)
+    return with_copies(sized, quotas(sized, shards or shards_for(sized), seed=seed, **how)).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "shards"
     )
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **how) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, seed: int = SEED, **how) -> DataFrame:
     """The mixed documents, repeated as drawn, by shard and in random order inside a shard."""
-    plan = quotas(sizes(docs, seed), shards=shards, seed=seed, **how)
+    sized = sizes(docs, seed)
+    shards = shards or shards_for(sized)
+    plan = quotas(sized, shards=shards, seed=seed, **how)
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("_row"), "source", draw_key(seed).alias("key"))
     drawn = with_copies(rows, plan).select("_row", "key", F.posexplode("shards").alias("_pass", "_shard"))
