@@ -37,9 +37,9 @@ from terrasift.llm.common import stage
 K = 20
 TREES = 12
 #: Share of all trees' leaves that a query visits. Near-isotropic vectors need this much for a recall of 0.9.
-VISITED = 0.09
+VISITED = 0.075
 #: Rows that the trees are fitted on at most, and of those in a leaf.
-SAMPLE, LEAF = 50_000, 512
+SAMPLE, LEAF = 16_384, 256
 #: Rows of a leaf, and queries, that meet in one task at once.
 BLOCK = 4096
 QUERIES = 100_000
