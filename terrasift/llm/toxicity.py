@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from terrasift.llm.common import fold, stage
 
 FOLDS, HELD_OUT = 3, 1
-TOXIC, CLEAN, CUT, SEED = 2_000, 10_000, 20_000, 13
+TOXIC, CLEAN, CUT, SEED = 1_200, 8_000, 20_000, 13
 THRESHOLD = 0.7
 #: Beginnings of words that may become terms, by length.
 STEMS = range(4, 9)
@@ -321,7 +322,8 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = [(label, text, words_of(text)) for label, text in training_texts(docs, labels)]
+    # Equal words of all texts are one object.
+    sample = [(label, text, list(map(sys.intern, words_of(text)))) for label, text in training_texts(docs, labels)]
     toxic, clean = [w for y, _, w in sample if y], [w for y, _, w in sample if not y]
     if not toxic or not clean:
         return Model()
