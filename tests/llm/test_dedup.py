@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 from brute import components, fingerprint, normalised
-from conftest import rows
+from samples import rows
 from pyspark.sql import functions as F
 
 from terrasift.llm import exact_dedup, simhash_dedup

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from brute import n_words, targets
-from conftest import rows
+from samples import rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from brute import components, fingerprint, n_words, normalised, targets
-from conftest import DOCUMENTS
+from samples import DOCUMENTS
 from tokenizers import Tokenizer
 
 import corpus_pipeline

@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import ENGLISH, rows
+from samples import ENGLISH, rows
 from pyspark.sql import functions as F
 
 from terrasift.llm import chat_format, html_extract, language_id, neighbours, toxicity
