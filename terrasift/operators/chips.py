@@ -57,7 +57,7 @@ def class_counts(df: DataFrame, by: str = "split", labels: str = "labels") -> Da
     """Label counts per split and class, zero-filled; ids without a name count as ``unknown``."""
     names = [*CLASS_NAMES.values(), "unknown"]
     lines = df.selectExpr(by, f"explode({remap_lines(labels)}) AS line").selectExpr(
-        by, f"{class_name('cast(split(line, chr(32))[0] AS int)')} AS class"
+        by, class_name("cast(split(line, ' ')[0] AS int)") + " AS class"
     ).withColumn("class", F.when(F.col("class").isin(*CLASS_NAMES.values()), F.col("class")).otherwise("unknown"))
     counts = lines.groupBy(by).pivot("class", names).count()
     everything = df.select(by).distinct().join(counts, by, "left")

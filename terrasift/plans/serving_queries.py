@@ -127,7 +127,7 @@ def rule_rows(t: Tables) -> DataFrame:
 simple("coalesce_distance_aliases", ["kiln_id", "coalesce(dist_railways_m, try_cast(concat(kiln_id, '.5') AS double), dist_water_m) AS rail_m"],
        "SELECT kiln_id, coalesce(dist_railways_m, (kiln_id || '.5')::DOUBLE) AS rail_m FROM served")
 simple("class_fallback", ["kiln_id", f"{S.site_class()} AS kind"], "SELECT kiln_id, coalesce(class_name, class) AS kind FROM served")
-simple("clean_text", ["kiln_id", f"{S.clean('upazila')} AS upazila", f"{S.clean_nullish('(CASE kiln_id % 3 WHEN 0 THEN chr(78) || chr(97) || chr(78) ELSE district END)')} AS district"],
+simple("clean_text", ["kiln_id", f"{S.clean('upazila')} AS upazila", S.clean_nullish("(CASE kiln_id % 3 WHEN 0 THEN 'NaN' ELSE district END)") + " AS district"],
        "SELECT kiln_id, nullif(trim(upazila), '') AS upazila, CASE WHEN kiln_id % 3 <> 0 THEN district END AS district FROM served")
 simple("area_labels", ["kiln_id", f"coalesce({S.area_label()}, 'unknown area') AS area"],
        "SELECT kiln_id, concat_ws(', ', nullif(trim(upazila), ''), district) AS area FROM served")
