@@ -3,8 +3,10 @@
 The lexicon is learnt: whole words and word beginnings that occur in toxic training texts and
 hardly in clean ones, chosen greedily so that every toxic text is covered a few times. A word
 is matched by running it through the product of the trie and the Levenshtein automaton of all
-its terms at once; product states are built when first met. Long terms allow one edit, very
-long ones two; near forms that clean training texts use are let pass.
+its terms at once; product states are built when first met. Long terms, whole words and
+beginnings alike, allow one edit, very long ones two. A beginning comes with the telling whole
+words of its family, so that short ones have a term for their misspellings too. Near forms are
+let pass where clean training texts use them well more often than toxic ones do.
 
 Every hit is scored in a window of words around it: quotation marks, words of reporting and
 words of address tell a quotation from abuse. A logistic model over the hits' sums gives the
@@ -47,6 +49,8 @@ COVER, TERMS = 8, 400
 CHANCE = 0.05
 #: Shortest terms that allow one and two edits.
 ONE_EDIT, TWO_EDITS = 5, 10
+#: A near form is let pass if so many clean texts use it, at this share of its rate in toxic texts at least.
+SEEN_CLEAN, ORDINARY = 2, 0.1
 WINDOW = 8
 #: Words whose match a task remembers, and product states; emptied when full.
 REMEMBERED, STATES = 300_000, 200_000
@@ -77,7 +81,7 @@ class Lexicon:
         for number, term in enumerate(self.terms):
             stem = term.endswith("*")
             letters = term.rstrip("*")
-            allowed = 0 if stem else int(len(letters) >= ONE_EDIT) + int(len(letters) >= TWO_EDITS)
+            allowed = int(len(letters) >= ONE_EDIT) + int(len(letters) >= TWO_EDITS)
             node = 0
             self.slack[0] = max(self.slack[0], allowed)
             for c in letters:
@@ -127,11 +131,15 @@ class Lexicon:
         self.steps[state][letter] = found = self._state(places)
         return found
 
-    def _end(self, state: int, stem: bool) -> tuple[int, int] | None:
-        """(edits, term) of the closest term that ends here."""
+    def _end(self, state: int, letter: str | None = None) -> tuple[int, int] | None:
+        """(edits, term) of the closest whole term that ends here, or with ``letter``, the last read, of the closest beginning.
+
+        A beginning's last letter must be there: without it, the edit would make a shorter beginning of it.
+        """
         return min((
             (edits, self.ends[node][0]) for node, edits in self.states[state]
-            if self.ends[node] and self.ends[node][2] == stem and edits <= self.ends[node][1]
+            if self.ends[node] and self.ends[node][2] == (letter is not None) and edits <= self.ends[node][1]
+            and (not edits or letter is None or self.terms[self.ends[node][0]][-2] == letter)
         ), default=None)
 
     def match(self, word: str) -> tuple[int, int] | None:
@@ -140,23 +148,23 @@ class Lexicon:
             return self.memory[word]
         if len(self.memory) >= REMEMBERED or len(self.states) >= STATES:
             self._reset()
-        state, found = self.start, None
-        for letter in word:
-            state = self.steps[state].get(letter, -2) if letter in self.steps[state] else self._step(state, letter)
-            if state < 0:
-                break
-            stem = self._end(state, True)
-            if stem and (found is None or stem < found):
-                found = stem
-        if state >= 0:
-            whole = self._end(state, False)
-            if whole and (found is None or whole < found):
-                found = whole
-        if found and found[0] and word in self.passed:
-            found = None
+        found = min((k for k, form in self.matches(word) if not k[0] or form not in self.passed), default=None)
         self.memory[word] = found
         return found
 
+    def matches(self, word: str) -> list[tuple[tuple[int, int], str]]:
+        """(edits, term) and form of every match: the word, or as far as a beginning reaches, starred."""
+        state, out = self.start, []
+        for at, letter in enumerate(word, 1):
+            state = self.steps[state].get(letter, -2) if letter in self.steps[state] else self._step(state, letter)
+            if state < 0:
+                return out
+            if stem := self._end(state, letter):
+                out.append((stem, f"{word[:at]}*"))
+        if whole := self._end(state):
+            out.append((whole, word))
+        return out
+
 
 @dataclass
 class Hit:
@@ -267,6 +275,7 @@ def learn_terms(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
     pure = {u for u in pure if u[-1] != "*" or counts[u] >= 1.5 * largest[u]}
     need = np.full(len(toxic), COVER)
     chosen: list[str] = []
+    family: set[str] = set()
     while len(chosen) < TERMS and pure:
         # Whole words and the longest, most telling beginnings first among equals.
         gain, _, _, unit = max((int((need[holders[u]] > 0).sum()), u[-1] != "*", len(u), u) for u in pure)
@@ -275,13 +284,15 @@ def learn_terms(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
         chosen.append(unit)
         need[holders[unit]] -= 1
         stem = unit.rstrip("*")
+        # A word under a beginning stays a term, for misspellings that the beginning misses; it adds no cover.
+        family |= {u for u in pure if unit[-1] == "*" and u[-1] != "*" and u.startswith(stem)}
         # What a beginning covers is done, and so is a shorter one that holds hardly more texts.
         pure = {
             u for u in pure if u != unit and not (unit[-1] == "*" and (
                 u.startswith(stem) or u[-1] == "*" and stem.startswith(u[:-1]) and counts[u] < 1.2 * counts[unit]
             ))
         }
-    return chosen
+    return chosen + sorted(family.difference(chosen))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, steps: int = 60) -> np.ndarray:
@@ -329,12 +340,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model()
     terms = learn_terms(toxic, clean)
     lexicon = Lexicon(terms)
-    near: Counter[str] = Counter()
-    for words in clean:
-        near.update(w for w in set(words) if (m := lexicon.match(w)) and m[0])
-    model = Model(terms, sorted(near))
-    lexicon = Lexicon(model.terms, model.passed)
-    x = np.array([features(*hits(text, lexicon)) for _, text, _ in sample])
+    near: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
+    for label, _, words in sample:
+        near[label].update({
+            form for w in set(words) if (m := lexicon.match(w)) and m[0] for k, form in lexicon.matches(w)
+        })
+    # Nothing is learnt from near forms of clean texts: what is seen there once may be wrongly labelled.
+    taught = Lexicon(terms, near[0])
+    x = np.array([features(*hits(text, taught)) for _, text, _ in sample])
+    passed = (w for w, n in near[0].items() if n >= SEEN_CLEAN and n / len(clean) >= ORDINARY * near[1][w] / len(toxic))
+    model = Model(terms, sorted(passed))
     model.weights = logistic(x, np.array([y for y, _, _ in sample], float)).tolist()
     return model
 

@@ -109,6 +109,35 @@ def test_toxicity_learns_and_holds_out(spark, odd_docs, no_docs):
     assert {r.score for r in toxicity.score(odd_docs, toxicity.Model()).collect()} == {0.0}
 
 
+def test_misspelled_beginnings_match():
+    lexicon = toxicity.Lexicon(["grobia*", "abcd*"])
+    # Substituted, left out, put in; the last letter has to be there, and short beginnings allow nothing.
+    assert [lexicon.match(w) and lexicon.match(w)[0] for w in ("grobians", "gropians", "grbians", "gronbians", "grobi", "grobixns", "abxdef")] == [
+        0, 1, 1, 1, None, None, None
+    ]
+
+
+def test_family_words_stay_terms():
+    ends = ["er", "en", "ung", "heit", "lich"]
+    toxic = [[f"word{i}x{j}" for j in range(9)] + [f"abcd{ends[i % 5]}"] for i in range(100)]
+    clean = [[f"other{i}x{j}" for j in range(9)] for i in range(400)]
+    terms = toxicity.learn_terms(toxic, clean)
+    assert "abcd*" in terms and {f"abcd{e}" for e in ends} <= set(terms)
+    assert toxicity.Lexicon(terms).match("axcdung")[0] == 1
+
+
+def test_one_mislabelled_text_passes_nothing(monkeypatch):
+    filler = random.Random(3)
+    line = lambda word: " ".join([*(f"w{filler.randrange(10**6)}" for _ in range(20)), word])
+    sample = [(1, line("cretyn" if i < 6 else "cretin")) for i in range(60)]
+    sample += [(0, line("cretyn" if i < 1 else "crefin" if i == 1 else "cremin" if i < 12 else "calm")) for i in range(300)]
+    monkeypatch.setattr(toxicity, "training_texts", lambda docs, labels: sample)
+    model = toxicity.fit(None, None)
+    assert model.passed == ["cremin"]
+    lexicon = toxicity.Lexicon(model.terms, model.passed)
+    assert lexicon.match("cretyn") and lexicon.match("crefin") and lexicon.match("cremin") is None
+
+
 @pytest.fixture(scope="module")
 def labeller(spark):
     return html_extract.train(spark.read.parquet(f"{FOLDER}/pages.parquet"))
