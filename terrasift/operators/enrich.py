@@ -137,12 +137,12 @@ def explode_lines(df: DataFrame, lines: str = "lines") -> DataFrame:
 
 
 def layer_completeness(features: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """Feature count and count per km2 for every district and layer."""
+    """Feature count and count per km2 for every district and layer; null per km2 without a boundary."""
     area = (
         "abs((east - west) * 111.32D * cos(radians((south + north) / 2)) * (north - south) * 110.574D) AS km2"
     )
     counts = features.groupBy("district", "layer").agg(F.expr("count(1) AS n"))
-    return counts.join(boundaries.selectExpr("shapeName AS district", area), "district").selectExpr(
+    return counts.join(boundaries.selectExpr("shapeName AS district", area), "district", "left").selectExpr(
         "district", "layer", "n", "n / km2 AS per_km2"
     )
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,40 +43,44 @@ def rate_limit(df: DataFrame, session: str = "session", at: str = "created_at",
     session is cut into bursts at such pauses and each burst is read in time order as a
     stream of batches holding only its last accepted times. Pauses are found on one row per
     session and window-long slot, not on the events.
+
+    Every row comes back once, whatever its id. Reports without a session share one; a report
+    without a time fits no window, so it is refused and does not count.
     """
     timed = df.withColumns({"_at": F.expr(f"unix_micros(cast({at} AS timestamp))"), "_slot": F.expr(f"floor(unix_micros(cast({at} AS timestamp)) / {window_s * 1000000})")})
-    slots = timed.groupBy(session, "_slot").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    placed = timed.filter("_at IS NOT NULL")
+    slots = placed.groupBy(session, "_slot").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
     before = ranking.previous_row(slots, [session], [F.col("_slot")], ["_last"])
     starts = before.withColumn(
         "_cut", F.expr(f"CASE WHEN prev__last IS NULL OR _first - prev__last >= {window_s * 1000000} THEN 1 ELSE 0 END")
     )
     bursts = ranking.ordinal(starts, [F.col("_slot")], [session], "_burst", weight="_cut").select(session, "_slot", "_burst")
-    parted = timed.join(bursts, [session, "_slot"]).select(session, "_burst", "_at", key)
+    parted = ranking._same_group(placed, bursts, [session, "_slot"]).drop("_slot")
     ordered = parted.repartition(session, "_burst").sortWithinPartitions(session, "_burst", "_at", key)
-    kinds = dict(parted.dtypes)
-    flags = ordered.mapInPandas(_sliding(session, key, limit, window_s * 1000000), f"{key} {kinds[key]}, allowed boolean")
-    return df.join(flags, key)
+    flagged = ordered.withColumn("allowed", F.lit(True))
+    flags = flagged.mapInArrow(_sliding(session, limit, window_s * 1000000), flagged.schema).select(*df.columns, "allowed")
+    return flags.unionByName(timed.filter("_at IS NULL").select(*df.columns, F.lit(False).alias("allowed")))
 
 
-def _sliding(session: str, key: str, limit: int, window: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sliding(session: str, limit: int, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, kept = None, []
-        for pdf in batches:
+        for batch in batches:
             allowed = []
-            for who, burst, now in zip(pdf[session], pdf["_burst"], pdf["_at"]):
+            for who, burst, now in zip(*(batch.column(c).to_pylist() for c in (session, "_burst", "_at"))):
                 if (who, burst) != current:
                     current, kept = (who, burst), []
                 kept = [t for t in kept if now - t < window]
                 allowed.append(len(kept) < limit)
                 if allowed[-1]:
                     kept.append(now)
-            yield pd.DataFrame({key: pdf[key], "allowed": allowed})
+            yield batch.set_column(batch.schema.get_field_index("allowed"), "allowed", pa.array(allowed, pa.bool_()))
 
     return run
 
 
 def rate_limit_stream(df: DataFrame, limit: int = RATE_LIMIT, window_s: int = RATE_WINDOW_S) -> DataFrame:
-    """Streaming twin: the accepted times of a session are its whole state."""
+    """Streaming twin: the accepted times of a session are its whole state; the same defined cases."""
     span = window_s * 1000000
 
     def step(key, batches, state: GroupState):
@@ -83,6 +88,9 @@ def rate_limit_stream(df: DataFrame, limit: int = RATE_LIMIT, window_s: int = RA
         rows = pd.concat(list(batches)).sort_values(["at", "id"])
         allowed = []
         for now in rows["at"]:
+            if pd.isna(now):
+                allowed.append(False)
+                continue
             kept = [t for t in kept if now - t < span]
             allowed.append(len(kept) < limit)
             if allowed[-1]:

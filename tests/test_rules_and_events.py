@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrasift import config
 from terrasift.functions.stats import wilson
-from terrasift.operators import audit, chips, ranking, rules, score
+from terrasift.operators import audit, chips, enrich, ranking, rules, score
 from terrasift.operators import serving
 from terrasift.sources import chips as source
 from terrasift.streaming import events
@@ -125,6 +125,29 @@ def test_rate_limit_stream_matches_loop(spark, tmp_path):
     assert got == _allowed(rows)
 
 
+def test_rate_limit_keeps_rows_without_session_time_or_id(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, None, start + dt.timedelta(minutes=i)) for i in range(5)] + [(None, 1, start), (None, 1, start), (7, 1, None), (8, None, None)]
+    df = spark.createDataFrame(rows, "id long, session long, created_at timestamp")
+    want = sorted(
+        [(i, None, i < 3) for i in range(5)] + [(None, 1, True)] * 2 + [(7, 1, False), (8, None, False)], key=str
+    )
+    got = events.rate_limit(df).select("id", "session", "allowed").collect()
+    assert sorted(map(tuple, got), key=str) == want
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    events.run_once(events.rate_limit_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = spark.read.parquet(str(tmp_path / "out")).select("id", "session", "allowed").collect()
+    assert sorted(map(tuple, got), key=str) == want
+
+
+def test_layers_without_a_boundary_are_counted(spark):
+    features = spark.createDataFrame([("a", "water"), ("b", "water"), ("b", "water"), (None, "water")], "district string, layer string")
+    boundaries = spark.createDataFrame([("a", 90.0, 23.0, 90.1, 23.1)], "shapeName string, west double, south double, east double, north double")
+    got = {(r.district, r.n, r.per_km2 is None) for r in enrich.layer_completeness(features, boundaries).collect()}
+    assert got == {("a", 1, False), ("b", 2, True), (None, 1, True)}
+
+
 def test_hull_matches_square(spark):
     rows = [("a", float(x), float(y)) for x in range(0, 1001, 50) for y in range(0, 1001, 50)]
     df = spark.createDataFrame(rows, "g string, x double, y double")
