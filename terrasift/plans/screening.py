@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -248,11 +250,15 @@ def ranked_sites(t: Tables) -> DataFrame:
     )
 
 
+def all_components(t: Tables, radius: float = config.SCORING.exposure_radius_m) -> DataFrame:
+    """The three raw exposure components of every site."""
+    area = radius_area(t.sites_xy(), cut_lineage(t.settlement_polygons(), "homes"), "kiln_id", radius, "settlement_area")
+    return exposures(t, radius).join(area.select("kiln_id", "settlement_area"), "kiln_id").select("kiln_id", *score.COMPONENTS)
+
+
 @query("priority_with_settlement_area")
 def full_priority(t: Tables) -> DataFrame:
-    area = radius_area(t.sites_xy(), cut_lineage(t.settlement_polygons(), "homes"), "kiln_id", 1000.0, "settlement_area")
-    counts = exposures(t).join(area.select("kiln_id", "settlement_area"), "kiln_id")
-    df = signals(t).join(counts.select("kiln_id", *score.COMPONENTS), "kiln_id")
+    df = signals(t).join(all_components(t), "kiln_id")
     return score.prioritise(df).select("kiln_id", *score.COMPONENTS, "exposure", "priority", "priority_rank", "priority_band")
 
 
@@ -288,6 +294,35 @@ def sensitivity(t: Tables) -> DataFrame:
     return out.withColumn("spearman_rho", metres(F.col("spearman_rho"), 6))
 
 
+def weight_sets() -> dict[str, dict[str, float]]:
+    """The configured weights, and each weight doubled in turn (a zero becomes one)."""
+    base = config.SCORING.weights
+    return {"baseline": base} | {f"{c}_doubled": base | {c: 2 * w if w else 1.0} for c, w in base.items()}
+
+
+@query("rank_sensitivity_by_radius_and_weights")
+def sensitivity_grid(t: Tables, radii: Sequence[float] = config.SCORING.sensitivity_radii_m) -> DataFrame:
+    """Top 20 of every radius and weight set against the first radius with the configured weights."""
+    severe = cut_lineage(signals(t).select("kiln_id", "confidence", "breach_severity_score"), "severe")
+    tops = {}
+    for radius in radii:
+        raw = cut_lineage(severe.join(all_components(t, radius), "kiln_id"), "raw")
+        norm = cut_lineage(score.add_exposure(raw), "norm")
+        for name, weights in weight_sets().items():
+            expo = F.lit(0.0)
+            for c in score.COMPONENTS:
+                expo = expo + F.lit(weights[c]) * F.col(f"{c}_normalized")
+            # Ranks fall with the priority, so its negative puts the sites in the same order.
+            ordered = norm.select("kiln_id", (-score.priority(expo)).alias("priority_rank"))
+            tops[f"{radius:g}:{name}"] = cut_lineage(score.top_k(ordered), "top")
+    out = score.rank_sensitivity(tops, next(iter(tops)))
+    return out.select(
+        F.split_part("variant", F.lit(":"), F.lit(1)).cast("double").alias("radius_m"),
+        F.split_part("variant", F.lit(":"), F.lit(2)).alias("weights"),
+        "top20_overlap", metres(F.col("spearman_rho"), 6).alias("spearman_rho"),
+    )
+
+
 @query("top_list_intersection", f"""WITH {SCORE_CTES},
 a AS (SELECT kiln_id FROM prio ORDER BY priority_rank, kiln_id LIMIT 20),
 b AS (SELECT kiln_id FROM prio ORDER BY confidence DESC, kiln_id LIMIT 20)

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,9 @@ from terrasift import config
 from terrasift.functions.stats import wilson
 from terrasift.operators import audit, chips, enrich, ranking, rules, score
 from terrasift.operators import serving
+from terrasift.operators.area import radius_area
+from terrasift.plans import screening
+from terrasift.plans.tables import Tables
 from terrasift.sources import chips as source
 from terrasift.streaming import events
 
@@ -148,6 +152,32 @@ def test_layers_without_a_boundary_are_counted(spark):
     assert got == {("a", 1, False), ("b", 2, True), (None, 1, True)}
 
 
+def test_sensitivity_covers_radii_and_weights(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    sites = t.sites_xy().select("kiln_id", "x", "y").join(screening.signals(t).select("kiln_id", "confidence", "breach_severity_score"), "kiln_id").toPandas()
+    mapped = t.features_xy().select("layer", "x", "y").toPandas()
+    want, base = {}, None
+    for radius in (500.0, 2000.0):
+        area = radius_area(t.sites_xy(), t.settlement_polygons(), "kiln_id", radius, "a").select("kiln_id", "a").toPandas().set_index("kiln_id").a
+        raw = {"settlement_area": sites.kiln_id.map(area)}
+        for layer in ("schools", "hospitals"):
+            f = mapped[mapped.layer == layer]
+            near = (sites.x.to_numpy()[:, None] - f.x.to_numpy()) ** 2 + (sites.y.to_numpy()[:, None] - f.y.to_numpy()) ** 2 <= radius**2
+            raw[f"n_{layer}"] = pd.Series(near.sum(axis=1))
+        norm = {c: v.rank(pct=True).where(v != 0, 0.0) for c, v in raw.items()}
+        for name in ("baseline", *(f"{c}_doubled" for c in score.COMPONENTS)):
+            expo = sum((2.0 if name == f"{c}_doubled" else 1.0) * norm[c] for c in score.COMPONENTS)
+            ranked = sites.assign(p=(sites.confidence * sites.breach_severity_score * (1 + expo)).round(9)).sort_values(["p", "kiln_id"], ascending=[False, True])
+            top = list(ranked.kiln_id[:20])
+            base = base or top
+            both = [k for k in base if k in top]
+            rho = pd.Series([base.index(k) for k in both]).rank().corr(pd.Series([top.index(k) for k in both]).rank())
+            want[radius, name] = (len(both), rho)
+    got = {(r.radius_m, r.weights): (r.top20_overlap, r.spearman_rho) for r in screening.sensitivity_grid(t, (500.0, 2000.0)).collect()}
+    assert got.keys() == want.keys() and len(config.SCORING.sensitivity_radii_m) == 5
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-6) for k in want)
+
+
 def test_hull_matches_square(spark):
     rows = [("a", float(x), float(y)) for x in range(0, 1001, 50) for y in range(0, 1001, 50)]
     df = spark.createDataFrame(rows, "g string, x double, y double")
