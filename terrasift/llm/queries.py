@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm import chat_format, exact_dedup, html_extract, language_id, mixing, neighbours, packing, sharding, simhash_dedup, toxicity
+from terrasift.llm import chat_format, exact_dedup, html_extract, language_id, mixing, neighbours, packing, sharding, simhash_dedup, toxicity, whitening
 from terrasift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.components(table(spark, sf_dir, "documents")).select(
         "doc_id", simhash_dedup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id"
     )
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
