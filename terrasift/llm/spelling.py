@@ -19,6 +19,7 @@ rule needs the id; repeated rows count each; runs that lose their letter so that
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import zlib
@@ -37,43 +38,97 @@ RUN = "[a-zÀ-ÿ]"
 SHORTEST, RARE, CHANCE, FACTOR = 6, 5, 199, 5
 #: Letters a word can hold: a-z and U+00C0 to U+00FF.
 FIRST, LATIN, SIZE = ord("a"), 0xC0, 26 + 64
-CELL, FIT, LEAF, DEPTH = 4096, 4096, 32, 6
+#: Words of a cell, words a tree is fitted on, words of a leaf inside a task, levels of a fitted tree.
+CELL, FIT, LEAF, DEPTH = 16_384, 4096, 64, 6
+#: Counts of a letter that are told apart by bits, and letters of a word that lie in a row of an array.
+LEVELS, WIDEST = 7, 64
 #: Different words that a task counts before it hands the counts on.
 HELD = 200_000
 
 
-def document_words(text: str, prefix: int | None, shortest: int = SHORTEST, chance: int = CHANCE) -> Counter:
-    """Words of one text with their counts; ``prefix`` is the crc32 of ``<doc_id>:``."""
-    found = Counter()
-    # A longer run may lose a letter, a shorter one never counts. bytes.lower() touches A-Z only.
-    for word, n in Counter(re.findall(RUN + "{%d,}" % shortest, text.encode().lower().decode())).items():
-        if prefix is not None and (h := zlib.crc32(word.encode(), prefix)) % chance == 0:
-            at = h % len(word)
-            word = word[:at] + word[at + 1:]
-            if len(word) < shortest:
-                continue
-        found[word] += n
-    return found
+class WordCounts:
+    """Counts of the words of many texts, by numbers of the words seen so far.
+
+    The crc32 of ``<doc_id>:<word>`` is the crc32 of the prefix, moved on by the word's bytes,
+    xor the crc32 of the word alone; so each word's own is taken once.
+    """
+
+    def __init__(self, shortest: int, chance: int):
+        # A longer run may lose a letter, a shorter one never counts.
+        self.runs = re.compile(RUN + "{%d,}" % shortest)
+        self.shortest, self.chance = shortest, chance
+        step = np.arange(256, dtype=np.uint32)
+        for _ in range(8):
+            step = np.where(step & 1, step >> 1 ^ np.uint32(0xEDB88320), step >> 1)
+        self.step = step
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        self.crc, self.bytes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.counts, self.cut = np.zeros(0, np.int64), Counter()
+
+    def add(self, ids: list[str | None], texts: list[str]) -> None:
+        # bytes.lower() touches A-Z only.
+        found = [self.runs.findall(text.encode().lower().decode()) for text in texts]
+        words = list(itertools.chain.from_iterable(found))
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        new = [w.encode() for w in itertools.islice(self.number, len(self.crc), None)]
+        self.crc = np.concatenate([self.crc, np.array([zlib.crc32(w) for w in new], np.uint32)])
+        self.bytes = np.concatenate([self.bytes, np.array([len(w) for w in new], np.int64)])
+        self.counts = np.concatenate([self.counts, np.zeros(len(new), np.int64)])
+
+        doc = np.repeat(np.arange(len(ids)), [len(f) for f in found])
+        moved = np.array([0 if i is None else zlib.crc32(f"{i}:".encode()) for i in ids], np.uint32)
+        sizes = self.bytes[at]
+        order = np.argsort(sizes, kind="stable")
+        h = np.zeros(len(at), np.uint32)
+        shifts = 0
+        for size, index in zip(*groups_of(sizes, order)):
+            if size - shifts > 4096:  # a very long run: byte by byte is as well done at once
+                moved = np.array([0 if i is None else zlib.crc32(b"\0" * size, zlib.crc32(f"{i}:".encode())) ^ zlib.crc32(b"\0" * size) for i in ids], np.uint32)
+            else:
+                for _ in range(size - shifts):
+                    moved = self.step[moved & 0xFF] ^ moved >> 8
+            shifts = size
+            h[index] = moved[doc[index]] ^ self.crc[at[index]]
+        named = np.array([i is not None for i in ids], bool)
+        lost = (h % self.chance == 0) & named[doc]
+        self.counts += np.bincount(at[~lost], minlength=len(self.counts))
+        for i in np.flatnonzero(lost).tolist():
+            word = words[i]
+            place = int(h[i]) % len(word)
+            self.cut[word[:place] + word[place + 1:]] += 1
+
+    def taken(self) -> pa.RecordBatch:
+        """(word, n) counted so far; counting starts anew."""
+        whole = np.flatnonzero(self.counts)
+        listed = list(self.number)
+        cut = [(w, n) for w, n in self.cut.items() if len(w) >= self.shortest]
+        words = [listed[i] for i in whole.tolist()] + [w for w, _ in cut]
+        counts = [*self.counts[whole].tolist(), *(n for _, n in cut)]
+        self.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
+
+
+def groups_of(values: np.ndarray, order: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Different ``values``, rising, and the places of each; ``order`` sorts them."""
+    ordered = values[order]
+    edges = np.flatnonzero(np.diff(ordered)) + 1
+    return ordered[np.concatenate([[0], edges])].tolist() if len(ordered) else [], np.split(order, edges) if len(ordered) else []
 
 
 def vocabulary(docs: DataFrame, shortest: int = SHORTEST, rare: int = RARE, chance: int = CHANCE) -> DataFrame:
     """(word, n, length) of every word with at least ``rare`` occurrences, written once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def counted() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
-
+        held = WordCounts(shortest, chance)
         for batch in batches:
-            for name, text in zip(batch.column("_id"), batch.column("_text")):
-                name = name.as_py()
-                prefix = None if name is None else zlib.crc32(f"{name}:".encode())
-                held.update(document_words(text.as_py(), prefix, shortest, chance))
-                if len(held) > HELD:
-                    yield counted()
-                    held.clear()
-        yield counted()
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                held.add(part.column("_id").to_pylist(), part.column("_text").to_pylist())
+                if len(held.number) > HELD:
+                    yield held.taken()
+        yield held.taken()
 
     rows = docs.select(F.col("doc_id").cast("string").alias("_id"), text_of().alias("_text"))
     words = rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -138,14 +193,16 @@ def leaves(tree: list, points: np.ndarray, reach: np.ndarray) -> list[tuple[str,
     return out
 
 
-def fit_cells(words: DataFrame) -> DataFrame:
-    """(cell, tree) over ``words(cell, word)``, a bounded share of each cell."""
+def fit_cells(words: DataFrame, cell: int) -> DataFrame:
+    """(cell, tree) over ``words(cell, word, size)``, a bounded share of each cell of ``size`` words."""
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        tree = fitted(letter_counts(frame["word"].tolist()))
+        # As many leaves as bring the cell down to half of what fits.
+        depth = min(DEPTH, int(2 * frame["size"].iloc[0] // cell).bit_length())
+        tree = fitted(letter_counts(frame["word"].tolist()), depth)
         return pd.DataFrame({"cell": [frame["cell"].iloc[0]], "tree": [json.dumps(tree)]})
 
-    return words.select("cell", "word").groupBy("cell").applyInPandas(fit, "cell string, tree string")
+    return words.select("cell", "word", "size").groupBy("cell").applyInPandas(fit, "cell string, tree string")
 
 
 def routed(rows: DataFrame, trees: DataFrame) -> DataFrame:
@@ -170,6 +227,24 @@ def one_edit(a: str, b: str) -> bool:
     return a[at + (len(a) == len(b)):] == b[at + 1:] and a != b
 
 
+def letters_of(words: list[str], width: int) -> np.ndarray:
+    """Code points of each word, one row per word, zeros behind its end."""
+    codes = np.zeros((len(words), width), np.uint8)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    codes[np.arange(width) < lengths[:, None]] = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
+    return codes
+
+
+def in_order(a: np.ndarray, b: np.ndarray, longer: bool) -> np.ndarray:
+    """Row by row whether the letters ``a`` and ``b`` are one edit apart; ``b`` may be one ``longer``."""
+    if not longer:
+        return (a != b).sum(axis=1) == 1
+    size = b.shape[1] - 1
+    head = np.logical_and.accumulate(a[:, :size] == b[:, :size], axis=1).sum(axis=1)
+    tail = np.logical_and.accumulate((a[:, :size] == b[:, 1:])[:, ::-1], axis=1).sum(axis=1)
+    return head + tail >= size
+
+
 def by_pattern(queries: list[str], stored: list[str]) -> Iterator[tuple[int, int]]:
     """Pairs of places one edit apart, by the words with one letter left out at each place."""
     index = defaultdict(list)
@@ -183,39 +258,77 @@ def by_pattern(queries: list[str], stored: list[str]) -> Iterator[tuple[int, int
         yield from ((k, j) for j in found if stored[j] != u)
 
 
-def search(queries: list[str], reach: np.ndarray, stored: list[str]) -> Iterator[tuple[int, int]]:
-    """Pairs (query, stored) one edit apart; all ``stored`` have one length, ``reach`` is 2 for it, 1 below it."""
+def scales(points: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Each count as so many leading set bits of its letter's ``levels``, 64 of all bits to an array.
+
+    The L1 distance of two points is then the number of differing bits, and a box is the bits
+    common to all its points and the bits of any.
+    """
+    bits = np.concatenate([points[:, [at]] > np.arange(n) for at, n in enumerate(levels.tolist()) if n], axis=1)
+    packed = np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1)
+    # One array for each 64 bits: numpy is slow along a short last axis.
+    return np.ascontiguousarray(packed.view(np.uint64).T)
+
+
+def differing(words: Iterator[np.ndarray]) -> np.ndarray:
+    """Set bits of each place over all ``words``."""
+    total = None
+    for word in words:
+        count = np.bitwise_count(word).astype(np.uint16)
+        total = count if total is None else total + count
+    return total
+
+
+def search(queries: list[str], reach: np.ndarray, stored: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, stored) one edit apart, as arrays of places.
+
+    All ``stored`` have one length; ``reach`` is 2 for queries of that length, 1 for those one shorter.
+    """
     points, q = letter_counts(stored), letter_counts(queries)
-    used = points.any(axis=0) | q.any(axis=0)
-    points, q = points[:, used], q[:, used]
+    # Counts above the highest level look equal, which brings points nearer and loses none.
+    levels = np.minimum(np.maximum(points.max(axis=0), q.max(axis=0)), LEVELS)
+    held_bits, asked_bits = scales(points, levels), scales(q, levels)
+    width = len(stored[0])
+    short = width <= WIDEST
+    if short:
+        held_letters, asked_letters = letters_of(stored, width), letters_of(queries, width)
+
+    def verified(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not short:
+            right = np.array([one_edit(queries[a], stored[b]) for a, b in zip(i.tolist(), j.tolist())], bool)
+            yield i[right], j[right]
+            return
+        for r in (1, 2):
+            a, b = i[reach[i] == r], j[reach[i] == r]
+            right = in_order(asked_letters[a], held_letters[b], r == 1)
+            yield a[right], b[right]
+
     waiting = [(np.arange(len(stored)), np.arange(len(queries)))]
     while waiting:
         held, asking = waiting.pop()
-        box = points[held]
-        low, high = box.min(axis=0), box.max(axis=0)
-        near = q[asking]
-        away = np.maximum(low - near, 0).sum(axis=1) + np.maximum(near - high, 0).sum(axis=1)
-        asking = asking[away <= reach[asking]]
+        outside = (
+            np.bitwise_and.reduce(own[held]) & ~near | near & ~np.bitwise_or.reduce(own[held])
+            for own, near in ((own, asked[asking]) for own, asked in zip(held_bits, asked_bits))
+        )
+        asking = asking[differing(outside) <= reach[asking]]
         if not len(asking):
             continue
-        cut = split(box) if len(held) > LEAF else None
+        cut = split(points[held]) if len(held) > LEAF else None
         if cut:
-            lower = box[:, cut[0]] <= cut[1]
+            lower = points[held, cut[0]] <= cut[1]
             waiting += [(held[lower], asking), (held[~lower], asking)]
         elif len(held) > LEAF:
-            # One vector for all: what is left is exactly as far as one edit goes.
+            # One vector for all: which of them are near is told by patterns, not pair by pair.
             for r in (1, 2):
-                exact = asking[(np.abs(q[asking] - low).sum(axis=1) == r) & (reach[asking] == r)]
+                exact = asking[(np.abs(q[asking] - points[held[0]]).sum(axis=1) == r) & (reach[asking] == r)]
                 if len(exact):
-                    for a, b in by_pattern([queries[i] for i in exact], [stored[j] for j in held]):
-                        yield int(exact[a]), int(held[b])
+                    pairs = np.array(list(by_pattern([queries[i] for i in exact], [stored[j] for j in held])), np.int64).reshape(-1, 2)
+                    yield exact[pairs[:, 0]], held[pairs[:, 1]]
         else:
-            for block in (asking[i:i + 1024] for i in range(0, len(asking), 1024)):
-                apart = np.abs(q[block][:, None, :] - box[None]).sum(axis=2)
-                for a, b in zip(*np.nonzero(apart == reach[block][:, None])):
-                    i, j = int(block[a]), int(held[b])
-                    if one_edit(queries[i], stored[j]):
-                        yield i, j
+            for block in (asking[i:i + 2048] for i in range(0, len(asking), 2048)):
+                distance = differing(asked[block][:, None] ^ own[held] for own, asked in zip(held_bits, asked_bits))
+                a, b = np.nonzero(distance <= reach[block][:, None])
+                yield from verified(block[a], held[b])
 
 
 def links(words: DataFrame, cell: int = CELL, fit: int = FIT) -> DataFrame:
@@ -235,7 +348,7 @@ def links(words: DataFrame, cell: int = CELL, fit: int = FIT) -> DataFrame:
         if large.isEmpty():
             break
         share = F.pmod(F.xxhash64("word"), F.ceil(F.col("size") / fit))
-        trees = stage(fit_cells(stored.join(large, "cell").filter(share == 0)), "spelling-trees")
+        trees = stage(fit_cells(stored.join(large, "cell").filter(share == 0), cell), "spelling-trees")
         whole = whole.union(trees.filter(F.col("tree") == "[]").select("cell"))
         stored = stage(routed(stored, trees), "spelling-stored")
         asked = stage(routed(asked.join(sizes, "cell", "left_semi"), trees), "spelling-asked")
@@ -262,10 +375,11 @@ def links(words: DataFrame, cell: int = CELL, fit: int = FIT) -> DataFrame:
         if len(asking) and len(held):
             us, vs = asking["word"].tolist(), held["held"].tolist()
             un, vn, reach = asking["n"].tolist(), held["held_n"].tolist(), asking["reach"].to_numpy()
-            for i, j in search(us, reach, vs):
-                out.append((us[i], vs[j], vn[j]))
-                if reach[i] == 1:  # the longer word does not search among shorter ones
-                    out.append((vs[j], us[i], un[i]))
+            for places in search(us, reach, vs):
+                for i, j in zip(*(p.tolist() for p in places)):
+                    out.append((us[i], vs[j], vn[j]))
+                    if reach[i] == 1:  # the longer word does not search among shorter ones
+                        out.append((vs[j], us[i], un[i]))
         return pd.DataFrame(out, columns=["word", "near", "near_n"]).astype({"near_n": "int64"})
 
     keys = ["cell", "chunk", "part"]

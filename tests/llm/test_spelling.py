@@ -99,14 +99,18 @@ def test_links_match_all_pairs_when_cells_split(spark, cell):
     assert got == want
 
 
+def pairs(asked, reach, stored):
+    return [p for a, b in spelling.search(asked, reach, stored) for p in zip(a.tolist(), b.tolist())]
+
+
 def test_search_in_one_cell():
     stored = [w for w in word_list(2, 900) if len(w) == 7]
     asked = [w for w in word_list(3, 900) if len(w) in (6, 7)]
     reach = np.array([2 if len(w) == 7 else 1 for w in asked])
-    got = Counter((asked[i], stored[j]) for i, j in spelling.search(asked, reach, stored))
+    got = Counter((asked[i], stored[j]) for i, j in pairs(asked, reach, stored))
     assert got == Counter((a, b) for a in asked for b in stored if neighbours(a, b))
     same = ["abcdefg"[i:] + "abcdefg"[:i] for i in range(7)] * 10  # one vector, more than a leaf
-    assert len(list(spelling.search(["xbcdefg", "abcefg"], np.array([2, 1]), same))) == 20
+    assert len(pairs(["xbcdefg", "abcefg"], np.array([2, 1]), same)) == 20
 
 
 def test_every_point_has_one_leaf_and_every_near_one_is_reached():
@@ -129,3 +133,16 @@ def test_letter_order(a, b, near):
     assert spelling.one_edit(a, b) == near == neighbours(a, b)
     if len(a) <= len(b):
         assert (list(spelling.by_pattern([a], [b])) == [(0, 0)]) == near
+
+
+def test_counts_follow_the_rule_run_by_run():
+    chance = random.Random(8)
+    rows = [(i, " ".join(chance.choice(["Ärger", "Gärten", "naïveté", "Étoile", "abcdefg", "ÀÀÀÀÀÀÀ", "x" * 9000]) for _ in range(40))) for i in range(30)]
+    rows += [(None, "abcdefg " * 9), (-4, "GÄRTENx"), (7, None)]
+    held = spelling.WordCounts(6, 5)
+    held.add([None if i is None else str(i) for i, _ in rows], [t or "" for _, t in rows])
+    got = Counter()
+    for r in held.taken().to_pylist():
+        got[r["word"]] += r["n"]
+    assert got == counts(rows, 6, 1, 5)
+    assert held.taken().num_rows == 0
