@@ -1,4 +1,4 @@
-"""Pixel tables: patch statistics, alignment, composites, scene choice.
+"""Pixel tables: patch statistics, alignment, composites.
 
 A patch is ``chip, px array<double>`` (row major); a pixel table is one row per chip and
 position. Patches have a fixed small size, so per-patch arrays stay bounded.
@@ -89,25 +89,3 @@ def composite(pixels: DataFrame, by: Sequence[str], qa: str = "qa", value: str =
     return pixels.filter(f"({qa} & {QA_CLOUD}) = 0").groupBy(*by).agg(
         F.expr(f"median({value}) AS {value}"), F.expr("count(1) AS observations")
     )
-
-
-def choose_scenes(chips: DataFrame, scenes: DataFrame, windows: Sequence[tuple[str, str]], max_cloud: int) -> DataFrame:
-    """Best scene per chip tile and half-open date window; ``no_scenes`` where none fits.
-
-    ``windows`` is configuration, so each scene is matched to its windows in place and the
-    only join is on the tile.
-    """
-    listed = ", ".join(
-        f"named_struct('id', {i}, 'start', DATE'{a}', 'end', DATE'{b}')" for i, (a, b) in enumerate(windows)
-    )
-    fits = scenes.filter(f"cloud < {max_cloud}").selectExpr(
-        "*", f"explode(filter(array({listed}), w -> scene_date >= w.start AND scene_date < w.end)) AS w"
-    )
-    best = fits.groupBy("tile", F.expr("w.id AS window")).agg(
-        F.expr("min_by(scene_id, named_struct('c', cloud, 'd', scene_date, 'i', scene_id)) AS scene_id"), F.expr("count(1) AS candidates")
-    )
-    asked = chips.selectExpr("tile", f"explode(sequence(0, {len(windows) - 1})) AS window")
-    return asked.join(best, ["tile", "window"], "left").selectExpr(
-        "tile", "window", "scene_id", "coalesce(candidates, 0) AS candidates",
-        "CASE WHEN scene_id IS NULL THEN 'no_scenes' ELSE 'ok' END AS status",
-    )

@@ -376,18 +376,6 @@ def composite(t: Tables) -> DataFrame:
     return imagery.composite(px, ["tile", "pos"])
 
 
-_WINDOWS = tuple((f"{y}-03-01", f"{y}-05-01") for y in range(1995, 2004))
-_WIN_SQL = ", ".join(f"({i}, DATE '{a}', DATE '{b}')" for i, (a, b) in enumerate(_WINDOWS))
-
-
-@query("scene_choice_per_window", f"""WITH w(i, a, b) AS (VALUES {_WIN_SQL}), f AS (SELECT scene_id % 25 AS tile, i, scene_id, cloud, scene_date FROM scenes JOIN w ON scene_date >= a AND scene_date < b WHERE cloud < 3),
-g AS (SELECT tile, i, arg_min(scene_id, (cloud, scene_date, scene_id)) AS scene_id, count(*) AS candidates FROM f GROUP BY 1, 2)
-SELECT n_nationkey::BIGINT AS tile, w.i AS window, scene_id, coalesce(candidates, 0) AS candidates, CASE WHEN scene_id IS NULL THEN 'no_scenes' ELSE 'ok' END AS status FROM nation CROSS JOIN w LEFT JOIN g ON g.tile = n_nationkey AND g.i = w.i""")
-def scene_choice(t: Tables) -> DataFrame:
-    tiles_ = t.raw("nation").selectExpr("cast(n_nationkey AS bigint) AS tile")
-    return imagery.choose_scenes(tiles_, t.scenes().withColumn("tile", F.expr("scene_id % 25")), _WINDOWS, 3)
-
-
 @query("scene_catalogue_filter", "SELECT scene_id, scene_date, cloud FROM scenes WHERE lat BETWEEN 23.7 AND 23.9 AND lon BETWEEN 89.9 AND 90.1 AND scene_date >= DATE '1996-01-01' AND scene_date < DATE '1999-01-01' AND cloud < 20")
 def catalogue(t: Tables) -> DataFrame:
     near = t.scenes().filter("lat BETWEEN 23.7 AND 23.9 AND lon BETWEEN 89.9 AND 90.1 AND scene_date >= DATE'1996-01-01' AND scene_date < DATE'1999-01-01' AND cloud < 20")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasift import config
+from terrasift.functions.overlap import CIRCLE_SIDES
 from terrasift.operators import ranking, rules, score, spatial
 from terrasift.operators.area import radius_area
 from terrasift.plans.registry import query
@@ -59,12 +60,16 @@ def exposures(t: Tables, radius: float = config.SCORING.exposure_radius_m) -> Da
     return out
 
 
+def all_components(t: Tables, radius: float = config.SCORING.exposure_radius_m) -> DataFrame:
+    """The three raw exposure components of every site; areas to a square metre, as distances go to millimetres."""
+    area = radius_area(t.sites_xy(), cut_lineage(t.settlement_polygons(), "homes"), "kiln_id", radius, "settlement_area")
+    area = area.select("kiln_id", metres(F.col("settlement_area"), 6).alias("settlement_area"))
+    return exposures(t, radius).join(area, "kiln_id").select("kiln_id", *score.COMPONENTS)
+
+
 def scored(t: Tables) -> DataFrame:
-    """The whole chain up to rank and band, without the polygon component."""
-    counts = exposures(t).select("kiln_id", "n_schools", "n_hospitals")
-    return score.prioritise(
-        signals(t).join(counts, "kiln_id"), components=("n_schools", "n_hospitals")
-    )
+    """The whole chain up to rank and band."""
+    return score.prioritise(signals(t).join(all_components(t), "kiln_id"))
 
 
 # ---- SQL building blocks -------------------------------------------------------------
@@ -118,11 +123,43 @@ SIGNAL_CTES = DIST_CTES + f""", sig AS (SELECT *, class = 'FCBK' AS technology_f
   len({_LIST})::INT AS breach_count, {_SCORE} AS breach_severity_score, {_NOTES} AS rule_data_notes,
   {_TOP} AS top_rule_signal FROM dist)"""
 
-EXPOSURE_CTES = f"""hits AS (SELECT s.kiln_id,
+def area_sql(radius: float, n: str = "") -> str:
+    """CTE ``area{n}(kiln_id, settlement_area)``: settlement squares cut with a 64-gon, by Green's theorem.
+
+    Every edge of either shape is cut against the half planes of the other.
+    """
+    turn = f"2e0 * pi() * {{}} / {CIRCLE_SIDES}"
+    cut = ("greatest(0e0, max(CASE WHEN f1 > 0 THEN -f0 / f1 END)) AS lo, least(1e0, min(CASE WHEN f1 < 0 THEN -f0 / f1 END)) AS hi, "
+           "bool_or(f1 = 0 AND f0 < 0) AS away")
+    sides = " UNION ALL ".join(
+        f"SELECT feature_id, {e} AS e, x{e} AS ax, y{e} AS ay, x{(e + 1) % 4} AS x_b, y{(e + 1) % 4} AS y_b FROM settlement_polygons" for e in range(4)
+    )
+    xs, ys = "x0, x1, x2, x3", "y0, y1, y2, y3"
+    return f"""ring{n} AS (SELECT k, {radius}::DOUBLE * cos({turn.format('k')}) AS px, {radius}::DOUBLE * sin({turn.format('k')}) AS py,
+  {radius}::DOUBLE * cos({turn.format('(k + 1)')}) AS qx, {radius}::DOUBLE * sin({turn.format('(k + 1)')}) AS qy FROM range({CIRCLE_SIDES}) r(k)),
+side{n} AS ({sides}),
+meet{n} AS (SELECT kiln_id, x, y, feature_id FROM sites_xy JOIN settlement_polygons ON greatest({xs}) >= x - {radius} AND least({xs}) <= x + {radius}
+  AND greatest({ys}) >= y - {radius} AND least({ys}) <= y + {radius}),
+shape{n} AS (SELECT kiln_id, feature_id, e, k, ax - x AS ax, ay - y AS ay, x_b - x AS x_b, y_b - y AS y_b, px, py, qx, qy FROM meet{n} JOIN side{n} USING (feature_id), ring{n}),
+piece{n} AS (SELECT kiln_id, CASE WHEN NOT away AND lo < hi THEN (hi - lo) * (any_value(ax) * any_value(y_b) - any_value(ay) * any_value(x_b)) / 2 ELSE 0e0 END AS a
+  FROM (SELECT kiln_id, feature_id, e, any_value(ax) AS ax, any_value(ay) AS ay, any_value(x_b) AS x_b, any_value(y_b) AS y_b, {cut}
+    FROM (SELECT *, (qx - px) * (ay - py) - (qy - py) * (ax - px) AS f0, (qx - px) * (y_b - ay) - (qy - py) * (x_b - ax) AS f1 FROM shape{n}) GROUP BY 1, 2, 3) GROUP BY kiln_id, feature_id, e, away, lo, hi
+  UNION ALL SELECT kiln_id, CASE WHEN NOT away AND lo < hi THEN (hi - lo) * (px * qy - py * qx) / 2 ELSE 0e0 END
+  FROM (SELECT kiln_id, feature_id, k, any_value(px) AS px, any_value(py) AS py, any_value(qx) AS qx, any_value(qy) AS qy, {cut}
+    FROM (SELECT *, (x_b - ax) * (py - ay) - (y_b - ay) * (px - ax) AS f0, (x_b - ax) * (qy - py) - (y_b - ay) * (qx - px) AS f1 FROM shape{n}) GROUP BY 1, 2, 3)),
+area{n} AS (SELECT s.kiln_id, {m_sql('coalesce(sum(a), 0e0) / 1e6', 6)} AS settlement_area FROM sites_xy s LEFT JOIN piece{n} USING (kiln_id) GROUP BY 1)"""
+
+
+def exposure_sql(radius: float, n: str = "") -> str:
+    return f"""hits{n} AS (SELECT s.kiln_id,
   count(*) FILTER (f.layer = 'schools') AS n_schools, count(*) FILTER (f.layer = 'hospitals') AS n_hospitals
-  FROM sites_xy s JOIN features_xy f ON {_D} <= 1000.0 GROUP BY 1),
-expo AS (SELECT s.kiln_id, coalesce(n_schools, 0) AS n_schools, coalesce(n_hospitals, 0) AS n_hospitals
-  FROM sites_xy s LEFT JOIN hits USING (kiln_id))"""
+  FROM sites_xy s JOIN features_xy f ON {_D} <= {radius} GROUP BY 1),
+expo{n} AS (SELECT s.kiln_id, coalesce(n_schools, 0) AS n_schools, coalesce(n_hospitals, 0) AS n_hospitals
+  FROM sites_xy s LEFT JOIN hits{n} USING (kiln_id))"""
+
+
+EXPOSURE_CTES = exposure_sql(config.SCORING.exposure_radius_m)
+AREA_CTES = area_sql(config.SCORING.exposure_radius_m)
 
 
 def pr_sql(col: str) -> str:
@@ -130,11 +167,18 @@ def pr_sql(col: str) -> str:
             f"/ count(*) OVER () END")
 
 
-SCORE_CTES = SIGNAL_CTES + ", " + EXPOSURE_CTES + f""",
-norm AS (SELECT *, {pr_sql('n_schools')} AS n_schools_normalized, {pr_sql('n_hospitals')} AS n_hospitals_normalized
-  FROM sig JOIN expo USING (kiln_id)),
-pri AS (SELECT *, n_schools_normalized + n_hospitals_normalized AS exposure,
-  confidence * breach_severity_score * (1e0 + (n_schools_normalized + n_hospitals_normalized)) AS priority FROM norm),
+def norm_sql(n: str = "") -> str:
+    parts = ", ".join(f"{pr_sql(c)} AS {c}_normalized" for c in score.COMPONENTS)
+    return f"norm{n} AS (SELECT *, {parts} FROM sig JOIN expo{n} USING (kiln_id) JOIN area{n} USING (kiln_id))"
+
+
+def exposure_of(weights: dict[str, float]) -> str:
+    return "(0e0" + "".join(f" + {weights[c]!r}::DOUBLE * {c}_normalized" for c in score.COMPONENTS) + ")"
+
+
+SCORE_CTES = SIGNAL_CTES + ", " + EXPOSURE_CTES + ", " + AREA_CTES + ", " + norm_sql() + f""",
+pri AS (SELECT *, {exposure_of(config.SCORING.weights)} AS exposure,
+  confidence * breach_severity_score * (1e0 + {exposure_of(config.SCORING.weights)}) AS priority FROM norm),
 prio AS (SELECT *, rank() OVER (ORDER BY priority DESC) AS priority_rank,
   CASE WHEN row_number() OVER (ORDER BY priority, kiln_id) <= 1 + (count(*) OVER () - 1) * 0.4::DOUBLE THEN 'Low'
        WHEN row_number() OVER (ORDER BY priority, kiln_id) <= 1 + (count(*) OVER () - 1) * 0.8::DOUBLE THEN 'Medium'
@@ -232,11 +276,10 @@ def radius_counts(t: Tables) -> DataFrame:
     return exposures(t).select("kiln_id", "n_schools", "n_hospitals")
 
 
-@query("settlement_area_within_radius")
+@query("settlement_area_within_radius", f"WITH {AREA_CTES} SELECT kiln_id, settlement_area FROM area")
 def settlement_area(t: Tables) -> DataFrame:
-    return radius_area(t.sites_xy(), cut_lineage(t.settlement_polygons(), "homes"), "kiln_id", 1000.0, "settlement_area").select(
-        "kiln_id", F.round("settlement_area", 9).alias("settlement_area")
-    )
+    area = radius_area(t.sites_xy(), cut_lineage(t.settlement_polygons(), "homes"), "kiln_id", config.SCORING.exposure_radius_m, "settlement_area")
+    return area.select("kiln_id", metres(F.col("settlement_area"), 6).alias("settlement_area"))
 
 
 @query("screen_ranked_sites", f"""WITH {SCORE_CTES} SELECT kiln_id, district, class,
@@ -250,16 +293,13 @@ def ranked_sites(t: Tables) -> DataFrame:
     )
 
 
-def all_components(t: Tables, radius: float = config.SCORING.exposure_radius_m) -> DataFrame:
-    """The three raw exposure components of every site."""
-    area = radius_area(t.sites_xy(), cut_lineage(t.settlement_polygons(), "homes"), "kiln_id", radius, "settlement_area")
-    return exposures(t, radius).join(area.select("kiln_id", "settlement_area"), "kiln_id").select("kiln_id", *score.COMPONENTS)
-
-
-@query("priority_with_settlement_area")
+@query("priority_with_settlement_area", f"""WITH {SCORE_CTES} SELECT kiln_id, n_schools, n_hospitals, settlement_area,
+{m_sql('exposure', 6)} AS exposure, {m_sql('priority', 6)} AS priority, priority_rank, priority_band FROM prio""")
 def full_priority(t: Tables) -> DataFrame:
-    df = signals(t).join(all_components(t), "kiln_id")
-    return score.prioritise(df).select("kiln_id", *score.COMPONENTS, "exposure", "priority", "priority_rank", "priority_band")
+    return scored(t).select(
+        "kiln_id", *score.COMPONENTS, metres(F.col("exposure"), 6).alias("exposure"),
+        metres(F.col("priority"), 6).alias("priority"), "priority_rank", "priority_band",
+    )
 
 
 @query("top_20_by_rank", f"WITH {SCORE_CTES} SELECT kiln_id, priority_rank FROM prio ORDER BY priority_rank, kiln_id LIMIT 20")
@@ -267,54 +307,60 @@ def top20(t: Tables) -> DataFrame:
     return score.top_k(scored(t)).select("kiln_id", "priority_rank")
 
 
-_SENS_PARTS = []
-for _name, _ws, _wh in (("baseline", 1.0, 1.0), ("schools_doubled", 2.0, 1.0), ("hospitals_doubled", 1.0, 2.0)):
-    _SENS_PARTS.append(f"""SELECT '{_name}' AS variant, kiln_id, row_number() OVER (ORDER BY r, kiln_id) AS pos FROM (
-  SELECT kiln_id, rank() OVER (ORDER BY confidence * breach_severity_score * (1e0 + ({_ws}::DOUBLE * n_schools_normalized + {_wh}::DOUBLE * n_hospitals_normalized)) DESC) AS r FROM norm)
-  QUALIFY pos <= 20""")
-_SENSITIVITY = f"""WITH {SCORE_CTES}, tops AS ({' UNION ALL '.join('(' + p + ')' for p in _SENS_PARTS)}),
+def weight_sets() -> dict[str, dict[str, float]]:
+    """The configured weights, and each weight doubled in turn (a zero becomes one)."""
+    base = config.SCORING.weights
+    return {"baseline": base} | {f"{c}_doubled": base | {c: 2 * w if w else 1.0} for c, w in base.items()}
+
+
+def tops_sql(variants: list[tuple[str, str, dict[str, float]]]) -> str:
+    """CTEs ``tops`` and ``common``: the 20 best of each (variant, suffix, weights), and those shared with the first."""
+    parts = [f"""(SELECT '{name}' AS variant, kiln_id, row_number() OVER (ORDER BY r, kiln_id) AS pos FROM (
+  SELECT kiln_id, rank() OVER (ORDER BY confidence * breach_severity_score * (1e0 + {exposure_of(weights)}) DESC) AS r FROM norm{n})
+  QUALIFY pos <= 20)""" for name, n, weights in variants]
+    return f"""tops AS ({' UNION ALL '.join(parts)}),
 common AS (SELECT v.variant, rank() OVER (PARTITION BY v.variant ORDER BY b.pos) AS ra, rank() OVER (PARTITION BY v.variant ORDER BY v.pos) AS rb
-  FROM tops v JOIN tops b ON b.variant = 'baseline' AND b.kiln_id = v.kiln_id)
-SELECT variant, count(*) AS top20_overlap, CASE WHEN count(*) >= 3 THEN {m_sql('corr(ra, rb)', 6)} END AS spearman_rho FROM common GROUP BY 1"""
+  FROM tops v JOIN tops b ON b.variant = '{variants[0][0]}' AND b.kiln_id = v.kiln_id),
+rho AS (SELECT variant, count(*) AS top20_overlap, CASE WHEN count(*) >= 3 THEN {m_sql('corr(ra, rb)', 6)} END AS spearman_rho FROM common GROUP BY 1)"""
+
+
+def ranked_variants(norm: DataFrame, sets: dict[str, dict[str, float]]) -> dict[str, DataFrame]:
+    """The 20 best sites of each weight set, from normalised components."""
+    out = {}
+    for name, weights in sets.items():
+        expo = F.lit(0.0)
+        for c in score.COMPONENTS:
+            expo = expo + F.lit(weights[c]) * F.col(f"{c}_normalized")
+        # Ranks fall with the priority, so its negative puts the sites in the same order.
+        ordered = norm.select("kiln_id", (-score.priority(expo)).alias("priority_rank"))
+        out[name] = cut_lineage(score.top_k(ordered), "top")
+    return out
 
 
-@query("rank_sensitivity_by_weights", _SENSITIVITY)
+@query("rank_sensitivity_by_weights", f"WITH {SCORE_CTES}, {tops_sql([(k, '', w) for k, w in weight_sets().items()])} SELECT * FROM rho")
 def sensitivity(t: Tables) -> DataFrame:
-    parts = ("n_schools", "n_hospitals")
-    counts = exposures(t).select("kiln_id", *parts)
-    base = cut_lineage(
-        score.add_exposure(cut_lineage(signals(t).join(counts, "kiln_id"), "raw"), components=parts), "norm"
-    )
-    variants = {}
-    for name, ws, wh in (("baseline", 1.0, 1.0), ("schools_doubled", 2.0, 1.0), ("hospitals_doubled", 1.0, 2.0)):
-        expo = F.lit(ws) * F.col("n_schools_normalized") + F.lit(wh) * F.col("n_hospitals_normalized")
-        df = base.withColumn("priority", score.priority(expo))
-        variants[name] = cut_lineage(ranking.rank_descending(df, "priority", "priority_rank"), "variant")
-    out = score.rank_sensitivity(variants, "baseline")
+    raw = cut_lineage(signals(t).select("kiln_id", "confidence", "breach_severity_score").join(all_components(t), "kiln_id"), "raw")
+    norm = cut_lineage(score.add_exposure(raw), "norm")
+    out = score.rank_sensitivity(ranked_variants(norm, weight_sets()), "baseline")
     return out.withColumn("spearman_rho", metres(F.col("spearman_rho"), 6))
 
 
-def weight_sets() -> dict[str, dict[str, float]]:
-    """The configured weights, and each weight doubled in turn (a zero becomes one)."""
-    base = config.SCORING.weights
-    return {"baseline": base} | {f"{c}_doubled": base | {c: 2 * w if w else 1.0} for c, w in base.items()}
+_GRID = [(f"{r:g}:{name}", f"_{i}", w) for i, r in enumerate(config.SCORING.sensitivity_radii_m) for name, w in weight_sets().items()]
+_GRID_CTES = ", ".join(
+    f"{exposure_sql(r, f'_{i}')}, {area_sql(r, f'_{i}')}, {norm_sql(f'_{i}')}" for i, r in enumerate(config.SCORING.sensitivity_radii_m)
+)
 
 
-@query("rank_sensitivity_by_radius_and_weights")
+@query("rank_sensitivity_by_radius_and_weights", f"""WITH {SIGNAL_CTES}, {_GRID_CTES}, {tops_sql(_GRID)}
+SELECT split_part(variant, ':', 1)::DOUBLE AS radius_m, split_part(variant, ':', 2) AS weights, top20_overlap, spearman_rho FROM rho""")
 def sensitivity_grid(t: Tables, radii: Sequence[float] = config.SCORING.sensitivity_radii_m) -> DataFrame:
     """Top 20 of every radius and weight set against the first radius with the configured weights."""
     severe = cut_lineage(signals(t).select("kiln_id", "confidence", "breach_severity_score"), "severe")
     tops = {}
     for radius in radii:
         raw = cut_lineage(severe.join(all_components(t, radius), "kiln_id"), "raw")
-        norm = cut_lineage(score.add_exposure(raw), "norm")
-        for name, weights in weight_sets().items():
-            expo = F.lit(0.0)
-            for c in score.COMPONENTS:
-                expo = expo + F.lit(weights[c]) * F.col(f"{c}_normalized")
-            # Ranks fall with the priority, so its negative puts the sites in the same order.
-            ordered = norm.select("kiln_id", (-score.priority(expo)).alias("priority_rank"))
-            tops[f"{radius:g}:{name}"] = cut_lineage(score.top_k(ordered), "top")
+        found = ranked_variants(cut_lineage(score.add_exposure(raw), "norm"), weight_sets())
+        tops |= {f"{radius:g}:{name}": top for name, top in found.items()}
     out = score.rank_sensitivity(tops, next(iter(tops)))
     return out.select(
         F.split_part("variant", F.lit(":"), F.lit(1)).cast("double").alias("radius_m"),
