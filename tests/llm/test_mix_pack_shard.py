@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -95,12 +96,25 @@ def test_pieces_cover_each_id_once(odd_docs, no_docs):
 
 
 @pytest.mark.parametrize("text", [
-    "", "It's  a <|endoftext|> test, isn't it?", "é́ ́x ﬁ Å  y z\x1cq", "\n\n  Ünïcode\t12345 ... ''s", "a" * 3000,
+    "", "It's  a <|endoftext|> test, isn't it?", "é́ ́x ﬁ Å y z\x1cq", "\n\n  Ünïcode\t12345 ... ''s", "a" * 3000, "x " + "é" * 300 + " y",
+    "I'll we're they've 'tis ''tis don't'd \"'s 12'3s ²½", "ß STRASSE ÿ \xa0 \xad",
 ])
 def test_word_ids_are_the_tokenizers(text):
-    words = packing.WordIds(packing.TOKENIZER, remembered=3)
-    want = words.whole.encode(text, add_special_tokens=False).ids
-    assert words.encode([text, text]) == [np.array(want, "<u4").tobytes()] * 2
+    words = packing.WordIds(packing.TOKENIZER, remembered=3, at_once=2)
+    want = np.array(Tokenizer.from_file(packing.TOKENIZER).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert words.encode([text, text]) == [want] * 2
+    single = words.whole("a")
+    assert packing.WordIds(packing.TOKENIZER).encode(["", text, "a", text]) == [b"", want, single, want]
+
+
+def test_random_latin_texts_get_the_tokenizers_ids():
+    chance, whole = random.Random(2), Tokenizer.from_file(packing.TOKENIZER)
+    letters = "abestrvlmd'''\"  \n\t09½²ÀéßµA.,-×÷"
+    texts = ["".join(chance.choice(letters) for _ in range(chance.randint(0, 60))) for _ in range(800)]
+    texts += ["we'll", "'re", "x'dd 're's''s 't", "\"'s", "1'm 2", "it'S I'LL", "'v'e", "'l", "'", "''", "é'ré'd"]
+    got = packing.WordIds(packing.TOKENIZER, at_once=500).encode(texts)
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
 def test_hilbert_index_steps_by_one_cell():
