@@ -2,14 +2,19 @@
 
 The hash of the normalised text is the key. A directory over the leading bits of the key
 doubles until no bucket holds more than ``capacity`` different keys; each directory entry
-names a bucket and its local depth. Owner tasks take whole key ranges: all rows of one
-(bucket, key) meet, equal bytes collapse before the shuffle, and different texts under one
-key stay apart as a chain. Everything runs as DataFrame functions.
+names a bucket and its local depth. Each text is sent to its bucket through its slot of the
+directory. There equal bytes collapse (each task collapses its own before the shuffle, so a
+text that fills a third of the table is one row a task), and different texts under one key are
+numbered as a chain; the index lies in the shared folder in ranges of buckets. Rows are looked
+up the same way: slot, bucket, key, then the entry of the chain with the same digest.
+Everything runs as DataFrame functions. The directory has one row for ``capacity`` keys, so
+Spark can send it to every task as long as its size allows that.
 
 Defined cases: a null text counts as empty; null ids never win over an id, and a group with
 null ids only keeps one of its rows under ``keep_id`` null; of fully repeated rows (same id,
-equal text) exactly one is kept; an empty table gives an empty result; other columns of the
-input are ignored by ``groups`` and carried along by ``deduplicate``.
+equal text) exactly one is kept, of several raw texts under the kept id that of the smallest
+mark; an empty table gives an empty result; other columns of the input are ignored by
+``groups`` and carried along by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -71,39 +76,38 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int
     return stage(rows.select("slot", bucket.alias("bucket"), "local_depth"), "dedup-directory"), depth
 
 
-def index(docs: DataFrame, listed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Index rows (bucket, key, text_sha256, keep_id, group_size, chain), written by bucket."""
-    places, depth = directory(listed.select("key").distinct(), capacity)
-    texts = docs.select("doc_id", normalised().alias("_norm")).select("doc_id", "_norm", F.xxhash64("_norm").alias("key"))
-    # Equal bytes collapse on the reading side, so a text that fills a third of the table is one row a task.
-    equal = texts.groupBy("key", "_norm").agg(
-        F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
-    ).select("key", "keep_id", "group_size", F.sha2("_norm", 256).alias("text_sha256"))
-    owned = equal.withColumn("slot", leading_bits(F.col("key"), depth)).join(places, "slot")
-    chained = owned.withColumn(
-        "chain",
-        F.row_number().over(Window.partitionBy("bucket", "key").orderBy(F.col("keep_id").asc_nulls_last(), "text_sha256")),
-    )
-    return stage(
-        chained.select("bucket", "key", "text_sha256", "keep_id", "group_size", "chain")
-        .repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key", "chain"),
-        "dedup-index",
-    )
+def owned(rows: DataFrame, places: DataFrame, depth: int) -> DataFrame:
+    """``rows(key, ...)`` with the bucket that the directory gives their slot."""
+    return rows.withColumn("slot", leading_bits(F.col("key"), depth)).join(places.select("slot", "bucket"), "slot").drop("slot")
+
+
+def index(docs: DataFrame, places: DataFrame, depth: int) -> DataFrame:
+    """Index rows (bucket, key, text_sha256, keep_id, keep_mark, group_size, chain), written by bucket."""
+    texts = docs.select("doc_id", row_mark().alias("mark"), normalised().alias("_norm")).withColumn("key", F.xxhash64("_norm"))
+    # Ids before no id, then the smallest; bytes are compared by the grouping itself.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("least")
+    equal = owned(texts, places, depth).groupBy("bucket", "key", "_norm").agg(least, F.count(F.lit(1)).alias("group_size"))
+    entry = equal.select(
+        "bucket", "key", F.sha2("_norm", 256).alias("text_sha256"), F.col("least.doc_id").alias("keep_id"),
+        F.col("least.mark").alias("keep_mark"), "group_size",
+    ).repartitionByRange("bucket", "key")
+    chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy(F.col("keep_id").asc_nulls_last(), "text_sha256"))
+    return stage(entry.withColumn("chain", chain).sortWithinPartitions("bucket", "key", "chain"), "dedup-index")
 
 
 def groups(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """One row per row of ``docs``: doc_id, mark, keep_id, group_size, kept, text_sha256."""
+    """One row per row of ``docs``: doc_id, mark, keep_id, group_size, kept, text_sha256, bucket, chain."""
     listed = entries(docs)
-    found = index(docs, listed, capacity)
-    again = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("mark"))
+    places, depth = directory(listed.select("key").distinct(), capacity)
+    found = index(docs, places, depth)
+    # Fully repeated rows travel as one with their count.
+    rows = listed.groupBy("doc_id", "mark", "key", "text_sha256").agg(F.count(F.lit(1)).alias("repeats"))
+    wins = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("mark") == F.col("keep_mark"))
     return (
-        listed.withColumn("_again", again)
-        .join(found, ["key", "text_sha256"])
-        .select(
-            "doc_id", "mark", "keep_id", "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("_again") == 1)).alias("kept"),
-            "text_sha256", "bucket", "chain",
-        )
+        owned(rows, places, depth)
+        .join(found, ["bucket", "key", "text_sha256"])
+        .select("*", F.explode(F.sequence(F.lit(1).cast("long"), "repeats")).alias("copy"))
+        .select("doc_id", "mark", "keep_id", "group_size", (wins & (F.col("copy") == 1)).alias("kept"), "text_sha256", "bucket", "chain")
     )
 
 
