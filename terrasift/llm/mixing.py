@@ -9,7 +9,8 @@ half gets the rest. A shard's draws are a run of the source's permuted blocks, d
 all other shards' runs, and rows are shuffled inside their shard only.
 
 To come near the target in words, the last block is opened by the next bits of the hash, then
-by rows, and up to ``FILLS`` more documents, those nearest to what is still missing, are drawn.
+by rows. Then, ``FILLS`` times, the document whose size is nearest to what is still missing is
+drawn, or, once the target is passed, the one nearest to the surplus is taken back.
 
 The tables beside the documents have one row per source, or ``BLOCKS`` rows per source; the
 number of sources is taken to fit one task, as in the ordered list of weights itself.
@@ -34,8 +35,8 @@ SHARDS, SHARD_WORDS = 64, 20_000_000
 WEIGHTS = (1, 2, 3)
 MOST = 3  # passes over a source
 SEED = 17
-#: Documents that may close the gap between the last block and the target.
-FILLS = 4
+#: Documents that may be drawn or taken back to close the gap between the last block and the target.
+FILLS = 6
 #: Standard deviations of a draw that are walked; the rest weighs less than a rounding error.
 SPREAD = 9.0
 
@@ -153,16 +154,21 @@ def quotas(sized: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] =
         "missing", F.col("left1") - F.coalesce("used", F.lit(0))
     )
 
-    # Documents whose sizes come nearest to the words still missing, one a round.
-    full = stage(edge.withColumn("fill_keys", F.array().cast("array<bigint>")), "mix-edges")
+    # Documents whose sizes come nearest to the words still missing or drawn too many, one a round.
+    none = F.array().cast("array<bigint>")
+    full = stage(edge.withColumns({"fill_keys": none, "back_keys": none}), "mix-edges")
     for _ in range(FILLS):
-        wanted = full.filter("missing > 0").select("source", "place", "at0", "at1", "last_key", "missing", "fill_keys")
-        others = rows.join(wanted, same(rows, wanted, "source")).filter(~in_last_pass())
-        off = F.abs(F.col("size") - F.col("missing"))
-        fill = others.filter(off < F.col("missing")).groupBy("place").agg(F.min(F.struct(off.alias("off"), "size", "key")).alias("_f"))
-        full = full.join(fill, "place", "left").withColumns({
-            "fill_keys": F.when(F.col("_f").isNull(), F.col("fill_keys")).otherwise(F.concat("fill_keys", F.array("_f.key"))),
-            "missing": F.col("missing") - F.coalesce(F.col("_f.size"), F.lit(0)),
+        wanted = full.filter("missing != 0").select("source", "place", "at0", "at1", "last_key", "missing", "fill_keys", "back_keys")
+        drawn = in_last_pass()
+        free = ~drawn & ~F.array_contains("back_keys", F.col("key"))
+        others = rows.join(wanted, same(rows, wanted, "source")).filter(F.when(F.col("missing") > 0, free).otherwise(drawn))
+        off = F.abs(F.col("size") - F.abs("missing"))
+        step = others.filter(off < F.abs("missing")).groupBy("place").agg(F.min(F.struct(off.alias("off"), "size", "key")).alias("_f"))
+        add, back = (F.col("_f").isNotNull() & (F.signum("missing") == sign) for sign in (1, -1))
+        full = full.join(step, "place", "left").withColumns({
+            "fill_keys": F.when(add, F.concat("fill_keys", F.array("_f.key"))).otherwise(F.col("fill_keys")),
+            "back_keys": F.when(back, F.concat("back_keys", F.array("_f.key"))).otherwise(F.col("back_keys")),
+            "missing": F.col("missing") - F.coalesce(F.signum("missing").cast("long") * F.col("_f.size"), F.lit(0)),
         }).drop("_f")
         full = stage(full, "mix-filled")
     full = stage(full.withColumn(
@@ -176,7 +182,8 @@ def in_last_pass() -> Column:
     """Whether a row with ``key, b0, b1`` is drawn once more than its source's whole passes."""
     inner = (F.col("b1") < F.col("at1")) | ((F.col("b1") == F.col("at1")) & (F.col("key") <= F.col("last_key")))
     drawn = (F.col("b0") < F.col("at0")) | ((F.col("b0") == F.col("at0")) & F.coalesce(inner, F.col("b1") < F.col("at1")))
-    return F.coalesce(drawn, F.lit(False)) | F.coalesce(F.array_contains("fill_keys", F.col("key")), F.lit(False))
+    filled = F.coalesce(drawn, F.lit(False)) | F.coalesce(F.array_contains("fill_keys", F.col("key")), F.lit(False))
+    return filled & ~F.coalesce(F.array_contains("back_keys", F.col("key")), F.lit(False))
 
 
 def hypergeometric(uniform: Column, special: Column, everything: Column, drawn: Column) -> Column:
