@@ -4,9 +4,9 @@ Size, source and language of a row are quantised to equal numbers of cells; rows
 by the Hilbert index of their cell and cut into runs of equal row counts. A run covers a small
 box in every dimension, so the minima and maxima of its file prune filters on any of them.
 
-Law: ``rows``: the counts of two shards differ by at most one. Equal texts share their size
-and lie together on the curve where source and language agree; a group larger than a shard
-runs on into the next one.
+Law: ``rows``: the counts of two shards differ by at most one. A group of equal texts lies at
+one place of the curve, the least of its rows' places, so the group stays together whatever its
+sources and languages; only a group that a cut between two shards meets runs on into the next.
 
 Defined cases: a null text has 8 bytes and the checksum of an empty one; null source or
 language is the last cell of its dimension; ties on the curve go by checksum, then id; fully
@@ -104,8 +104,12 @@ def place(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         celled.select("doc_id", "mark", "size", "text_crc32", curve_index("_size", "_source", "_lang").alias("curve")),
         "shard-curve",
     )
+    celled_rows = curve.count()
+    # Equal texts have one mark; narrow rows, so a large group costs a pass and no text.
+    home = stage(curve.groupBy("mark").agg(F.min("curve").alias("_home")), "shard-groups")
+    curve = curve.join(home, "mark").select("doc_id", "mark", "size", "text_crc32", F.col("_home").alias("curve"))
     order = [F.col("curve").asc(), F.col("text_crc32").asc(), F.col("mark").asc(), F.col("doc_id").asc()]
-    at = ranged_positions(curve, order, ranges_for(curve.count()), "shard-order")
+    at = ranged_positions(curve, order, ranges_for(celled_rows), "shard-order")
     base, extra = F.expr(f"_all div {shards}"), F.col("_all") % shards
     longer = extra * (base + 1)
     rest = F.col("_at") - longer
