@@ -12,13 +12,14 @@ Every hit is scored in a window of words around it: quotation marks, words of re
 words of address tell a quotation from abuse. A logistic model over the hits' sums gives the
 score of a text; every text is read whole.
 
-The fit reads at most ``TOXIC`` and ``CLEAN`` labelled texts of the training folds, at most
-``CUT`` characters of each, chosen by a hash of the id; near copies among them count once.
+The fit reads at most ``TOXIC`` and ``CLEAN`` labelled texts of the training folds, chosen by a
+hash of the id and read whole; near copies among them count once.
 
 Defined cases: null and empty texts have no hits and get the score of none; without toxic
 labels every score is 0; a doc_id with several labels is toxic if any says so; null ids are in
 the training folds but have no labels; repeated rows get equal scores; an empty table gives an
-empty result; other columns are ignored.
+empty result; labels other than 0 and 1, and labels without an id, teach nothing; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -39,12 +40,12 @@ from pyspark.sql import functions as F
 from terrasift.llm.common import fold, stage
 
 FOLDS, HELD_OUT = 3, 1
-TOXIC, CLEAN, CUT, SEED = 1_200, 8_000, 20_000, 13
+TOXIC, CLEAN, SEED = 2_000, 10_000, 13
 THRESHOLD = 0.7
 #: Beginnings of words that may become terms, by length.
 STEMS = range(4, 9)
-#: How often every toxic text is to be covered; terms at most.
-COVER, TERMS = 8, 400
+#: How often every toxic text is to be covered.
+COVER = 8
 #: Terms expected to be chosen by chance.
 CHANCE = 0.05
 #: Shortest terms that allow one and two edits.
@@ -276,7 +277,7 @@ def learn_terms(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
     need = np.full(len(toxic), COVER)
     chosen: list[str] = []
     family: set[str] = set()
-    while len(chosen) < TERMS and pure:
+    while pure:
         # Whole words and the longest, most telling beginnings first among equals.
         gain, _, _, unit = max((int((need[holders[u]] > 0).sum()), u[-1] != "*", len(u), u) for u in pure)
         if gain < least:
@@ -321,9 +322,7 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
         near |= (F.col("toxic") == label) & (F.col("_u") * n <= 1.2 * bound[label] + 20)
     # The chosen marks are bounded like the sample, so the texts stay where they are.
     chosen = stage(marks.filter(near), "toxic-chosen")
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select(
-        "toxic", "_u", F.substring("text", 1, CUT).alias("text")
-    )
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("toxic", "_u", "text")
     rows = stage(rows, "toxic-sample")
     out = []
     for label in sorted(sizes):
