@@ -5,8 +5,9 @@ rows. A text is lower-cased, reduced to its words and compressed in pieces with
 dictionary, whole; the smallest sum wins. A narrow margin between the two smallest sums is a
 rejection.
 
-The fit reads at most ``SAMPLE`` labelled rows per language, chosen by a hash of the id, and
-at most ``CUT`` characters of each; every text is predicted whole.
+The fit reads at most ``SAMPLE`` labelled rows per language, chosen by a hash of the id. Each
+gives its dictionary one slice, at a place of the whole text that the hash draws; every text is
+predicted whole.
 
 Defined cases: a null text and a text without a letter are ``und`` with score 0 and are
 rejected; equal sums go to the language with more labelled rows and are rejected; if nothing
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from terrasift.llm.common import fold, stage
 
 FOLDS, HELD_OUT = 4, 2
-#: Bounds of the fit: labelled rows per language, characters of each, bytes of a dictionary.
-SAMPLE, CUT, DICTIONARY = 400, 4096, 64 * 1024
+#: Bounds of the fit: labelled rows per language, characters of a row's slice, bytes of a dictionary.
+SAMPLE, SLICE, DICTIONARY = 400, 1024, 64 * 1024
 LEVEL, MIN_MATCH, PIECE = 6, 3, 2048
 #: Relative gap of the two smallest sums below which a text is rejected.
 MARGIN = 0.0005
@@ -50,17 +51,18 @@ def plain(text: str | None) -> bytes:
 
 
 def sample(labelled: DataFrame, per_language: int = SAMPLE) -> DataFrame:
-    """(lang, text, rows): a hash sample of ``per_language`` rows for each language.
+    """(lang, text, rows): slices of a hash sample of ``per_language`` rows for each language.
 
     Counts come first, so that only about twice the wanted rows are ranked.
     """
     counts = stage(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "lang-counts")
     place = F.xxhash64(F.lit(5), "doc_id", F.length("text"))
     share = F.shiftrightunsigned(F.col("_place"), 11) / F.lit(float(1 << 53))
+    drawn = F.pmod(F.xxhash64("_place"), F.greatest(F.length("text") - SLICE, F.lit(0)) + 1)
     near = (
         labelled.withColumn("_place", place).join(counts, "lang")
         .filter(share <= (2.0 * per_language + 50) / F.col("rows"))
-        .select("lang", "rows", "_place", F.substring("text", 1, CUT).alias("text"))
+        .select("lang", "rows", "_place", F.substring("text", (drawn + 1).cast("int"), F.lit(SLICE)).alias("text"))
     )
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "text"))
     return near.withColumn("_rank", rank).filter(F.col("_rank") <= per_language).select("lang", "rows", "_rank", "text")
