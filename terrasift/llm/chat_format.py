@@ -1,20 +1,22 @@
 """Chat formatting by a visitor over typed content parts.
 
 A turn's content is a list of parts: text, image, audio or document. A visitor flattens them
-in order: text is escaped, every other part becomes a placeholder with a running number, its
-reference is recorded, and its expanded token count follows from its kind and measures. Turns
-are wrapped in template marks; the loss mask covers the texts of assistant turns.
+in order: text is escaped, every other part becomes a placeholder of its kind; its number
+inside the turn and its reference are recorded, and its expanded token count follows from its
+kind and measures. Turns are wrapped in template marks; the loss mask covers the texts of
+assistant turns.
 
 Rows are formatted one by one, so no conversation is gathered: a conversation is its rows in
 order. ``read_back`` streams the sorted rows through the parser and keeps one running digest.
 
-Control strings inside texts are escaped with a backslash before their first character, and
-backslashes are doubled; ``unescape`` undoes both.
+Control strings inside texts are broken by a backslash behind their first character, so that no
+tokenizer finds them there, and backslashes are doubled; ``unescape`` undoes both.
 
 Defined cases: a null text or null content is empty; a null role is an empty role, without
 loss; null turns come first; rows of equal turn go by role, then text; repeated rows are
-turns each; a null conversation id is a conversation; an empty table gives an empty result;
-other columns are ignored.
+turns each; a null conversation id is a conversation; a part of null kind is a text, one of an
+unknown kind goes as a document under its own kind; null or missing measures count one tile,
+one page or no seconds; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ FORMATTED = (
 
 
 def escape(text: str) -> str:
-    return CONTROLS.sub(lambda m: "\\" + m[0], text)
+    return CONTROLS.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
 
 
 def unescape(text: str) -> str:
@@ -62,9 +64,7 @@ class Visitor:
         self.attachments: list[dict] = []
 
     def visit(self, part: dict) -> None:
-        kind: Callable[[dict], None] = getattr(self, f"on_{part.get('kind') or 'text'}", None)
-        if kind is None:
-            raise ValueError(f"Unknown kind of part: {part['kind']}")
+        kind: Callable[[dict], None] = getattr(self, f"on_{part.get('kind') or 'text'}", self.on_document)
         kind(part)
 
     def on_text(self, part: dict) -> None:
@@ -82,7 +82,8 @@ class Visitor:
 
     def attach(self, part: dict, tokens: int) -> None:
         place = len(self.attachments)
-        self.pieces.append(f"<|{part['kind']}|>")
+        kind = part["kind"] if part["kind"] in ("image", "audio") else "document"
+        self.pieces.append(f"<|{kind}|>")
         self.attachments.append({"place": place, "kind": part["kind"], "ref": part.get("ref"), "tokens": tokens})
 
 

@@ -5,15 +5,16 @@ tags and class words), its hashed words and a few measures. A bidirectional LSTM
 backward in plain numpy, runs over the whole sequence, so each block is labelled in the
 context of its document; blocks labelled as main text are joined.
 
-The network is trained here on a bounded sample of the pages, at most ``SAMPLE`` pages of at
-most ``LONGEST`` characters, chosen by a hash of the id. Silver labels come from the sectioning
+The network is trained here on a bounded sample of the pages, at most ``SAMPLE`` pages chosen by
+a hash of the id. Silver labels come from the sectioning
 of those pages; boilerplate of kinds that a sample may lack (comment threads, notices, forms,
 share bars, nested menus) is woven in from fixed lists of tags and class words, and section
 marks are taken away in part of the copies so that the context has to be learnt.
 
 Defined cases: null or empty html gives an empty text; text outside any tag is a block like
 others; unclosed tags, comments and scripts end where a browser would end them or with the
-page; repeated rows get equal texts; an empty table gives an empty result; other columns are
+page; formulas, drawings, embedded objects and what stands in for them are elements whose texts
+the labeller sees like others; repeated rows get equal texts; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, LONGEST = 256, 200_000
+SAMPLE = 256
 PATH_SLOTS, WORD_SLOTS, MEASURES, HIDDEN = 512, 16, 5, 16
 EPOCHS, BATCH, RATE, SEED = 9, 32, 0.02, 41
 #: Block steps, with padding, that a task labels at once.
@@ -39,10 +40,13 @@ STEPS = 60_000
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript svg iframe noembed math object canvas".split())
+RAW = frozenset("script style template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
-    "strong sub sup time tt u var wbr img br".split()
+    "strong sub sup time tt u var wbr img br "
+    # formulas, drawings and embedded content stand in the line
+    "math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mstyle mover munder munderover semantics annotation "
+    "svg g text tspan path rect circle line canvas object iframe".split()
 )
 #: Opening one of these ends an open element named on the right, unless one of the bounds lies between.
 ENDS = {
@@ -402,7 +406,7 @@ def train(pages: DataFrame, size: int = SAMPLE) -> Labeller:
     share = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "page_id"), 11) / F.lit(float(1 << 53))
     total = pages.count()
     rows = (
-        pages.filter(F.col("html").isNotNull() & (F.length("html") <= LONGEST)).withColumn("_u", share)
+        pages.filter(F.col("html").isNotNull()).withColumn("_u", share)
         .filter(F.col("_u") * total <= 2.0 * size + 20).select("_u", "html").orderBy("_u", "html").limit(size).collect()
     )
     return Labeller().fit(examples([r["html"] for r in rows]))

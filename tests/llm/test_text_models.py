@@ -211,8 +211,8 @@ def test_chat_round_trip(spark):
     frame = spark.createDataFrame([(*t, "extra") for t in turns], "conv_id long, turn int, role string, text string, loss string")
     rendered = chat_format.format_turns(chat_format.text_turns(frame))
     for r in rendered.collect():
-        assert all(m not in r.formatted[len(chat_format.TURN):-len(chat_format.END)].replace(chat_format.BODY, "", 1)
-                   or "\\" + m in r.formatted for m in chat_format.CONTROL)
+        inside = r.formatted[len(chat_format.TURN):-len(chat_format.END)].replace(chat_format.BODY, "", 1)
+        assert not any(m in inside for m in chat_format.CONTROL)
     got = {r.conv_id: r for r in chat_format.read_back(rendered).collect()}
     for conv in (1, 2, None):
         mine = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))
@@ -232,9 +232,28 @@ def test_parts_become_ordered_placeholders():
     assert [(a["place"], a["kind"], a["ref"], a["tokens"]) for a in out["attachments"]] == [
         (0, "image", "a.png", 3 * 144), (1, "audio", "b.wav", 38), (2, "document", "c.pdf", 1536)
     ]
-    assert out["formatted"] == "<|turn|>user<|body|>see \\<|image|> <|image|><|audio|><|document|><|end|>"
-    with pytest.raises(ValueError):
-        chat_format.format_turn("user", [{"kind": "film"}])
+    assert out["formatted"] == "<|turn|>user<|body|>see <\\|image|> <|image|><|audio|><|document|><|end|>"
+    odd = chat_format.format_turn("user", [{"kind": "film", "ref": "d"}, {"kind": None, "ref": "e"}, {"kind": "image", "ref": None}])
+    assert odd["formatted"] == "<|turn|>user<|body|><|document|><|image|><|end|>"
+    assert [(a["kind"], a["tokens"]) for a in odd["attachments"]] == [("film", 512), ("image", 144)]
+
+
+@pytest.mark.parametrize("text", [*chat_format.CONTROL, "\\", "\\\\<s>", "<<s>s>", "<\\|end|>", "<<<SYS>>>>", "<|end|><|end|>", ""])
+def test_escapes_break_every_control_string(text):
+    escaped = chat_format.escape(text)
+    assert chat_format.unescape(escaped) == text
+    assert not any(m in escaped for m in chat_format.CONTROL)
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<p>Let <math><mi>x</mi></math> be.</p>", "Let x be."),
+    ("<p>a b c.</p><svg><p>x</p><p>rest of it</p>", "a b c.\nx\nrest of it"),
+    ("<p>one<script>var a = '<p>no</p>';</script> two</p><template><p>no</p></template>", "one two"),
+    ("<p>see <object data=a>a <object>b</object> c</object> here</p>", "see a b c here"),
+    ("<noscript><p>plain</p></noscript><canvas>drawn</canvas>", "plain\ndrawn"),
+])
+def test_only_raw_elements_lose_their_text(page, text):
+    assert "\n".join(b.text for b in html_extract.read_blocks(page)) == text
 
 
 def test_neighbours_recall_ties_and_odd_vectors(spark):
