@@ -1,12 +1,17 @@
 """Oriented boxes: suppression and matching.
 
 A box is ``box_id``, a ``scene`` (chip or raster), ``xy array<double>(8)`` and, for
-detections, ``conf``. Boxes meet through grid cells at least as large as the largest box,
-so a crowded scene is spread over cells and never gathered into one group.
+detections, ``conf``. Boxes meet through grids whose cells double in size: a box lies on the
+grid of its own size, where it touches at most four cells, and visits the coarser grids that
+are in use. A pair meets on the grid of its larger box, so one giant box does not widen the
+cells of all others, and a crowded scene is spread over cells and never gathered into one group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,8 @@ from terrasift.functions.overlap import iou
 from terrasift.session import cut_lineage
 
 TOP = 8
+#: Candidate pairs of a scene that are matched in one pass without rounds before it.
+PASS = 200_000
 
 
 def _bounds(df: DataFrame) -> DataFrame:
@@ -25,10 +32,14 @@ def _bounds(df: DataFrame) -> DataFrame:
     return df.selectExpr(
         "*", f"array_min({xs}) AS _x0", f"array_max({xs}) AS _x1", f"array_min({ys}) AS _y0", f"array_max({ys}) AS _y1",
         f"abs({twice}) / 2 AS _area",
-    ).selectExpr("*", "_area = (_x1 - _x0) * (_y1 - _y0) AS _flat")
+    ).selectExpr(
+        "*", "_area = (_x1 - _x0) * (_y1 - _y0) AS _flat",
+        # The least power of two that the longer side does not exceed; a point counts as very small.
+        "cast(ceil(log2(greatest(_x1 - _x0, _y1 - _y0, 1e-9D))) AS int) AS _own",
+    )
 
 
-BOX = ("xy", "_x0", "_x1", "_y0", "_y1", "_area", "_flat")
+BOX = ("xy", "_x0", "_x1", "_y0", "_y1", "_area", "_flat", "_own")
 
 
 def _with_iou(pairs: DataFrame, a: str, b: str, keep: list[str], floor: str) -> DataFrame:
@@ -52,79 +63,99 @@ def _with_iou(pairs: DataFrame, a: str, b: str, keep: list[str], floor: str) ->
     return flat.unionByName(turned.filter(floor).select(*names, "iou"))
 
 
-def _cell_size(df: DataFrame) -> float:
-    side = df.agg(F.max(F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")))).first()[0]
-    return 4.0 * float(side) if side else 1.0
+def levels(*frames: DataFrame) -> list[int]:
+    """The box sizes in use, as powers of two: at most as many as a double has exponents."""
+    found: set[int] = set()
+    for df in frames:
+        found.update(r["_own"] for r in df.select("_own").distinct().collect() if r["_own"] is not None)
+    return sorted(found)
 
 
-def _in_cells(df: DataFrame, size: float) -> DataFrame:
-    """One row per grid cell a box touches (one or two per axis)."""
+def _cells(df: DataFrame, level: Column) -> DataFrame:
+    """One row per cell of the grid ``level`` that a box touches."""
+    rows = df.withColumn("_level", level)
+    size = F.pow(F.lit(2.0), F.col("_level"))
 
     def span(low: str, high: str) -> Column:
         return F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size)))
 
-    return df.withColumn("_cx", span("_x0", "_x1")).withColumn("_cy", span("_y0", "_y1"))
+    return rows.withColumn("_cx", span("_x0", "_x1")).withColumn("_cy", span("_y0", "_y1"))
 
 
-def _counted_here(a: str, b: str, size: float) -> Column:
-    """Two boxes may share several cells; their pair counts where their overlap starts."""
-    x = F.greatest(F.col(f"{a}._x0"), F.col(f"{b}._x0"))
-    y = F.greatest(F.col(f"{a}._y0"), F.col(f"{b}._y0"))
-    return (F.floor(x / size) == F.col("_cx")) & (F.floor(y / size) == F.col("_cy"))
+def at_home(df: DataFrame) -> DataFrame:
+    return _cells(df, F.col("_own"))
+
+
+def on_coarser(df: DataFrame, used: list[int]) -> DataFrame:
+    """Rows on the grids in use that are coarser than the box's own."""
+    coarser = F.filter(F.array(*[F.lit(u) for u in used]), lambda u: u > F.col("_own"))
+    return _cells(df, F.explode(coarser)) if len(used) > 1 else _cells(df.limit(0), F.col("_own"))
 
 
 def _touch(a: str, b: str) -> Column:
+    """Their bounding boxes overlap, and the overlap starts in this cell: a pair may share several."""
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    x = F.greatest(F.col(f"{a}._x0"), F.col(f"{b}._x0"))
+    y = F.greatest(F.col(f"{a}._y0"), F.col(f"{b}._y0"))
     return (
         (F.col(f"{a}._x0") < F.col(f"{b}._x1")) & (F.col(f"{b}._x0") < F.col(f"{a}._x1"))
         & (F.col(f"{a}._y0") < F.col(f"{b}._y1")) & (F.col(f"{b}._y0") < F.col(f"{a}._y1"))
+        & (F.floor(x / size) == F.col("_cx")) & (F.floor(y / size) == F.col("_cy"))
     )
 
 
+def meetings(left: DataFrame, right: DataFrame, a: str, b: str, keys: list[str], used: list[int], names: tuple[list[str], list[str]]) -> list[DataFrame]:
+    """Touching pairs of ``left`` and ``right``, by which of the two sizes decides the grid.
+
+    ``names`` are the columns of each side beside ``BOX``.
+    """
+    on = [*keys, "_level", "_cx", "_cy"]
+    l_home, r_home = at_home(left).select(*on, *BOX, *names[0]), at_home(right).select(*on, *BOX, *names[1])
+    parts = [l_home.alias(a).join(r_home.alias(b), on)]
+    if len(used) > 1:
+        l_up, r_up = on_coarser(left, used).select(*on, *BOX, *names[0]), on_coarser(right, used).select(*on, *BOX, *names[1])
+        parts += [l_up.alias(a).join(r_home.alias(b), on), l_home.alias(a).join(r_up.alias(b), on)]
+    return [part.filter(_touch(a, b)) for part in parts]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def suppress(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Keep a box iff no box ahead of it in its scene overlaps above ``threshold``.
 
     "Ahead" is higher confidence, then smaller id; a box that is itself suppressed still
     suppresses others. Identical boxes are reduced to the one ahead of all its copies,
     which neither saves nor dooms any other box. Victims of the ``TOP`` leading boxes of
-    their cell are settled before the full comparison, so a pile of near copies is not
-    compared pair by pair.
+    their cell are settled first, so a pile of near copies is not compared pair by pair.
     """
-    wide = _bounds(df)
     rank = F.struct((-F.col("conf")).alias("c"), F.col("box_id").alias("i"))
-    solo = wide.groupBy("scene", *BOX).agg(F.min(rank).alias("rank"))
-    size = _cell_size(wide)
-    boxes = _in_cells(solo, size)
-    ahead = F.col("s.rank") < F.col("v.rank")
-    keys = ["scene", "_cx", "_cy"]
+    solo = cut_lineage(_bounds(df).groupBy("scene", *BOX).agg(F.min(rank).alias("rank")), "solo")
+    used = levels(solo)
 
     def doomed(victims: DataFrame, suppressors: DataFrame) -> DataFrame:
-        pairs = victims.alias("v").join(suppressors.alias("s"), keys).filter(
-            ahead & _touch("v", "s") & _counted_here("v", "s", size)
-        )
-        hits = _with_iou(pairs, "v", "s", ["scene", "v.rank.i AS _i"], f"iou > {threshold!r}D")
-        return hits.select("scene", "_i").distinct()
-
-    crowd = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    alive = boxes
-    if crowd > 4 * TOP:
-        leaders = _leading(boxes, keys)
-        first = doomed(boxes, leaders).withColumnRenamed("_i", "_gone")
-        alive = cut_lineage(
-            boxes.join(
-                first, (boxes["scene"] == first["scene"]) & (F.col("rank.i") == F.col("_gone")), "left_anti"
-            ),
-            "alive",
-        )
-    second = doomed(alive, boxes)
-    kept = alive.select("scene", F.col("rank.i").alias("box_id")).distinct().join(
-        second.withColumnRenamed("_i", "box_id"), ["scene", "box_id"], "left_anti"
-    )
+        ahead = F.col("s.rank") < F.col("v.rank")
+        found = meetings(victims, suppressors, "v", "s", ["scene"], used, (["rank"], ["rank"]))
+        hits = [_with_iou(pairs.filter(ahead), "v", "s", ["scene", "v.rank.i AS _i"], f"iou > {threshold!r}D") for pairs in found]
+        return _union([h.select("scene", "_i") for h in hits]).distinct()
+
+    def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+        return rows.join(gone, (rows["scene"].eqNullSafe(gone["scene"])) & (rows["rank"]["i"] == gone["_i"]), "left_anti")
+
+    leaders = cut_lineage(_leading(at_home(solo)).select("scene", *BOX, "rank").distinct(), "leaders")
+    alive = cut_lineage(without(solo, doomed(solo, leaders)), "alive")
+    kept = without(alive, doomed(alive, solo)).select("scene", F.col("rank.i").alias("box_id"))
     return df.join(kept, ["scene", "box_id"], "left_semi").select(*df.columns)
 
 
-def _leading(boxes: DataFrame, keys: list[str]) -> DataFrame:
+def _leading(boxes: DataFrame) -> DataFrame:
     """The ``TOP`` best boxes of every cell."""
     # Shards bound what one task sorts; each keeps TOP, then the shards are merged.
+    keys = ["scene", "_level", "_cx", "_cy"]
     shard = F.pmod(F.xxhash64("rank.i"), F.lit(64))
     inner = Window.partitionBy(*keys, "_shard").orderBy("rank")
     outer = Window.partitionBy(*keys).orderBy("rank")
@@ -136,54 +167,82 @@ def _leading(boxes: DataFrame, keys: list[str]) -> DataFrame:
     return best.drop("_n", "_shard")
 
 
-def candidate_pairs(preds: DataFrame, truths: DataFrame, floor: float, same_class: bool = True) -> DataFrame:
-    """Prediction / truth pairs of a scene with IoU of at least ``floor`` (> 0)."""
-    p, t = _bounds(preds), _bounds(truths)
-    size = max(_cell_size(p), _cell_size(t))
-    keys = ["scene", "_cx", "_cy"] + (["class_id"] if same_class else [])
-    left = _in_cells(p, size).selectExpr(*keys, "box_id AS pred", "conf", *BOX)
-    right = _in_cells(t, size).selectExpr(*keys, "box_id AS truth", *BOX)
-    joined = left.alias("p").join(right.alias("t"), keys).filter(_touch("p", "t") & _counted_here("p", "t", size))
-    return _with_iou(joined, "p", "t", ["scene", "pred", "conf", "truth"], f"iou >= {float(floor)!r}D")
+def candidate_pairs(preds: DataFrame, truths: DataFrame, floor: float, same_class: bool = True, rank: str = "-conf") -> DataFrame:
+    """Prediction / truth pairs of a scene with IoU of at least ``floor`` (> 0), and the prediction's ``rank``."""
+    keys = ["scene"] + (["class_id"] if same_class else [])
+    left = cut_lineage(_bounds(preds).selectExpr(*keys, "box_id AS pred", f"{rank} AS rank", *BOX), "preds")
+    right = cut_lineage(_bounds(truths).selectExpr(*keys, "box_id AS truth", *BOX), "truths")
+    found = meetings(left, right, "p", "t", keys, levels(left, right), (["pred", "rank"], ["truth"]))
+    return _union([_with_iou(pairs, "p", "t", ["scene", "pred", "rank", "truth"], f"iou >= {float(floor)!r}D") for pairs in found])
 
 
-def match_greedy(preds: DataFrame, truths: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One-to-one matching: predictions choose in confidence order their best free truth.
+def match_greedy(preds: DataFrame, truths: DataFrame, threshold: float = 0.5, rank: str = "-conf") -> DataFrame:
+    """One-to-one matching: predictions choose in the order of ``rank`` and id their best free truth.
 
-    Runs in rounds instead of one loop per scene. A prediction may settle as soon as no
-    undecided prediction ahead of it could take its choice, which gives the same result as
-    deciding one after the other. Returns ``scene, pred, truth, iou``.
+    Returns ``scene, pred, truth, iou``. The pairs of a scene pass one task once, in order, with
+    the truths taken so far as the only state. Scenes of more than ``PASS`` pairs go through
+    rounds before, in which every prediction settles that no undecided one ahead of it could
+    disturb; rounds end as soon as they no longer take a tenth of the pairs away.
     """
-    edges = cut_lineage(candidate_pairs(preds, truths, threshold), "edges")
-    matched = None
-    while not edges.isEmpty():
-        ahead = F.struct((-F.col("conf")).alias("c"), F.col("pred").alias("i"))
-        choice = edges.groupBy("scene", "pred").agg(
-            F.max(F.struct("iou", "truth")).alias("_pick"), F.min(ahead).alias("_rank")
-        )
-        claims = edges.groupBy("scene", "truth").agg(F.min(ahead).alias("_first"))
-        settled = cut_lineage(
-            choice.select("scene", "pred", F.col("_pick.truth").alias("truth"), F.col("_pick.iou").alias("iou"), "_rank")
-            .join(claims, ["scene", "truth"])
-            .filter(F.col("_rank") == F.col("_first"))
-            .select("scene", "pred", "truth", "iou"),
-            "settled",
-        )
-        matched = settled if matched is None else matched.unionByName(settled)
-        edges = cut_lineage(
-            edges.join(settled.select("scene", "pred"), ["scene", "pred"], "left_anti").join(
-                settled.select("scene", "truth"), ["scene", "truth"], "left_anti"
-            ),
-            "edges",
-        )
-    if matched is None:
-        return edges.select("scene", "pred", "truth", "iou")
-    return matched
+    edges = cut_lineage(candidate_pairs(preds, truths, threshold, rank=rank), "edges")
+    settled, before = [], None
+    while True:
+        counts = edges.groupBy("scene").count()
+        large = cut_lineage(counts.filter(F.col("count") > PASS), "large")
+        left = large.agg(F.sum("count")).first()[0] or 0
+        if not left or (before is not None and left > 0.9 * before):
+            break
+        before = left
+        found = _settled(edges.join(large, edges["scene"].eqNullSafe(large["scene"]), "left_semi"))
+        settled.append(found)
+        edges = cut_lineage(_free(edges, found), "edges")
+    return _union([*settled, _in_order(edges)])
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """Choices that no undecided prediction ahead could take."""
+    ahead = F.struct("rank", "pred")
+    choice = edges.groupBy("scene", "pred").agg(F.max(F.struct("iou", "truth")).alias("_pick"), F.min(ahead).alias("_rank"))
+    claims = edges.groupBy(F.col("scene").alias("_scene"), F.col("truth").alias("_truth")).agg(F.min(ahead).alias("_first"))
+    same = choice["scene"].eqNullSafe(claims["_scene"]) & (F.col("_pick.truth") == F.col("_truth")) & (F.col("_rank") == F.col("_first"))
+    return cut_lineage(choice.join(claims, same).selectExpr("scene", "pred", "_pick.truth AS truth", "_pick.iou AS iou"), "settled")
+
+
+def _free(edges: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs of predictions and truths that are both undecided."""
+    for side in ("pred", "truth"):
+        done = settled.select(F.col("scene").alias("_scene"), F.col(side).alias("_side"))
+        edges = edges.join(done, edges["scene"].eqNullSafe(done["_scene"]) & (edges[side] == done["_side"]), "left_anti")
+    return edges
+
+
+def _in_order(edges: DataFrame) -> DataFrame:
+    """Matches of every scene, prediction after prediction."""
+    ordered = edges.repartition("scene").sortWithinPartitions("scene", "rank", "pred", F.desc("iou"), F.desc("truth"))
+    names = ["scene", "pred", "truth", "iou"]
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scene, pred, taken, first, done = None, None, set(), True, False
+        for batch in batches:
+            chosen = []
+            columns = (batch.column(c).to_pylist() for c in names[:3])
+            for i, (s, p, t) in enumerate(zip(*columns)):
+                if first or s != scene:
+                    scene, pred, taken, first = s, None, set(), False
+                if p != pred:
+                    pred, done = p, False
+                if not done and t not in taken:
+                    taken.add(t)
+                    chosen.append(i)
+                    done = True
+            yield batch.take(pa.array(chosen, pa.int64()))
+
+    return ordered.select(*names).mapInArrow(take, edges.select(*names).schema)
 
 
 def best_overlap(preds: DataFrame, truths: DataFrame, floor: float = 0.5) -> DataFrame:
     """Matching in the order of the predictions: each takes its best free truth of its class."""
-    return match_greedy(preds.withColumn("conf", -F.col("box_id").cast("double")), truths, floor)
+    return match_greedy(preds, truths, floor, rank="box_id")
 
 
 def false_positives(preds: DataFrame, matched: DataFrame) -> DataFrame:

@@ -279,17 +279,33 @@ def suppress(t: Tables) -> DataFrame:
     return boxes.suppress(t.detections(), 0.5).select("scene", "box_id")
 
 
-@query("best_overlap_matches")
+def _matching_sql(rank: str, select: str) -> str:
+    """One prediction of every scene after the other, with the list of truths taken so far."""
+    return f"""WITH RECURSIVE e AS (SELECT a.scene, a.box_id AS pred, {rank} AS rank, b.box_id AS truth, {_IOU} AS iou
+  FROM detections a JOIN truths b ON a.scene = b.scene AND a.class_id = b.class_id AND {_IOU} >= 0.5),
+o AS (SELECT scene, pred, row_number() OVER (PARTITION BY scene ORDER BY min(rank), pred) AS k, list(truth ORDER BY iou DESC, truth DESC) AS opts FROM e GROUP BY 1, 2),
+st AS (SELECT DISTINCT scene, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS pred, NULL::BIGINT AS truth FROM o
+  UNION ALL SELECT scene, k, CASE WHEN truth IS NULL THEN used ELSE list_append(used, truth) END, pred, truth FROM (
+    SELECT o.scene, o.k, st.used, o.pred, list_filter(o.opts, lambda t: NOT list_contains(st.used, t))[1] AS truth
+    FROM st JOIN o ON o.scene = st.scene AND o.k = st.k + 1))
+{select}"""
+
+
+_MATCHED = "SELECT scene, pred, truth FROM st WHERE truth IS NOT NULL"
+
+
+@query("best_overlap_matches", _matching_sql("a.box_id", _MATCHED))
 def best_overlap(t: Tables) -> DataFrame:
     return boxes.best_overlap(t.detections(), t.truths(), 0.5).select("scene", "pred", "truth")
 
 
-@query("greedy_box_matching")
+@query("greedy_box_matching", _matching_sql("-a.conf", _MATCHED))
 def greedy(t: Tables) -> DataFrame:
     return boxes.match_greedy(t.detections(), t.truths(), 0.5).select("scene", "pred", "truth")
 
 
-@query("top_false_positives")
+@query("top_false_positives", _matching_sql("-a.conf", f"""SELECT scene, box_id, conf FROM detections d
+WHERE NOT EXISTS (SELECT 1 FROM ({_MATCHED}) m WHERE m.scene = d.scene AND m.pred = d.box_id) ORDER BY conf DESC, scene, box_id LIMIT 20"""))
 def top_fp(t: Tables) -> DataFrame:
     matched = boxes.match_greedy(t.detections(), t.truths(), 0.5)
     return boxes.false_positives(t.detections(), matched).orderBy(F.desc("conf"), "scene", "box_id").limit(20).select("scene", "box_id", "conf")

@@ -150,3 +150,67 @@ def test_radius_area(spark):
         segment = r * r * np.arccos(0.9) - 900 * np.sqrt(r * r - 900**2)
         assert got[1] == pytest.approx((80000 + segment) / 1e6, rel=0.01)
         assert got[3] == pytest.approx((gon / 2 + 100 * 1995) / 1e6 + 0.0, rel=0.03)
+
+
+def test_concave_quads_match_a_raster():
+    rng = np.random.default_rng(12)
+    step = 0.02
+    grid = np.stack(np.meshgrid(np.arange(-3, 3, step) + step / 2, np.arange(-3, 3, step) + step / 2), -1).reshape(-1, 2)
+
+    def inside(q):
+        odd = np.zeros(len(grid), bool)
+        for p, r in zip(q, np.roll(q, -1, 0)):
+            spans = (p[1] > grid[:, 1]) != (r[1] > grid[:, 1])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                odd ^= spans & (grid[:, 0] < (r[0] - p[0]) * (grid[:, 1] - p[1]) / (r[1] - p[1]) + p[0])
+        return odd
+
+    darts = [np.array([[-1, -1], [1, -1], [0, -0.4], [0, 1.2]]), np.array([[0, 0], [2, 0], [2, 2], [1.6, 0.3]]), np.array([[-1, -1], [1, -1], [1, 1], [-1, 1]])]
+    for _ in range(12):
+        quads = []
+        for shape in (darts[rng.integers(2)], darts[rng.integers(3)]):
+            t = rng.uniform(0, 2 * np.pi)
+            q = shape @ np.array([[np.cos(t), np.sin(t)], [-np.sin(t), np.cos(t)]]) + rng.uniform(-0.4, 0.4, 2)
+            quads.append(q[::-1] if rng.random() < 0.5 else q)
+        a, b = map(inside, quads)
+        assert quad_iou(quads[0][None], quads[1][None])[0] == pytest.approx((a & b).sum() / max(1, (a | b).sum()), abs=0.02)
+
+
+@pytest.mark.parametrize("quad", [
+    [0, 0, 1, 1, 1, 0, 0, 1], [0, 0, 2, 0, 2, 2, 1, 0], [0, 0, 1, 0, 1, 0, 0, 1], [0, 0, 1, 0, 2, 0, 3, 0], [0, 0, 2, 0, -1, 0, 1, 1],
+])
+def test_quads_that_cross_or_touch_themselves_give_nothing(quad):
+    square = np.array([_square(0, 0, 2)], float).reshape(1, 4, 2)
+    assert quad_iou(np.array([quad], float).reshape(1, 4, 2), square)[0] == 0
+
+
+def test_one_giant_box_leaves_small_cells(spark):
+    rng = np.random.default_rng(2)
+    rows = [(0, i, [float(v) for v in _square(*rng.uniform(0, 4000, 2), 6)], float(rng.random()), 0) for i in range(1200)]
+    rows += [(0, 5000, [float(v) for v in _square(0, 0, 4000)], 0.99, 0), (0, 5001, [float(v) for v in _square(1, 1, 3999)], 0.5, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    wide = boxes._bounds(df)
+    used = boxes.levels(wide)
+    found = boxes.meetings(wide, wide.select("*"), "a", "b", ["scene"], used, (["box_id"], ["box_id"]))
+    met = sum(p.count() for p in found)
+    # All meet the giants, and otherwise only near ones: far fewer pairs than all with all.
+    assert met < 4 * len(rows) + 3000
+    got = {r.box_id for r in boxes.suppress(df, 0.3).collect()}
+    quads = np.array([r[2] for r in rows]).reshape(-1, 4, 2)
+    want = set()
+    for i, r in enumerate(rows):
+        over = quad_iou(np.repeat(quads[i][None], len(rows), 0), quads)
+        if not any(over[j] > 0.3 and (-q[3], q[1]) < (-r[3], r[1]) for j, q in enumerate(rows)):
+            want.add(r[1])
+    assert got == want and 5001 not in got
+
+
+def test_a_long_chain_is_matched_in_few_rounds(spark, monkeypatch):
+    # Each prediction overlaps two truths; the order of the chain decides each next choice.
+    preds = [(0, i, [float(v) for v in _square(4 * i + 1, 0, 6)], 1.0 - i / 1e4, 0) for i in range(600)]
+    truths = [(0, i, [float(v) for v in _square(4 * i, 0, 6)], 0.0, 0) for i in range(600)]
+    a, b = spark.createDataFrame(preds, SCHEMA), spark.createDataFrame(truths, SCHEMA)
+    whole = {(r.pred, r.truth) for r in boxes.match_greedy(a, b, 0.3).collect()}
+    assert whole == {(i, i) for i in range(600)}
+    monkeypatch.setattr(boxes, "PASS", 50)
+    assert {(r.pred, r.truth) for r in boxes.match_greedy(a, b, 0.3).collect()} == whole
