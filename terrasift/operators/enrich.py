@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terrasift import config
 from terrasift.functions import geo
 from terrasift.functions.text import fold_name, tokens
+from terrasift.operators import polygons as areas
 from terrasift.operators import spatial
 from terrasift.operators.serving import KNOWN_STATUS, NEW_STATUS
 
@@ -66,7 +67,7 @@ def negative_points(
         drawn = spark.range(size).selectExpr(
             "id", f"{south}D + {unit.format(seed, 1)} * {north - south}D AS lat", f"{west}D + {unit.format(seed, 2)} * {east - west}D AS lon"
         )
-        inside = geo.project(spatial.point_in_polygon(drawn, polygon, "id", ["name"], how="left_semi"))
+        inside = geo.project(areas.point_in_polygon(drawn, polygon, "id", ["name"], how="left_semi"))
         free = spatial.within(inside, sites, "id", apart, strict=True, how="left_anti")
         picked = free.orderBy("id").limit(n)
         found = picked.count()

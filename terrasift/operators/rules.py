@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terrasift import config
 from terrasift.config import Rule, Technology
+from terrasift.operators import polygons as areas
 from terrasift.operators import spatial
 
 FEATURE_FIELDS = (
@@ -35,9 +36,9 @@ def nearest_by_layer(
     )
     best = spatial.nearest_best(asked, edges, [key, "layer"], payload, ["scope", "layer"], shape="segment")
     if polygons is not None:
-        inside = spatial.containing(
-            asked.withColumn("_ask", F.expr(f"struct({key}, layer)")), polygons, "_ask",
-            list(payload), "x", "y", 5000.0, ["scope", "layer"],
+        index = areas.cells(polygons, ["scope", "layer", *payload])
+        inside = areas.containing(
+            asked.withColumn("_ask", F.expr(f"struct({key}, layer)")), index, "_ask", list(payload), "x", "y", ["scope", "layer"],
         ).selectExpr(f"_ask.{key} AS {key}", "_ask.layer AS layer", "named_struct('d', 0D, 'pay', _hit) AS _best")
         best = best.unionByName(inside).groupBy(key, "layer").agg(F.expr("min(_best) AS _best"))
     wide = best.groupBy(key).agg(*[F.expr(f"max(_best) FILTER (WHERE layer = '{n}') AS `{n}`") for n in layers])

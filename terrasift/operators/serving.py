@@ -136,17 +136,23 @@ def community_search(
     df: DataFrame, lat: float, lon: float, radius_m: float | None = None,
     district: str | None = None, upazila: str | None = None,
 ) -> DataFrame:
-    """A whole area (the radius is ignored) or everything within the radius, with distance."""
+    """A whole area (the radius is ignored) or everything within the radius, nearest first."""
+    nearest_first = [F.asc_nulls_last("distance_m"), "kiln_id"]
     if district is None:
-        return with_distance(within_box(df, lat, lon, radius_m), lat, lon).filter(F.col("distance_m") <= radius_m)
+        near = with_distance(within_box(df, lat, lon, radius_m), lat, lon).filter(F.col("distance_m") <= radius_m)
+        return near.orderBy(*nearest_first)
     rows = df.filter(F.expr(clean("district")) == district)
     if upazila is not None:
         rows = rows.filter(F.expr(clean("upazila")) == upazila)
-    return with_distance(rows, lat, lon)
+    return with_distance(rows, lat, lon).orderBy(*nearest_first)
 
 
-def nearest_row(df: DataFrame, lat: float, lon: float) -> DataFrame:
-    return with_distance(df, lat, lon).filter("distance_m IS NOT NULL").orderBy("distance_m", "kiln_id").limit(1)
+def nearest_row(df: DataFrame, lat: float, lon: float, beyond_m: float | None = None) -> DataFrame:
+    """The nearest row, or the nearest one further away than ``beyond_m``."""
+    far = with_distance(df, lat, lon).filter("distance_m IS NOT NULL")
+    if beyond_m is not None:
+        far = far.filter(F.col("distance_m") > beyond_m)
+    return far.orderBy("distance_m", "kiln_id").limit(1)
 
 
 def covered_district(df: DataFrame, lat: float, lon: float, margin_m: float) -> DataFrame:

@@ -305,26 +305,6 @@ def step_inside(rows: DataFrame, grid: Grid, level: int, inside: str, touched: s
     return cut, whole
 
 
-def polygon_strips(polygons: DataFrame, cell: float, keep: Sequence[str]) -> DataFrame:
-    """Index polygons by grid cell: the edges that matter for points of that cell.
-
-    A point is tested only against edges whose y range meets its row of cells and that do
-    not lie wholly to its west, so a border of a million vertices is never scanned whole.
-    ``rings`` is an array of rings; holes and several parts work through even-odd counts.
-    """
-    c = f"{float(cell)!r}D"
-    return (
-        polygon_edges(polygons, [*keep, f"floor(array_min(transform(flatten(rings), p -> p.x)) / {c}) AS _west"])
-        .selectExpr(
-            *keep, "_west", "struct(x1, y1, x2, y2) AS _e",
-            f"explode(sequence(floor(least(y1, y2) / {c}), floor(greatest(y1, y2) / {c}))) AS _cy",
-        )
-        .selectExpr("*", f"explode(sequence(_west, floor(greatest(_e.x1, _e.x2) / {c}))) AS _cx")
-        .groupBy(*keep, "_cx", "_cy")
-        .agg(F.expr("collect_list(_e) AS _edges"))
-    )
-
-
 def polygon_edges(polygons: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Polygons (``rings``) as one row per edge ``x1, y1, x2, y2``."""
     edge = (
@@ -337,46 +317,3 @@ def polygon_edges(polygons: DataFrame, keep: Sequence[str]) -> DataFrame:
         .selectExpr(*names, "_e.x1", "_e.y1", "_e.x2", "_e.y2")
         .filter("x1 <> x2 OR y1 <> y2")
     )
-
-
-# A point on an edge is not strictly inside.
-ON_EDGE = (
-    "exists(_edges, e -> (e.x2 - e.x1) * ({y} - e.y1) - (e.y2 - e.y1) * ({x} - e.x1) = 0 AND "
-    "{x} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) AND {y} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2))"
-)
-CROSSINGS = (
-    "size(filter(_edges, e -> (e.y1 > {y}) <> (e.y2 > {y}) AND "
-    "{x} < e.x1 + ({y} - e.y1) / (e.y2 - e.y1) * (e.x2 - e.x1)))"
-)
-
-
-def containing(
-    points: DataFrame, polygons: DataFrame, key: str, keep: Sequence[str],
-    x: str = "lon", y: str = "lat", cell: float = 0.25, on: Sequence[str] = (),
-) -> DataFrame:
-    """``key, _hit``: the smallest ``keep`` record among the polygons containing the point."""
-    strips = polygon_strips(polygons, cell, list(dict.fromkeys([*on, *keep])))
-    c = f"{float(cell)!r}D"
-    keyed = points.selectExpr(
-        *dict.fromkeys([key, *on]), f"{x} AS _px", f"{y} AS _py", f"floor({x} / {c}) AS _cx", f"floor({y} / {c}) AS _cy"
-    )
-    return (
-        keyed.join(strips, [*on, "_cx", "_cy"])
-        .filter(f"{CROSSINGS.format(x='_px', y='_py')} % 2 = 1 AND NOT {ON_EDGE.format(x='_px', y='_py')}")
-        .groupBy(key)
-        .agg(F.expr(f"min(struct({', '.join(keep)})) AS _hit"))
-    )
-
-
-def point_in_polygon(
-    points: DataFrame, polygons: DataFrame, key: str, keep: Sequence[str],
-    x: str = "lon", y: str = "lat", cell: float = 0.25, how: str = "left",
-) -> DataFrame:
-    """Attach the containing polygon's ``keep`` columns; the smallest wins on overlap.
-
-    ``how='left_semi'`` keeps only contained points, adding no columns.
-    """
-    hits = containing(points, polygons, key, keep, x, y, cell)
-    if how != "left":
-        return points.join(hits.select(key), key, how)
-    return points.join(hits, key, "left").selectExpr("*", *[f"_hit.{c} AS {c}" for c in keep]).drop("_hit")

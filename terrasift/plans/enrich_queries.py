@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.functions import geo, text
-from terrasift.operators import boxes, enrich, imagery, metrics, spatial
+from terrasift.operators import boxes, enrich, imagery, metrics, polygons, spatial
 from terrasift.plans.registry import query
 from terrasift.plans.screening import m_sql
 from terrasift.plans.serving_queries import simple
@@ -31,16 +31,33 @@ _IN = "lon > west AND lon < east AND lat > south AND lat < north"
 
 @query("point_in_polygon", f'SELECT kiln_id, "shapeName" AS upazila FROM sites LEFT JOIN boundaries ON {_IN}')
 def upazila(t: Tables) -> DataFrame:
-    return spatial.point_in_polygon(t.sites(), t.boundaries(), "kiln_id", ["shapeName"], cell=0.05).selectExpr("kiln_id", "shapeName AS upazila")
+    return polygons.point_in_polygon(t.sites(), t.boundaries(), "kiln_id", ["shapeName"]).selectExpr("kiln_id", "shapeName AS upazila")
 
 
 @query("clip_points_to_district", f'SELECT feature_id, layer FROM features JOIN boundaries ON "shapeName" = district AND {_IN}')
 def clip(t: Tables) -> DataFrame:
-    polygons = t.boundaries().withColumnRenamed("shapeName", "district")
-    inside = spatial.containing(t.features(), polygons, "feature_id", ["district"], cell=0.05, on=["district"])
+    index = polygons.cells(t.boundaries().withColumnRenamed("shapeName", "district"), ["district"])
+    inside = polygons.containing(t.features(), index, "feature_id", ["district"], on=["district"])
     return t.features().join(inside.select("feature_id"), "feature_id", "left_semi").select("feature_id", "layer")
 
 
+_BOX_RUN = " ".join("""lo AS (SELECT *, greatest(0e0, least((west - lon) / nullif(lon2 - lon, 0), (east - lon) / nullif(lon2 - lon, 0)),
+least((south - lat) / nullif(lat2 - lat, 0), (north - lat) / nullif(lat2 - lat, 0))) AS a, least(1e0, greatest((west - lon) / nullif(lon2 - lon, 0), (east - lon) / nullif(lon2 - lon, 0)),
+greatest((south - lat) / nullif(lat2 - lat, 0), (north - lat) / nullif(lat2 - lat, 0))) AS b FROM rail_segments JOIN boundaries ON "shapeName" = district
+WHERE (lon2 <> lon OR (lon > west AND lon < east)) AND (lat2 <> lat OR (lat > south AND lat < north)) AND (lon2 <> lon OR lat2 <> lat))""".split())
+
+
+@query("clip_lines_to_district", f"""WITH {_BOX_RUN} SELECT feature_id, {m_sql('lon + a * (lon2 - lon)', 9)} AS from_lon, {m_sql('lat + a * (lat2 - lat)', 9)} AS from_lat,
+{m_sql('lon + b * (lon2 - lon)', 9)} AS to_lon, {m_sql('lat + b * (lat2 - lat)', 9)} AS to_lat FROM lo WHERE a < b""")
+def clip_lines(t: Tables) -> DataFrame:
+    """What of each railway lies in its district."""
+    lines = t.rail_segments().selectExpr("feature_id", "district", "array(struct(lon AS x, lat AS y), struct(lon2 AS x, lat2 AS y)) AS path")
+    index = polygons.cells(t.boundaries().withColumnRenamed("shapeName", "district"), ["district"])
+    cut = polygons.clip_lines(lines, index, "feature_id", ["district"], ["district"])
+    ends = {"from_lon": "path[0].x", "from_lat": "path[0].y", "to_lon": "element_at(path, -1).x", "to_lat": "element_at(path, -1).y"}
+    return cut.selectExpr("feature_id", *[f"{m_sql(e, 9)} AS {n}" for n, e in ends.items()])
+
+
 @query("closure_to_nearest_site", f"""SELECT place_id, round(min({_D}), 1) AS nearest_detection_m, arg_min(s.kiln_id, ({_D}, s.kiln_id)) AS kiln_id
 FROM places_xy p JOIN sites_xy s ON {_D} <= 500 GROUP BY 1 UNION ALL SELECT place_id, NULL, NULL FROM places_xy p WHERE NOT EXISTS (SELECT 1 FROM sites_xy s WHERE {_D} <= 500)""")
 def closures(t: Tables) -> DataFrame:
@@ -197,7 +214,7 @@ def inside_boxes(t: Tables) -> DataFrame:
     ring = [[(4.0, 2.0), (8.0, 2.0), (8.0, 7.0), (4.0, 7.0)]]
     area = t.spark.createDataFrame([("d", ring)], "name string, rings array<array<struct<x double, y double>>>")
     centred = t.detections().selectExpr("scene", "box_id", "struct(scene, box_id) AS k", "left_x + 3 AS lon", "low_y + 3 AS lat")
-    return spatial.point_in_polygon(centred, area, "k", ["name"], cell=2.0, how="left_semi").select("scene", "box_id")
+    return polygons.point_in_polygon(centred, area, "k", ["name"], how="left_semi").select("scene", "box_id")
 
 
 @query("radius_box", f"SELECT kiln_id, {m_sql('lat - 1000.0::DOUBLE / 110574', 9)} AS south, {m_sql('lon + 1000.0::DOUBLE / (111320 * cos(radians(lat)))', 9)} AS east FROM sites")

@@ -51,8 +51,9 @@ class Tables:
     def _nations(self) -> DataFrame:
         return self.raw("nation").select("n_nationkey", F.col("n_name").alias("district"))
 
-    def sites(self) -> DataFrame:
-        c = self.raw("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    def sites(self, *more: str) -> DataFrame:
+        """The sites; ``more`` names further columns of their source, so that it is scanned once."""
+        c = self.raw("customer").select("c_custkey", "c_nationkey", "c_mktsegment", *more)
         joined = c.join(self._nations(), F.col("c_nationkey") == F.col("n_nationkey"))
         return joined.select(
             F.col("c_custkey").alias("kiln_id"),
@@ -62,6 +63,7 @@ class Tables:
             F.concat("district", F.lit("-U"), F.pmod("c_custkey", F.lit(7))).alias("upazila"),
             F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "FCBK").otherwise("Zigzag").alias("class"),
             (F.pmod(F.col("c_custkey") * 31, F.lit(1000)) / F.lit(1000.0)).alias("confidence"),
+            *more,
         )
 
     def sites_xy(self) -> DataFrame:
@@ -156,8 +158,7 @@ class Tables:
 
     def served(self) -> DataFrame:
         """Sites as the serving layer sees them: ranks, bands, statuses, distances, nulls."""
-        c = self.raw("customer").selectExpr("c_custkey AS kiln_id", "c_acctbal")
-        return self.sites().join(c, "kiln_id").selectExpr(
+        return self.sites("c_acctbal").selectExpr(
             "kiln_id", "lat", "lon", "district",
             "CASE WHEN kiln_id % 13 = 0 THEN ' ' ELSE upazila END AS upazila", "class",
             "CASE WHEN kiln_id % 3 <> 0 THEN class END AS class_name", "confidence",

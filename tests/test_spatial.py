@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrasift.functions import geo
-from terrasift.operators import spatial
+from terrasift.operators import polygons, spatial
 
 
 def _cloud(seed, n, hot):
@@ -95,8 +95,8 @@ def test_point_in_polygon_with_hole(spark):
         [(1, 0.5, 0.5), (2, 2.0, 2.0), (3, 12.0, 1.0), (4, 10.1, 4.0), (5, 3.5, 3.9)],
         "id int, lon double, lat double",
     )
-    for cell in (0.5, 3.0, 100.0):
-        got = {r.id: r.name for r in spatial.point_in_polygon(pts, polys, "id", ["name"], cell=cell).collect()}
+    for most in (1, 3, 48):
+        got = {r.id: r.name for r in polygons.point_in_polygon(pts, polys, "id", ["name"], most=most).collect()}
         assert got == {1: "donut", 2: None, 3: "tri", 4: None, 5: "donut"}
 
 
