@@ -77,19 +77,6 @@ LAYER_TAGS: dict[str, dict[str, tuple[str, ...]]] = {
 }
 
 
-def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    """The rules as a small table: ``id, feature, buffer_m, severity, verified, label, ord``."""
-    rows = [
-        (r.id, r.feature, r.buffer_m, r.severity, r.verified, r.short_label, i)
-        for i, r in enumerate(rules)
-    ]
-    return spark.createDataFrame(
-        rows,
-        "id string, feature string, buffer_m double, severity double, "
-        "verified boolean, label string, ord int",
-    )
-
-
 def any_unverified(rules=RULES, technology: Technology | None = TECHNOLOGY) -> bool:
     """One unverified rule marks every output row as unverified."""
     return (technology is not None and not technology.verified) or any(

@@ -9,12 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _normal_form(column: Column, form: str) -> Column:
-    """Unicode normal form; Spark has no built-in one."""
+def _normal_form(column: Column, form: str, casefold: bool = False) -> Column:
+    """Unicode normal form, with or without full case folding; Spark has neither built in."""
 
     def normalise(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.str.normalize(form)
+            formed = part.str.normalize(form)
+            yield formed.str.casefold() if casefold else formed
 
     normalise.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(normalise, "string")(column)
@@ -27,9 +28,9 @@ def fold_name(column: str | Column) -> Column:
 
 
 def fold_alphanumeric(column: str | Column) -> Column:
-    """Letters and digits of the compatibility form, in lower case."""
+    """Letters and digits of the compatibility form, case folded."""
     value = F.col(column) if isinstance(column, str) else column
-    return F.regexp_replace(F.lower(_normal_form(value, "NFKC")), r"[^\p{L}\p{N}]", "")
+    return F.regexp_replace(_normal_form(value, "NFKC", casefold=True), r"[^\p{L}\p{N}]", "")
 
 
 def tokens(column: str) -> str:

@@ -88,11 +88,12 @@ def has_tags(layer: str, column: str = "tags") -> str:
 
 
 def with_provenance(df: DataFrame, layer: str, url: str, accessed_at: str) -> DataFrame:
-    return df.selectExpr(
-        "*", f"'openstreetmap:{layer}' AS source_layer_id", "'OpenStreetMap contributors' AS source_authority",
-        f"'{url}' AS source_url", f"'{accessed_at}' AS source_accessed_at", "cast(NULL AS string) AS source_version_date",
-        "'mapped geometry, clipped to the configured district; not a legally controlling boundary' AS geometry_provenance",
-    )
+    known = {
+        "source_layer_id": f"openstreetmap:{layer}", "source_authority": "OpenStreetMap contributors", "source_url": url,
+        "source_accessed_at": accessed_at, "source_version_date": None,
+        "geometry_provenance": "mapped geometry, clipped to the configured district; not a legally controlling boundary",
+    }
+    return df.select("*", *[F.lit(value).cast("string").alias(name) for name, value in known.items()])
 
 
 def first_readable(sources: Sequence[DataFrame], key: str) -> DataFrame:
@@ -116,9 +117,10 @@ def one_boundary(boundaries: DataFrame, name: str) -> DataFrame:
 
 def boundary_by_alias(asked: DataFrame, boundaries: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """Left join on folded names after replacing known aliases; null when nothing matches."""
-    pairs = ", ".join(f"'{a}', '{b}'" for a, b in aliases.items())
-    folded = asked.withColumn("_f", fold_name("name"))
-    keyed = folded.withColumn("_f", F.expr(f"coalesce(try_element_at(map({pairs}), _f), _f)"))
+    folded = keyed = asked.withColumn("_f", fold_name("name"))
+    if aliases:
+        known = F.create_map(*[F.lit(v) for pair in aliases.items() for v in pair])
+        keyed = folded.withColumn("_f", F.coalesce(F.try_element_at(known, F.col("_f")), "_f"))
     return keyed.join(boundaries.withColumn("_f", fold_name("shapeName")), "_f", "left").drop("_f")
 
 

@@ -192,3 +192,13 @@ def flagged_for_review(rules: Sequence[Rule], count: str = "rule_signals_count")
     for r in rules:
         flag = flag | F.expr(fires(r))
     return flag
+
+
+def any_unverified(
+    breached: str = "breached_rules", kind: str = "class", rules: Sequence[Rule] = config.RULES, technology: Technology = config.TECHNOLOGY
+) -> Column:
+    """Whether any rule that fired, or the flagged technology, has not been verified."""
+    open_rules = [r.id for r in rules if not r.verified]
+    fired = F.exists(breached, lambda r: r.isin(open_rules)) if open_rules else F.lit(False)
+    flagged = F.lit(not technology.verified) & F.col(kind).isin(*technology.flagged_classes)
+    return F.coalesce(fired, F.lit(False)) | F.coalesce(flagged, F.lit(False))

@@ -397,7 +397,7 @@ def advisory_export(df: DataFrame, notice: str) -> DataFrame:
             renamed[c] = f"distance_to_mapped_{c[5:-2]}_m"
     lists = [c for c, dtype in out.dtypes if dtype.startswith("array")]
     exprs = [f"to_json({c}) AS {renamed[c]}" if c in lists else f"{c} AS {renamed[c]}" for c in out.columns]
-    return out.selectExpr(f"'{notice}' AS advisory_use_notice", *exprs)
+    return out.select(F.lit(notice).alias("advisory_use_notice"), *map(F.expr, exprs))
 
 
 def review_export(df: DataFrame, rules: Sequence[Rule] = config.RULES) -> DataFrame:

@@ -45,11 +45,13 @@ simple("siting_predicate", ["kiln_id", *[f"{rules.fires(r)} AS {r.id}" for r in
        "SELECT kiln_id, " + ", ".join(f"coalesce({r.distance} < {r.buffer_m}, false) AS {r.id}" for r in config.RULES) + " FROM served")
 
 
-@query("any_rule_unverified", "SELECT true AS any_unverified, 6::BIGINT AS rules, (SELECT count(*) FROM served WHERE class = 'FCBK') AS flagged")
+_UNVERIFIED = ", ".join(f"'{r.id}'" for r in config.RULES if not r.verified) or "''"
+
+
+@query("any_rule_unverified", f"""SELECT kiln_id, len(list_filter(breached_rules, lambda r: r IN ({_UNVERIFIED}))) > 0 OR (class = 'FCBK' AND {not config.TECHNOLOGY.verified}) AS any_unverified FROM served""")
 def any_unverified(t: Tables) -> DataFrame:
-    table = config.rules_table(t.spark).selectExpr("NOT bool_and(verified) AS any_unverified", "count(1) AS rules")
-    flagged = t.served().filter("class = 'FCBK'").agg(F.expr("count(1) AS n")).scalar()
-    return table.withColumn("flagged", flagged)
+    """Whether a rule that fired for the site, or its technology, is not verified."""
+    return t.served().select("kiln_id", rules.any_unverified().alias("any_unverified"))
 
 
 _JSON = "CASE kiln_id % 4 WHEN 0 THEN to_json(breached_rules) WHEN 1 THEN array_join(breached_rules, ', ') WHEN 2 THEN ' ' END"
@@ -186,9 +188,18 @@ def payload(t: Tables) -> DataFrame:
     return S.payload_rows(t.served())[0]
 
 
-simple("api_projection", ["cast(kiln_id AS string) AS id", "coalesce(class, class_name, 'Not recorded') AS class", "coalesce(priority, 0D) AS screening_priority", "cast(priority_rank AS bigint) AS priority_rank",
-                          "CASE WHEN priority_rank IS NULL THEN 'Unknown' WHEN priority_rank <= 34 THEN 'High' WHEN priority_rank <= 67 THEN 'Medium' ELSE 'Low' END AS priority_band", "size(breached_rules) AS signal_count"],
-       "SELECT kiln_id::VARCHAR AS id, coalesce(class, class_name, 'Not recorded') AS class, coalesce(priority, 0) AS screening_priority, priority_rank, CASE WHEN priority_rank IS NULL THEN 'Unknown' WHEN priority_rank <= 34 THEN 'High' WHEN priority_rank <= 67 THEN 'Medium' ELSE 'Low' END AS priority_band, len(breached_rules) AS signal_count FROM served")
+@query("api_projection", """SELECT kiln_id::VARCHAR AS id, coalesce(class, class_name, 'Not recorded') AS class, coalesce(priority, 0) AS screening_priority, priority_rank,
+CASE WHEN priority_rank IS NULL THEN 'Unknown' WHEN priority_rank <= greatest(1, ceil(n / 3.0)) THEN 'High' WHEN priority_rank <= greatest(1, ceil(n / 3.0), ceil(n * 2.0 / 3.0)) THEN 'Medium' ELSE 'Low' END AS priority_band,
+len(breached_rules) AS signal_count FROM served, (SELECT count(*) AS n FROM served)""")
+def api_projection(t: Tables) -> DataFrame:
+    total = t.served().agg(F.count(F.lit(1)).alias("n")).scalar()
+    return t.served().withColumn("_total", total).select(
+        F.col("kiln_id").cast("string").alias("id"), F.coalesce("class", "class_name", F.lit("Not recorded")).alias("class"),
+        F.coalesce("priority", F.lit(0.0)).alias("screening_priority"), F.col("priority_rank").cast("bigint").alias("priority_rank"),
+        ranking.band_from_rank(F.col("priority_rank"), F.col("_total")).alias("priority_band"), F.size("breached_rules").alias("signal_count"),
+    )
+
+
 simple("result_table", ["kiln_id", "coalesce(cast(cast(rint(dist_schools_m) AS bigint) AS string), 'no data') AS distance", f"{S.area_label()} AS area", f"{S.site_class()} AS kind"],
        "SELECT kiln_id, coalesce(round_even(dist_schools_m, 0)::BIGINT::VARCHAR, 'no data') AS distance, concat_ws(', ', nullif(trim(upazila), ''), district) AS area, coalesce(class_name, class) AS kind FROM served")
 aggregate("band_summary", S.band_counts(), "SELECT count(*) AS total, count(*) FILTER (priority_band = 'High') AS high, count(*) FILTER (priority_band = 'Medium') AS medium, count(*) FILTER (priority_band = 'Low') AS low, count(*) FILTER (detection_status = 'New candidate (2025-26)') AS new FROM served")

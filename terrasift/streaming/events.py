@@ -147,7 +147,9 @@ def run_intake(stream: DataFrame, extent: Sequence[float], good: str, bad: str,
     timed = stream.withColumn("created_at", F.col("created_at").cast("timestamp"))
 
     def split(batch: DataFrame, batch_id: int) -> None:
-        spark, fresh = batch.sparkSession, batch.dropDuplicates(["id"])
+        # Reports without an id are reports of their own.
+        unnamed = batch.filter("id IS NULL")
+        spark, fresh = batch.sparkSession, batch.filter("id IS NOT NULL").dropDuplicates(["id"])
         ids = f"id {dict(batch.dtypes)['id']}, batch int"
         for path in (good, bad):
             try:
@@ -157,7 +159,7 @@ def run_intake(stream: DataFrame, extent: Sequence[float], good: str, bad: str,
                     raise
                 continue
             fresh = fresh.join(before.select("id"), "id", "left_anti")
-        routed = route_reports(fresh, extent).withColumn("batch", F.lit(batch_id))
+        routed = route_reports(fresh.unionByName(unnamed), extent).withColumn("batch", F.lit(batch_id))
         # Overwriting the batch's own partition makes a replay harmless.
         for where, path in (("result = 'accepted'", good), ("result <> 'accepted'", bad)):
             routed.filter(where).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
