@@ -87,10 +87,11 @@ def index(docs: DataFrame, places: DataFrame, depth: int) -> DataFrame:
     # Ids before no id, then the smallest; bytes are compared by the grouping itself.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("least")
     equal = owned(texts, places, depth).groupBy("bucket", "key", "_norm").agg(least, F.count(F.lit(1)).alias("group_size"))
-    entry = equal.select(
+    # Written without the texts, so that the sampling of the ranges does not read them again.
+    entry = stage(equal.select(
         "bucket", "key", F.sha2("_norm", 256).alias("text_sha256"), F.col("least.doc_id").alias("keep_id"),
         F.col("least.mark").alias("keep_mark"), "group_size",
-    ).repartitionByRange("bucket", "key")
+    ), "dedup-owned").repartitionByRange("bucket", "key")
     chain = F.row_number().over(Window.partitionBy("bucket", "key").orderBy(F.col("keep_id").asc_nulls_last(), "text_sha256"))
     return stage(entry.withColumn("chain", chain).sortWithinPartitions("bucket", "key", "chain"), "dedup-index")
 
