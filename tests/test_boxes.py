@@ -214,3 +214,20 @@ def test_a_long_chain_is_matched_in_few_rounds(spark, monkeypatch):
     assert whole == {(i, i) for i in range(600)}
     monkeypatch.setattr(boxes, "PASS", 50)
     assert {(r.pred, r.truth) for r in boxes.match_greedy(a, b, 0.3).collect()} == whole
+
+
+def test_polygons_of_all_sizes_count(spark):
+    rng = np.random.default_rng(3)
+    sides = [0.5, 7.0, 60.0, 900.0, 30_000.0]
+    rings, sites = [], [(i, *map(float, rng.uniform(-2000, 2000, 2))) for i in range(20)]
+    for k in range(60):
+        (x, y), s = rng.uniform(-2500, 2500, 2), sides[k % 5]
+        rings.append(([(float(x), float(y)), (float(x + s), float(y)), (float(x + s), float(y + s)), (float(x), float(y + s))],))
+    polys = spark.createDataFrame(rings, "ring array<struct<x double, y double>>")
+    got = {r.id: r.a for r in radius_area(spark.createDataFrame(sites, "id int, x double, y double"), polys, "id", 800.0, "a").collect()}
+    angle = 2 * np.pi * np.arange(64) / 64
+    for i, x, y in sites:
+        disc = np.stack([x + 800 * np.cos(angle), y + 800 * np.sin(angle)], axis=1)[None]
+        want = sum(convex_overlap(np.array(r[0])[None], disc)[0] for r in rings) / 1e6
+        assert got[i] == pytest.approx(want, rel=1e-9, abs=1e-12)
+    assert radius_area(spark.createDataFrame(sites, "id int, x double, y double"), polys.limit(0), "id", 800.0, "a").filter("a = 0").count() == 20
