@@ -35,4 +35,4 @@ def fold_alphanumeric(column: str | Column) -> Column:
 
 def tokens(column: str) -> str:
     """Distinct lower-case words of two letters or more, as an SQL expression."""
-    return f"array_distinct(filter(regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}_]+', 0), w -> length(w) > 1))"
+    return f"array_distinct(filter(regexp_extract_all(lower({column}), r'[\\p{{L}}\\p{{N}}_]+', 0), w -> length(w) > 1))"
