@@ -117,9 +117,14 @@ def levels(index: DataFrame) -> list[int]:
 
 
 def containing(
-    points: DataFrame, index: DataFrame, key: str, keep: Sequence[str], x: str = "lon", y: str = "lat", on: Sequence[str] = ()
+    points: DataFrame, index: DataFrame, key: str, keep: Sequence[str], x: str = "lon", y: str = "lat", on: Sequence[str] = (),
+    strict: bool = True,
 ) -> DataFrame:
-    """``key, _hit``: the smallest ``keep`` record among the polygons strictly around the point."""
+    """``key, _hit``: the smallest ``keep`` record among the polygons strictly around the point.
+
+    Without ``strict`` a point on an edge goes by the even-odd count of the edges to its right in
+    its row, so that of two polygons with a common edge one holds it.
+    """
     used = levels(index)
     if not used:
         return points.limit(0).selectExpr(key, *[f"CAST(NULL AS {t}) AS {c}" for c, t in index.select(*keep).dtypes]).selectExpr(key, f"struct({', '.join(keep)}) AS _hit")
@@ -130,26 +135,28 @@ def containing(
     # Extra columns of the index do not meet those of the points.
     cells_ = index.selectExpr(*dict.fromkeys([*on, "_level", "_cx", "_cy"]), "_inside", "_edges", f"struct({', '.join(keep)}) AS _rec")
     s = _side()
-    count = f"aggregate(_edges, 0, (n, e) -> n + {crossings(f'(_cx * {s})', f'(_cy * {s})', '_px', '_py', 'e')})"
+    # Along the point's own row, so that an edge is left or right of it as in a count over all edges.
+    count = f"aggregate(_edges, 0, (n, e) -> n + {crossings('_px', '_py', f'(_cx * {s})', f'(_cy * {s})', 'e')})"
     on_edge = (
         "exists(_edges, e -> (e.x2 - e.x1) * (_py - e.y1) - (e.y2 - e.y1) * (_px - e.x1) = 0 AND "
         "_px BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) AND _py BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2))"
     )
     return (
         keyed.join(cells_, [*on, "_level", "_cx", "_cy"])
-        .filter(f"(_inside <> ({count} % 2 = 1)) AND NOT {on_edge}")
+        .filter(f"(_inside <> ({count} % 2 = 1))" + (f" AND NOT {on_edge}" if strict else ""))
         .groupBy(key).agg(F.min("_rec").alias("_hit"))
     )
 
 
 def point_in_polygon(
-    points: DataFrame, polygons: DataFrame, key: str, keep: Sequence[str], x: str = "lon", y: str = "lat", how: str = "left", most: int = MOST
+    points: DataFrame, polygons: DataFrame, key: str, keep: Sequence[str], x: str = "lon", y: str = "lat", how: str = "left", most: int = MOST,
+    strict: bool = True,
 ) -> DataFrame:
     """Attach the containing polygon's ``keep`` columns; the smallest wins on overlap.
 
     ``how='left_semi'`` keeps only contained points, adding no columns.
     """
-    hits = containing(points, cells(polygons, keep, most), key, keep, x, y)
+    hits = containing(points, cells(polygons, keep, most), key, keep, x, y, strict=strict)
     if how != "left":
         return points.join(hits.select(key), key, how)
     return points.join(hits, key, "left").selectExpr("*", *[f"_hit.{c} AS {c}" for c in keep]).drop("_hit")

@@ -81,3 +81,15 @@ def test_lines_are_cut_at_the_border(spark, most):
             assert sum(got.get((i, name), [0.0])) == pytest.approx(total, abs=5e-3), (i, name)
     # A line that stays inside comes back whole, in one piece.
     assert got[27, "square"] == [pytest.approx(2.0)]
+
+
+def test_points_on_an_edge_go_by_the_even_odd_count(spark):
+    border = [(89.55, 23.05), (90.1, 23.1), (90.0, 23.65), (89.6, 23.6)]
+    area = frame(spark, {"pilot": [np.array(border)]})
+    df = spark.createDataFrame([(1, 89.64512, 23.60564), (2, 89.64512, 23.60565), (3, 89.7, 23.3)], "id int, lon double, lat double")
+    got = polygons.point_in_polygon(df, area, "id", ["name"], how="left_semi", strict=False)
+    assert {r.id for r in got.collect()} == {1, 3}
+    halves = frame(spark, {"left": [np.array([[0, 0], [1, 0], [1, 2], [0, 2]])], "right": [np.array([[1, 0], [2, 0], [2, 2], [1, 2]])]})
+    shared = spark.createDataFrame([(0, 1.0, 0.5), (1, 1.0, 1.5), (2, 0.0, 0.0), (3, 2.0, 1.0)], "id int, lon double, lat double")
+    got = polygons.point_in_polygon(shared, halves, "id", ["name"], strict=False).collect()
+    assert {r.id: r.name for r in got} == {0: "right", 1: "right", 2: "left", 3: None}
