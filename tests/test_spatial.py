@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrasift.functions import geo
+from terrasift.functions import geo, overlap
 from terrasift.operators import polygons, spatial
 
 
@@ -123,3 +123,29 @@ def test_centroid_and_area(spark):
     cx, cy = geo.ring_centroid(F.col("ring"))
     row = df.select(cx.alias("cx"), cy.alias("cy"), geo.ring_area(F.col("ring")).alias("a")).first()
     assert (row.cx, row.cy, row.a) == (2.0, 1.0, 8.0)
+
+
+def test_searching_rows_are_not_broadcast(spark):
+    """Exploded rows and collected lists are larger than their estimate: none goes through the driver."""
+    rng = np.random.default_rng(3)
+    pts = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 100, (400, 2)))], "id int, x double, y double")
+    counted = spatial.radius_count(pts, pts.select("x", "y"), "id", 5.0, leaf=4)
+    near = spatial.nearest(pts, pts.selectExpr("id AS other", "x", "y"), "id", ["other"], reach=5.0, leaf=4)
+    for df in (counted, near):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.id: r.n for r in counted.collect()}
+    xy = np.array([(r.x, r.y) for r in pts.orderBy("id").collect()])
+    assert got == {i: int((np.hypot(*(xy - p).T) <= 5.0).sum()) for i, p in enumerate(xy)}
+
+
+def test_circle_share_of_edges_equals_clipped_polygons():
+    rng = np.random.default_rng(5)
+    angle = -2 * np.pi * np.arange(overlap.CIRCLE_SIDES) / overlap.CIRCLE_SIDES
+    disc = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    turn = np.sort(rng.uniform(0, 2 * np.pi, (500, 5)), axis=1)
+    poly = rng.uniform(-1.5, 1.5, (500, 1, 2)) + rng.uniform(0.05, 2, (500, 1, 1)) * np.stack([np.cos(turn), np.sin(turn)], axis=2)
+    share = overlap._disc_share(poly.reshape(-1, 2), np.roll(poly, -1, axis=1).reshape(-1, 2)).reshape(500, 5).sum(axis=1)
+    assert np.abs(share - overlap.convex_overlap(poly, np.repeat(disc[None], 500, axis=0))).max() < 1e-12
+    far = np.array([[[-9.0, -9], [9, -9], [9, 9], [-9, 9]], [[2, 2], [3, 2], [3, 3], [2, 3]], [[0, 0], [0, 0], [0, 0], [0, 0]]])
+    share = overlap._disc_share(far.reshape(-1, 2), np.roll(far, -1, axis=1).reshape(-1, 2)).reshape(3, 4).sum(axis=1)
+    assert np.abs(share - [overlap.CIRCLE_SIDES / 2 * np.sin(2 * np.pi / overlap.CIRCLE_SIDES), 0, 0]).max() < 1e-12
