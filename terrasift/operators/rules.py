@@ -11,6 +11,7 @@ from terrasift import config
 from terrasift.config import Rule, Technology
 from terrasift.operators import polygons as areas
 from terrasift.operators import spatial
+from terrasift.session import cut_lineage
 
 FEATURE_FIELDS = (
     "feature_id", "source_layer_id", "source_authority", "source_url",
@@ -26,24 +27,28 @@ def nearest_by_layer(
 
     ``edges`` is ``layer, scope, x1, y1, x2, y2`` plus the payload (a point is a zero-length
     edge); ``scope`` is the district, or ``*`` for layers searched everywhere. Inside a
-    polygon of ``polygons`` (``layer, scope, rings``) the distance is 0. Groups without
-    features stay null.
+    polygon of ``polygons`` (``layer, scope, rings``) the distance is 0, and the smallest payload
+    of those around the site is taken. Groups without features stay null.
     """
     listed = ", ".join(f"'{n}'" for n in layers)
     everywhere = ", ".join(f"'{n}'" for n in global_layers) or "''"
     asked = sites.selectExpr(key, "district", "x", "y", f"explode(array({listed})) AS layer").selectExpr(
         key, "layer", f"CASE WHEN layer IN ({everywhere}) THEN '*' ELSE district END AS scope", "x", "y"
     )
-    best = spatial.nearest_best(asked, edges, [key, "layer"], payload, ["scope", "layer"], shape="segment")
-    if polygons is not None:
+    if polygons is None:
+        best = spatial.nearest_best(asked, edges, [key, "layer"], payload, ["scope", "layer"], shape="segment")
+    else:
         index = areas.cells(polygons, ["scope", "layer", *payload])
         inside = areas.containing(
             asked.withColumn("_ask", F.expr(f"struct({key}, layer)")), index, "_ask", list(payload), "x", "y", ["scope", "layer"],
         ).selectExpr(f"_ask.{key} AS {key}", "_ask.layer AS layer", "named_struct('d', 0D, 'pay', _hit) AS _best")
-        best = best.unionByName(inside).groupBy(key, "layer").agg(F.expr("min(_best) AS _best"))
+        # Nothing is nearer than 0, so what lies inside has no need of a search among the edges.
+        inside = cut_lineage(inside, "inside")
+        outside = spatial.met(asked, inside.select(key, "layer"), [key, "layer"], "left_anti")
+        best = spatial.nearest_best(outside, edges, [key, "layer"], payload, ["scope", "layer"], shape="segment").unionByName(inside)
     wide = best.groupBy(key).agg(*[F.expr(f"max(_best) FILTER (WHERE layer = '{n}') AS `{n}`") for n in layers])
     out = [e for n in layers for e in (f"`{n}`.d AS dist_{n}_m", f"`{n}`.pay AS dist_{n}_m_feature")]
-    return sites.join(wide, key, "left").selectExpr("*", *out).drop(*layers)
+    return spatial.met(sites, wide, [key], "left").selectExpr("*", *out).drop(*layers)
 
 
 def point_edges(points: DataFrame, scope: str, payload: Sequence[str] = ("feature_id",)) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrasift import config
 from terrasift.functions.stats import wilson
-from terrasift.operators import audit, chips, enrich, ranking, rules, score
+from terrasift.operators import audit, chips, enrich, ranking, rules, score, spatial
 from terrasift.operators import serving
 from terrasift.operators.area import radius_area
 from terrasift.plans import screening
@@ -198,3 +198,26 @@ def test_weighted_ordinal_and_previous(spark):
         assert [m[2] for m in mine] == list(range(1, len(mine) + 1))
     prior = {r.id: r.prev_id for r in ranking.previous_row(df, ["g"], [F.col("v"), F.col("id")], ["id"]).collect()}
     assert sum(p is None for p in prior.values()) == 3
+
+
+def test_sites_inside_polygons_are_not_searched(spark, monkeypatch):
+    def square(x, y, h):
+        return [[(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)]]
+
+    woods = spark.createDataFrame(
+        [("wood", "*", i, square(x, 0.0, 10.0)) for i, x in ((3, 0.0), (2, 5.0), (7, 100.0))],
+        "layer string, scope string, feature_id int, rings array<array<struct<x double, y double>>>",
+    )
+    edges = spatial.polygon_edges(woods, ["layer", "scope", "feature_id"])
+    sites = spark.createDataFrame([(1, "a", 1.0, 1.0), (2, "a", 80.0, 0.0), (3, "a", -9.0, 2.0), (4, "a", None, 0.0)], "id int, district string, x double, y double")
+    asked, search = [], spatial.nearest_best
+
+    def watched(left, *args, **kwargs):
+        asked.extend(r.id for r in left.collect())
+        return search(left, *args, **kwargs)
+
+    monkeypatch.setattr(spatial, "nearest_best", watched)
+    out = rules.nearest_by_layer(sites, edges, "id", ["wood"], polygons=woods, global_layers=["wood"]).collect()
+    got = {r.id: (r.dist_wood_m, r.dist_wood_m_feature and r.dist_wood_m_feature.feature_id) for r in out}
+    assert got == {1: (0.0, 2), 2: (10.0, 7), 3: (0.0, 3), 4: (None, None)}
+    assert sorted(asked) == [2, 4]
