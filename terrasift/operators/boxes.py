@@ -5,6 +5,7 @@ detections, ``conf``. Boxes meet through grids whose cells double in size: a box
 grid of its own size, where it touches at most four cells, and visits the coarser grids that
 are in use. A pair meets on the grid of its larger box, so one giant box does not widen the
 cells of all others, and a crowded scene is spread over cells and never gathered into one group.
+Scenes of at most ``CROWD`` boxes need no grid: their boxes meet by the scene, once each.
 """
 
 from __future__ import annotations
@@ -15,47 +16,66 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrasift.functions.overlap import iou
+from terrasift.functions.overlap import iou, most_iou
 from terrasift.session import cut_lineage
 
 TOP = 8
 #: Candidate pairs of a scene that are matched in one pass without rounds before it.
 PASS = 200_000
+#: Boxes of a scene that meet each other without a grid.
+CROWD = 64
 
 
 def _bounds(df: DataFrame) -> DataFrame:
-    """Bounding box and area; ``_flat`` marks a box that fills its bounding box."""
-    xs, ys = "filter(xy, (v, i) -> i % 2 = 0)", "filter(xy, (v, i) -> i % 2 = 1)"
+    """Bounding box and area; ``_xy`` holds the corners of a box that does not fill its bounding box."""
+    xs, ys = (", ".join(f"xy[{i}]" for i in range(k, 8, 2)) for k in (0, 1))
     twice = " + ".join(
         f"(xy[{2 * i}] * xy[{(2 * i + 3) % 8}] - xy[{(2 * i + 2) % 8}] * xy[{2 * i + 1}])" for i in range(4)
     )
     return df.selectExpr(
-        "*", f"array_min({xs}) AS _x0", f"array_max({xs}) AS _x1", f"array_min({ys}) AS _y0", f"array_max({ys}) AS _y1",
+        "*", f"least({xs}) AS _x0", f"greatest({xs}) AS _x1", f"least({ys}) AS _y0", f"greatest({ys}) AS _y1",
         f"abs({twice}) / 2 AS _area",
     ).selectExpr(
-        "*", "_area = (_x1 - _x0) * (_y1 - _y0) AS _flat",
+        "*", "CASE WHEN _area <> (_x1 - _x0) * (_y1 - _y0) THEN xy END AS _xy",
         # The least power of two that the longer side does not exceed; a point counts as very small.
         "cast(ceil(log2(greatest(_x1 - _x0, _y1 - _y0, 1e-9D))) AS int) AS _own",
     )
 
 
-BOX = ("xy", "_x0", "_x1", "_y0", "_y1", "_area", "_flat", "_own")
+BOX = ("_xy", "_x0", "_x1", "_y0", "_y1", "_area")
 
 
-def _with_iou(pairs: DataFrame, a: str, b: str, keep: list[str], floor: str) -> DataFrame:
+def _bound(a: str, b: str) -> str:
+    """IoU of the bounding boxes: not below the real one, and equal to it when both boxes fill theirs."""
+    shared = (
+        f"greatest(0D, least({a}_x1, {b}_x1) - greatest({a}_x0, {b}_x0)) * "
+        f"greatest(0D, least({a}_y1, {b}_y1) - greatest({a}_y0, {b}_y0))"
+    )
+    most = f"least({shared}, {a}_area, {b}_area)"
+    return f"coalesce(try_divide({most}, {a}_area + {b}_area - {most}), 0D)"
+
+
+def _corners(a: str) -> str:
+    return f"coalesce({a}_xy, array({a}_x0, {a}_y0, {a}_x1, {a}_y0, {a}_x1, {a}_y1, {a}_x0, {a}_y1))"
+
+
+def _upright(*frames: DataFrame) -> bool:
+    """Whether all boxes fill their bounding boxes, so that no pair needs to be clipped."""
+    return _union([df.select("_xy") for df in frames]).filter("_xy IS NOT NULL").isEmpty()
+
+
+def _with_iou(pairs: DataFrame, a: str, b: str, keep: list[str], floor: str, upright: bool = False) -> DataFrame:
     """``keep`` and ``iou`` for the pairs that pass ``floor``, a test on ``iou``.
 
-    The bounding boxes' overlap bounds the real one from above, and is exact when both
-    boxes fill theirs; only turned boxes that pass the bound are clipped in Python.
+    Only turned boxes that pass the bound are clipped in Python.
     """
-    shared = (
-        f"greatest(0D, least({a}._x1, {b}._x1) - greatest({a}._x0, {b}._x0)) * "
-        f"greatest(0D, least({a}._y1, {b}._y1) - greatest({a}._y0, {b}._y0))"
-    )
-    most = f"least({shared}, {a}._area, {b}._area)"
-    bound = f"coalesce(try_divide({most}, {a}._area + {b}._area - {most}), 0D)"
+    a, b = f"{a}.", f"{b}."
+    if upright:
+        return pairs.selectExpr(*keep, f"{_bound(a, b)} AS iou").filter(floor)
     slim = pairs.selectExpr(
-        *keep, f"{bound} AS iou", f"{a}._flat AND {b}._flat AS _exact", f"{a}.xy AS _pa", f"{b}.xy AS _pb"
+        *keep, f"{_bound(a, b)} AS iou", f"{a}_xy IS NULL AND {b}_xy IS NULL AS _exact",
+        f"CASE WHEN {a}_xy IS NOT NULL OR {b}_xy IS NOT NULL THEN {_corners(a)} END AS _pa",
+        f"CASE WHEN {a}_xy IS NOT NULL OR {b}_xy IS NOT NULL THEN {_corners(b)} END AS _pb",
     )
     names = [k.split(" AS ")[-1].split(".")[-1] for k in keep]
     flat = slim.filter("_exact").filter(floor).select(*names, "iou")
@@ -63,6 +83,13 @@ def _with_iou(pairs: DataFrame, a: str, b: str, keep: list[str], floor: str) ->
     return flat.unionByName(turned.filter(floor).select(*names, "iou"))
 
 
+def _crowded(*frames: DataFrame) -> DataFrame | None:
+    """Scenes of more than ``CROWD`` boxes, or none: those of all others are paired as they are."""
+    scenes = _union([df.select("scene") for df in frames]).filter("scene IS NOT NULL")
+    found = cut_lineage(scenes.groupBy("scene").count().filter(F.col("count") > CROWD).select("scene"), "crowded")
+    return None if found.isEmpty() else found
+
+
 def levels(*frames: DataFrame) -> list[int]:
     """The box sizes in use, as powers of two: at most as many as a double has exponents."""
     found: set[int] = set()
@@ -92,16 +119,17 @@ def on_coarser(df: DataFrame, used: list[int]) -> DataFrame:
     return _cells(df, F.explode(coarser)) if len(used) > 1 else _cells(df.limit(0), F.col("_own"))
 
 
+def _overlap(a: str, b: str) -> Column:
+    """Their bounding boxes overlap."""
+    return F.expr(f"{a}._x0 < {b}._x1 AND {b}._x0 < {a}._x1 AND {a}._y0 < {b}._y1 AND {b}._y0 < {a}._y1")
+
+
 def _touch(a: str, b: str) -> Column:
     """Their bounding boxes overlap, and the overlap starts in this cell: a pair may share several."""
     size = F.pow(F.lit(2.0), F.col("_level"))
     x = F.greatest(F.col(f"{a}._x0"), F.col(f"{b}._x0"))
     y = F.greatest(F.col(f"{a}._y0"), F.col(f"{b}._y0"))
-    return (
-        (F.col(f"{a}._x0") < F.col(f"{b}._x1")) & (F.col(f"{b}._x0") < F.col(f"{a}._x1"))
-        & (F.col(f"{a}._y0") < F.col(f"{b}._y1")) & (F.col(f"{b}._y0") < F.col(f"{a}._y1"))
-        & (F.floor(x / size) == F.col("_cx")) & (F.floor(y / size) == F.col("_cy"))
-    )
+    return _overlap(a, b) & (F.floor(x / size) == F.col("_cx")) & (F.floor(y / size) == F.col("_cy"))
 
 
 def meetings(left: DataFrame, right: DataFrame, a: str, b: str, keys: list[str], used: list[int], names: tuple[list[str], list[str]]) -> list[DataFrame]:
@@ -129,12 +157,44 @@ def suppress(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Keep a box iff no box ahead of it in its scene overlaps above ``threshold``.
 
     "Ahead" is higher confidence, then smaller id; a box that is itself suppressed still
-    suppresses others. Identical boxes are reduced to the one ahead of all its copies,
-    which neither saves nor dooms any other box. Victims of the ``TOP`` leading boxes of
-    their cell are settled first, so a pile of near copies is not compared pair by pair.
+    suppresses others. The boxes of a scene see each other in one window, after one shuffle;
+    those of crowded scenes meet on grids. A box without a scene has no rivals.
+    """
+    boxes = df.filter("scene IS NOT NULL")
+    crowded = _crowded(df)
+    if crowded is None:
+        return _unrivalled(boxes, threshold).unionByName(df.filter("scene IS NULL"))
+    few, many = (boxes.join(crowded, "scene", how).select(*df.columns) for how in ("left_anti", "left_semi"))
+    return _union([_unrivalled(few, threshold), _suppressed_by_cells(many, threshold), df.filter("scene IS NULL")])
+
+
+def _unrivalled(df: DataFrame, threshold: float) -> DataFrame:
+    """Suppression in scenes of at most ``CROWD`` boxes."""
+    rows = _bounds(df).withColumn("_rank", F.struct((-F.col("conf")).alias("c"), F.col("box_id").alias("i")))
+    box = F.struct("_rank", *BOX)
+    rivals = (
+        "filter(_all, o -> o._rank < _rank AND o._x0 < _x1 AND _x0 < o._x1 AND o._y0 < _y1 AND _y0 < o._y1 "
+        f"AND {_bound('', 'o.')} * (1 + 1e-9D) > {threshold!r}D)"
+    )
+    seen = rows.withColumn("_all", F.collect_list(box).over(Window.partitionBy("scene"))).withColumn("_all", F.expr(rivals))
+    # Two boxes that fill their bounding boxes overlap by just the bound.
+    sure = seen.filter(f"NOT exists(_all, o -> _xy IS NULL AND o._xy IS NULL AND {_bound('', 'o.')} > {threshold!r}D)")
+    doubt = "filter(_all, o -> _xy IS NOT NULL OR o._xy IS NOT NULL)"
+    asked = sure.withColumn("_all", F.expr(f"transform({doubt}, o -> {_corners('o.')})")).withColumn("_own", F.expr(_corners("")))
+    clear = asked.filter("size(_all) = 0")
+    turned = asked.filter("size(_all) > 0").withColumn("_most", most_iou("_own", "_all")).filter(f"_most <= {threshold!r}D")
+    return clear.select(*df.columns).unionByName(turned.select(*df.columns))
+
+
+def _suppressed_by_cells(df: DataFrame, threshold: float) -> DataFrame:
+    """Suppression in crowded scenes.
+
+    Identical boxes are reduced to the one ahead of all its copies, which neither saves nor dooms
+    any other box. Victims of the ``TOP`` leading boxes of their cell are settled first, so a pile
+    of near copies is not compared pair by pair.
     """
     rank = F.struct((-F.col("conf")).alias("c"), F.col("box_id").alias("i"))
-    solo = cut_lineage(_bounds(df).groupBy("scene", *BOX).agg(F.min(rank).alias("rank")), "solo")
+    solo = cut_lineage(_bounds(df).groupBy("scene", *BOX, "_own").agg(F.min(rank).alias("rank")), "solo")
     used = levels(solo)
 
     def doomed(victims: DataFrame, suppressors: DataFrame) -> DataFrame:
@@ -146,7 +206,7 @@ def suppress(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
         return rows.join(gone, (rows["scene"].eqNullSafe(gone["scene"])) & (rows["rank"]["i"] == gone["_i"]), "left_anti")
 
-    leaders = cut_lineage(_leading(at_home(solo)).select("scene", *BOX, "rank").distinct(), "leaders")
+    leaders = cut_lineage(_leading(at_home(solo)).select("scene", *BOX, "_own", "rank").distinct(), "leaders")
     alive = cut_lineage(without(solo, doomed(solo, leaders)), "alive")
     kept = without(alive, doomed(alive, solo)).select("scene", F.col("rank.i").alias("box_id"))
     return df.join(kept, ["scene", "box_id"], "left_semi").select(*df.columns)
@@ -169,22 +229,36 @@ def _leading(boxes: DataFrame) -> DataFrame:
 
 def candidate_pairs(preds: DataFrame, truths: DataFrame, floor: float, same_class: bool = True, rank: str = "-conf") -> DataFrame:
     """Prediction / truth pairs of a scene with IoU of at least ``floor`` (> 0), and the prediction's ``rank``."""
+    return _pairs(preds, truths, floor, same_class, rank, _crowded(preds, truths))
+
+
+def _pairs(preds: DataFrame, truths: DataFrame, floor: float, same_class: bool, rank: str, crowded: DataFrame | None) -> DataFrame:
     keys = ["scene"] + (["class_id"] if same_class else [])
-    left = cut_lineage(_bounds(preds).selectExpr(*keys, "box_id AS pred", f"{rank} AS rank", *BOX), "preds")
-    right = cut_lineage(_bounds(truths).selectExpr(*keys, "box_id AS truth", *BOX), "truths")
-    found = meetings(left, right, "p", "t", keys, levels(left, right), (["pred", "rank"], ["truth"]))
-    return _union([_with_iou(pairs, "p", "t", ["scene", "pred", "rank", "truth"], f"iou >= {float(floor)!r}D") for pairs in found])
+    left = _bounds(preds).selectExpr(*keys, "box_id AS pred", f"{rank} AS rank", *BOX, "_own")
+    right = _bounds(truths).selectExpr(*keys, "box_id AS truth", *BOX, "_own")
+    few, found, upright = (left, right), [], _upright(left, right)
+    if crowded is not None:
+        few = [side.join(crowded, "scene", "left_anti") for side in (left, right)]
+        many = [cut_lineage(side.join(crowded, "scene", "left_semi"), name) for side, name in ((left, "preds"), (right, "truths"))]
+        found = meetings(*many, "p", "t", keys, levels(*many), (["pred", "rank"], ["truth"]))
+    found.append(few[0].alias("p").join(few[1].alias("t"), keys).filter(_overlap("p", "t")))
+    return _union([_with_iou(pairs, "p", "t", ["scene", "pred", "rank", "truth"], f"iou >= {float(floor)!r}D", upright) for pairs in found])
 
 
 def match_greedy(preds: DataFrame, truths: DataFrame, threshold: float = 0.5, rank: str = "-conf") -> DataFrame:
     """One-to-one matching: predictions choose in the order of ``rank`` and id their best free truth.
 
     Returns ``scene, pred, truth, iou``. The pairs of a scene pass one task once, in order, with
-    the truths taken so far as the only state. Scenes of more than ``PASS`` pairs go through
-    rounds before, in which every prediction settles that no undecided one ahead of it could
-    disturb; rounds end as soon as they no longer take a tenth of the pairs away.
+    the truths taken so far as the only state. Scenes of more than ``PASS`` pairs, which only
+    crowded ones have, go through rounds before, in which every prediction settles that no
+    undecided one ahead of it could disturb; rounds end as soon as they no longer take a tenth of
+    the pairs away.
     """
-    edges = cut_lineage(candidate_pairs(preds, truths, threshold, rank=rank), "edges")
+    crowded = _crowded(preds, truths)
+    edges = _pairs(preds, truths, threshold, True, rank, crowded)
+    if crowded is None:
+        return _in_order(edges)
+    edges = cut_lineage(edges, "edges")
     settled, before = [], None
     while True:
         counts = edges.groupBy("scene").count()

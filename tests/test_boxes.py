@@ -231,3 +231,33 @@ def test_polygons_of_all_sizes_count(spark):
         want = sum(convex_overlap(np.array(r[0])[None], disc)[0] for r in rings) / 1e6
         assert got[i] == pytest.approx(want, rel=1e-9, abs=1e-12)
     assert radius_area(spark.createDataFrame(sites, "id int, x double, y double"), polys.limit(0), "id", 800.0, "a").filter("a = 0").count() == 20
+
+
+def _quads(seed, scenes, each):
+    """Turned and upright boxes, few to a scene, some without one."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(scenes * each):
+        angle = rng.uniform(0, np.pi / 2) if i % 3 else 0.0
+        turn = np.array([[np.cos(angle), -np.sin(angle)], [np.sin(angle), np.cos(angle)]])
+        corners = np.array([[-3, -2], [3, -2], [3, 2], [-3, 2]]) @ turn.T + rng.integers(0, 4, 2)
+        rows.append((i % scenes if i % 7 else None, i, [float(v) for v in corners.ravel()], float(rng.integers(0, 6)), i % 2))
+    return rows
+
+
+def test_few_boxes_of_a_scene_meet_without_a_grid(spark, monkeypatch):
+    def grid(*_):
+        raise AssertionError("a grid for scenes of few boxes")
+
+    monkeypatch.setattr(boxes, "at_home", grid)
+    rows = _quads(5, 12, 9)
+    df = spark.createDataFrame(rows, SCHEMA)
+
+    def over(a, b):
+        return quad_iou(*(np.array(v[2]).reshape(1, 4, 2) for v in (a, b)))[0]
+
+    got = sorted((r.box_id, r.scene) for r in boxes.suppress(df, 0.3).collect())
+    assert got == sorted((a[1], a[0]) for a in rows if not any(
+        a[0] is not None and a[0] == b[0] and (-b[3], b[1]) < (-a[3], a[1]) and over(a, b) > 0.3 for b in rows))
+    pairs = {(r.pred, r.truth) for r in boxes.candidate_pairs(df, df, 0.3).collect()}
+    assert pairs == {(a[1], b[1]) for a in rows for b in rows if a[0] is not None and a[0] == b[0] and a[4] == b[4] and over(a, b) >= 0.3}
