@@ -166,6 +166,24 @@ def ring_centroid(ring: Column) -> tuple[Column, Column]:
     )
 
 
+def _quad_edges(xy: str) -> list[tuple[str, str, str, str]]:
+    return [tuple(f"{xy}[{(2 * i + k) % 8}]" for k in range(4)) for i in range(4)]
+
+
+def quad_area(xy: str) -> Column:
+    """``ring_area`` of a column of four corners ``x, y, x, y, ...``, without a loop over a list."""
+    return F.expr("abs(" + " + ".join(f"({a} * {d} - {c} * {b})" for a, b, c, d in _quad_edges(xy)) + ") / 2D")
+
+
+def quad_centroid(xy: str) -> tuple[Column, Column]:
+    """``ring_centroid`` of a column of four corners, without a loop over a list."""
+    edges = [(f"({a} - {xy}[0])", f"({b} - {xy}[1])", f"({c} - {xy}[0])", f"({d} - {xy}[1])") for a, b, c, d in _quad_edges(xy)]
+    cross = [f"({a} * {d} - {c} * {b})" for a, b, c, d in edges]
+    twice = f"({' + '.join(cross)})"
+    x, y = (" + ".join(f"({e[k]} + {e[k + 2]}) * {w}" for e, w in zip(edges, cross)) for k in (0, 1))
+    return tuple(F.expr(f"{xy}[{k}] + try_divide({top}, 3D * {twice})") for k, top in enumerate((x, y)))
+
+
 def ring_bounds(ring: Column) -> tuple[Column, Column, Column, Column]:
     """``west, south, east, north`` of a ring."""
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])

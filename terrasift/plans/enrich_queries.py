@@ -198,9 +198,8 @@ def windows(t: Tables) -> DataFrame:
 
 @query("box_centroids_and_areas", "SELECT scene, box_id, left_x + 3 AS cx, low_y + 3 AS cy, 36.0::DOUBLE AS area FROM detections")
 def centroids(t: Tables) -> DataFrame:
-    df = t.detections().withColumn("ring", F.expr("transform(sequence(0, 3), i -> named_struct('x', xy[2 * i], 'y', xy[2 * i + 1]))"))
-    cx, cy = geo.ring_centroid(F.col("ring"))
-    return df.select("scene", "box_id", cx.alias("cx"), cy.alias("cy"), geo.ring_area(F.col("ring")).alias("area"))
+    cx, cy = geo.quad_centroid("xy")
+    return t.detections().select("scene", "box_id", cx.alias("cx"), cy.alias("cy"), geo.quad_area("xy").alias("area"))
 
 
 @query("chip_box_centre", "SELECT scene, box_id, (4 * left_x + 12) / 4 AS cx, (4 * low_y + 12) / 4 AS cy FROM detections")
@@ -336,9 +335,8 @@ def iou_pairs(t: Tables) -> DataFrame:
 
 @query("detections_as_points", "SELECT box_id, scene, CASE class_id WHEN 0 THEN 'FCBK' ELSE 'Zigzag' END AS class_name, conf AS confidence, left_x + 3 AS lon, low_y + 3 AS lat FROM detections")
 def as_points(t: Tables) -> DataFrame:
-    df = t.detections().withColumn("ring", F.expr("transform(sequence(0, 3), i -> named_struct('x', xy[2 * i], 'y', xy[2 * i + 1]))"))
-    lon, lat = geo.ring_centroid(F.col("ring"))
-    return df.select("box_id", "scene", F.expr("CASE class_id WHEN 0 THEN 'FCBK' ELSE 'Zigzag' END AS class_name"), F.col("conf").alias("confidence"), lon.alias("lon"), lat.alias("lat"))
+    lon, lat = geo.quad_centroid("xy")
+    return t.detections().select("box_id", "scene", F.expr("CASE class_id WHEN 0 THEN 'FCBK' ELSE 'Zigzag' END AS class_name"), F.col("conf").alias("confidence"), lon.alias("lon"), lat.alias("lat"))
 
 
 # ---- Imagery ------------------------------------------------------------------------
