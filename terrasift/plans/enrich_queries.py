@@ -14,7 +14,7 @@ from terrasift.plans.screening import m_sql
 from terrasift.plans.serving_queries import simple
 from terrasift.plans.tables import Tables
 from terrasift.session import cut_lineage, scratch_dir
-from terrasift.sources import geojson
+from terrasift.sources import fingerprint, geojson
 
 _D = "sqrt((s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y))"
 
@@ -464,8 +464,5 @@ def metric_csv(t: Tables) -> DataFrame:
 
 
 @query("dataset_fingerprint")
-def fingerprint(t: Tables) -> DataFrame:
-    files = t.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(t.dir)
-    each = files.selectExpr("element_at(split(path, '/'), -1) AS name", "sha2(content, 256) AS h").selectExpr("name", "h", "substr(sha2(name, 256), 1, 2) AS shard")
-    shards = each.groupBy("shard").agg(F.expr("sha2(array_join(transform(array_sort(collect_list(struct(name, h))), e -> concat(e.name, e.h)), '|'), 256) AS h"))
-    return shards.agg(F.expr("sha2(array_join(transform(array_sort(collect_list(struct(shard, h))), e -> e.h), '|'), 256) AS fingerprint"))
+def fingerprint_of_files(t: Tables) -> DataFrame:
+    return fingerprint.dataset_fingerprint(fingerprint.file_digests(t.spark, t.dir, "*.parquet"))
