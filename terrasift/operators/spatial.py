@@ -1,10 +1,11 @@
 """Spatial joins: nearest, within a radius, counts, point in polygon.
 
 The searched side is summarised as a hierarchy of grid cells, each holding the tight box of
-its features, down to leaves of at most ``LEAF`` distinct features. A searching row walks
-down the hierarchy: every level is an equi-join to one row per cell, followed by pruning on
-box distances, so a cell (or copies at one spot) holding a third of the features is never
-paired row by row with the searching side. All results are exact.
+its features, down to leaves of at most ``LEAF`` distinct features. The searching side
+walks down the hierarchy: every level is an equi-join to one row per cell, followed by pruning
+on box distances, so a cell (or copies at one spot) holding a third of the features is never
+paired row by row with the searching side. For the nearest feature the searching rows of a
+finest cell walk as one box, and rows only meet the leaves found for it. All results are exact.
 
 How deep the hierarchy goes is read off the data (one small aggregate per level); small
 tables need no levels and become a single join to one row per group.
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from terrasift.session import cut_lineage
 
 LEAF = 32
-FAN = 4  # a cell splits into FAN x FAN children
+BITS = 2
+FAN = 1 << BITS  # a cell splits into FAN x FAN children
 MIN_CELL = 1e-6
 SLACK = 1 + 1e-12  # pruning bounds are widened by rounding error, never the results
 
@@ -31,20 +33,25 @@ METRICS = {
 _NORMS = {"euclidean": "hypot({}, {})", "chebyshev": "greatest({}, {})"}
 
 
-def box_low(b: str, metric: str = "euclidean") -> str:
-    """Smallest distance from ``(_px, _py)`` to a box."""
-    return _NORMS[metric].format(
-        f"greatest(0D, {b}.x0 - _px, _px - {b}.x1)", f"greatest(0D, {b}.y0 - _py, _py - {b}.y1)"
-    )
+#: Corners of what searches: a row, or the box around the rows of a cell.
+ROW = ("_px", "_py", "_px", "_py")
+BOX = ("_wx0", "_wy0", "_wx1", "_wy1")
 
 
-def box_high(b: str, metric: str = "euclidean") -> str:
-    """Largest distance from ``(_px, _py)`` to a box: some feature is at most this far."""
+def box_low(b: str, metric: str = "euclidean", of: Sequence[str] = ROW) -> str:
+    """Smallest distance from a searching row or box to a box."""
+    x0, y0, x1, y1 = of
     return _NORMS[metric].format(
-        f"greatest(abs(_px - {b}.x0), abs(_px - {b}.x1))", f"greatest(abs(_py - {b}.y0), abs(_py - {b}.y1))"
+        f"greatest(0D, {b}.x0 - {x1}, {x0} - {b}.x1)", f"greatest(0D, {b}.y0 - {y1}, {y0} - {b}.y1)"
     )
 
 
+def box_high(b: str, metric: str = "euclidean", of: Sequence[str] = ROW) -> str:
+    """Largest distance from a searching row or box to a box: some feature is at most this far."""
+    x0, y0, x1, y1 = of
+    return _NORMS[metric].format(f"greatest({x1} - {b}.x0, {b}.x1 - {x0})", f"greatest({y1} - {b}.y0, {b}.y1 - {y0})")
+
+
 def met(rows: DataFrame, cells: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join of searching rows and cells by shuffles on both sides.
 
@@ -59,41 +66,47 @@ class Grid:
 
     def __init__(self, points: DataFrame, on: Sequence[str], sizes: list[float], fields: list[str]):
         self.points, self.on, self.sizes, self.fields = points, list(on), sizes, fields
+        self.last = len(sizes) - 1
+        self._written = None
 
-    def _keyed(self, level: int) -> DataFrame:
-        """Cell index at a level, derived from the finest index so levels nest exactly."""
-        fine, shift = f"{self.sizes[-1]!r}D", FAN ** (len(self.sizes) - 1 - level)
-        return self.points.selectExpr(
-            "*", f"floor(floor(_mx / {fine}) / {shift}) AS _cx", f"floor(floor(_my / {fine}) / {shift}) AS _cy"
-        )
+    def placed(self, rows: DataFrame, x: str, y: str, cx: str = "_cx", cy: str = "_cy") -> DataFrame:
+        """Rows with the index of their finest cell."""
+        fine = f"{self.sizes[-1]!r}D"
+        return rows.selectExpr("*", f"floor({x} / {fine}) AS {cx}", f"floor({y} / {fine}) AS {cy}")
+
+    def above(self, c: str) -> str:
+        """Index at ``_level`` of a finest index, so levels nest exactly."""
+        return f"shiftright({c}, {BITS} * ({self.last} - _level))"
 
     def leaves(self) -> DataFrame:
         """``on, cell -> _pts``: the features of every finest cell (at most a leaf's worth)."""
-        keyed = self._keyed(len(self.sizes) - 1)
-        return keyed.groupBy(*self.on, "_cx", "_cy").agg(
+        return self.placed(self.points, "_mx", "_my").groupBy(*self.on, "_cx", "_cy").agg(
             F.expr(f"collect_list(struct({', '.join(self.fields)})) AS _pts")
         )
 
     def children(self, level: int) -> DataFrame:
         """``on, cell at level -> boxes of its children`` (at most FAN squared)."""
-        up = self._boxes(level + 1).selectExpr(
-            *self.on, f"floor(_cx / {FAN}) AS _ux", f"floor(_cy / {FAN}) AS _uy", "_box"
+        up = self.boxes().filter(f"_level = {level + 1}").selectExpr(
+            *self.on, f"shiftright(_cx, {BITS}) AS _cx", f"shiftright(_cy, {BITS}) AS _cy", "_box"
         )
-        grouped = up.groupBy(*self.on, "_ux", "_uy").agg(F.expr("collect_list(_box) AS _boxes"))
-        return grouped.withColumnsRenamed({"_ux": "_cx", "_uy": "_cy"})
+        return up.groupBy(*self.on, "_cx", "_cy").agg(F.expr("collect_list(_box) AS _boxes"))
 
     def roots(self) -> DataFrame:
         """``on -> boxes of the coarsest cells`` (a handful, as they span the extent)."""
-        return self._boxes(0).groupBy(*self.on).agg(F.expr("collect_list(_box) AS _boxes"))
-
-    def _boxes(self, level: int) -> DataFrame:
-        boxes = self._keyed(level).groupBy(*self.on, "_cx", "_cy").agg(
-            F.expr("min(_x0) AS x0"), F.expr("min(_y0) AS y0"), F.expr("max(_x1) AS x1"),
-            F.expr("max(_y1) AS y1"), F.expr("sum(_w) AS w"),
-        )
-        return boxes.selectExpr(
-            "*", "named_struct('cx', _cx, 'cy', _cy, 'x0', x0, 'y0', y0, 'x1', x1, 'y1', y1, 'w', w) AS _box"
-        )
+        return self.boxes().filter("_level = 0").groupBy(*self.on).agg(F.expr("collect_list(_box) AS _boxes"))
+
+    def boxes(self) -> DataFrame:
+        """``on, _level, cell -> _box``: the box and weight of every cell, written once."""
+        if self._written is None:
+            around = [f"{f}({c}) AS {c}" for f, c in (("min", "_x0"), ("min", "_y0"), ("max", "_x1"), ("max", "_y1"), ("sum", "_w"))]
+            fine = self.placed(self.points, "_mx", "_my").groupBy(*self.on, "_cx", "_cy").agg(*map(F.expr, around))
+            levels = fine.selectExpr("*", f"explode(sequence(0, {self.last})) AS _level").withColumns(
+                {c: F.expr(self.above(c)) for c in ("_cx", "_cy")}
+            )
+            cells = levels.groupBy(*self.on, "_level", "_cx", "_cy").agg(*map(F.expr, around))
+            box = "named_struct('cx', _cx, 'cy', _cy, 'x0', _x0, 'y0', _y0, 'x1', _x1, 'y1', _y1, 'w', _w) AS _box"
+            self._written = cut_lineage(cells.selectExpr(*self.on, "_level", "_cx", "_cy", box), "cells")
+        return self._written
 
 
 def _searched(
@@ -136,69 +149,71 @@ def plan_sizes(points: DataFrame, on: Sequence[str], start: float | None, leaf:
     return sizes
 
 
-def around(rows: DataFrame, size: float, reach: float) -> DataFrame:
-    """Pair searching rows with the (at most four) cells their reach touches."""
-    span = "explode(sequence(floor(({0} - {1!r}D) / {2!r}D), floor(({0} + {1!r}D) / {2!r}D))) AS {3}"
-    return rows.selectExpr("*", span.format("_px", float(reach), size, "_cx")).selectExpr(
-        "*", span.format("_py", float(reach), size, "_cy")
+def around(rows: DataFrame, size: float, reach: float, of: Sequence[str] = ROW) -> DataFrame:
+    """Pair searching rows (boxes) with the at most four (nine) cells their reach touches."""
+    x0, y0, x1, y1 = of
+    span = "explode(sequence(floor(({0} - {1!r}D) / {2!r}D), floor(({3} + {1!r}D) / {2!r}D))) AS {4}"
+    return rows.selectExpr("*", span.format(x0, float(reach), size, x1, "_cx")).selectExpr(
+        "*", span.format(y0, float(reach), size, y1, "_cy")
     )
 
 
-def _capped(rows: DataFrame, grid: Grid, metric: str) -> DataFrame:
+def _capped(cells: DataFrame, grid: Grid, metric: str) -> DataFrame:
     """Tighten ``_cap``, a distance within which some feature is known to lie.
 
-    The searching row's own cell is looked up at every level: if it holds a feature, that
-    feature is no further than the far corner of the cell's box. Each lookup is a left join
-    to one row per cell.
+    A searching cell is looked up at every level, in one left join: if it or a cell above it
+    holds a feature, that feature is no further than the far corner of the box.
     """
-    fine = f"{grid.sizes[-1]!r}D"
-    for level in range(len(grid.sizes)):
-        shift = FAN ** (len(grid.sizes) - 1 - level)
-        own = grid._boxes(level).selectExpr(*grid.on, "_cx AS _ox", "_cy AS _oy", "_box AS _own")
-        placed = rows.selectExpr("*", f"floor(floor(_px / {fine}) / {shift}) AS _ox", f"floor(floor(_py / {fine}) / {shift}) AS _oy")
-        rows = (
-            met(placed, own, [*grid.on, "_ox", "_oy"], "left")
-            .selectExpr("*", f"least(_cap, {SLACK!r}D * {box_high('_own', metric)}) AS _new")
-            .drop("_cap", "_own", "_ox", "_oy")
-            .withColumnRenamed("_new", "_cap")
-        )
-    return rows
+    own = cells.selectExpr("*", f"explode(sequence(0, {grid.last})) AS _level").selectExpr(
+        "*", f"{grid.above('_ox')} AS _cx", f"{grid.above('_oy')} AS _cy"
+    )
+    looked = met(own, grid.boxes(), [*grid.on, "_level", "_cx", "_cy"], "left")
+    high = f"min({SLACK!r}D * {box_high('_box', metric, BOX)})"
+    return looked.groupBy(*grid.on, "_ox", "_oy", *BOX).agg(F.expr(f"least(min(_cap), {high}) AS _cap"))
 
 
-def _open(joined: DataFrame, metric: str) -> DataFrame:
+def _open(joined: DataFrame, metric: str, of: Sequence[str]) -> DataFrame:
     """One row per box that may hold something within ``_cap``.
 
     Every box holds a feature, so the boxes' own far corners bound the search as well: rows
     whose own cell is empty, or that lie outside all cells, open a few boxes only.
     """
-    nearest = f"array_min(transform(_boxes, b -> {box_high('b', metric)}))"
+    nearest = f"array_min(transform(_boxes, b -> {box_high('b', metric, of)}))"
     return (
         joined.selectExpr("*", f"least(_cap, {SLACK!r}D * {nearest}) AS _new")
         .drop("_cap")
         .withColumnRenamed("_new", "_cap")
         .selectExpr("*", "explode(_boxes) AS _box")
         .drop("_boxes")
-        .filter(f"{box_low('_box', metric)} <= _cap")
+        .filter(f"{box_low('_box', metric, of)} <= _cap")
         .selectExpr("*", "_box.cx AS _cx", "_box.cy AS _cy")
-        .drop("_box")
     )
 
 
 def _descend(slim: DataFrame, grid: Grid, reach: float | None, margin: float, metric: str) -> DataFrame:
-    """Walk searching rows down to the leaves worth opening."""
+    """Pair searching rows with the leaves worth opening.
+
+    The rows of a finest cell walk down as the box around them, so a level costs by cells that
+    search, however many rows they hold; every row then chooses among its cell's leaves.
+    """
     cap = "double('infinity')" if reach is None else f"{float(reach) * SLACK!r}D"
-    rows = slim.selectExpr("*", f"{cap} AS _cap")
-    if reach is None or len(grid.sizes) > 1:
-        rows = _capped(rows, grid, metric)
+    home = [*grid.on, "_ox", "_oy"]
+    rows = cut_lineage(grid.placed(slim.filter("NOT isnan(_px) AND NOT isnan(_py)"), "_px", "_py", "_ox", "_oy"), "searching")
+    corners = [F.expr(f"{f}({c}) AS {w}") for f, c, w in zip(("min", "min", "max", "max"), ROW, BOX)]
+    cells = rows.groupBy(*home).agg(*corners).selectExpr("*", f"{cap} AS _cap")
+    if reach is None or grid.last:
+        cells = _capped(cells, grid, metric)
     if reach is not None:
-        rows = around(rows, grid.sizes[0], (reach + margin) * SLACK)
+        cells = around(cells, grid.sizes[0], (reach + margin) * SLACK, BOX)
+        cells = met(cells, grid.boxes().filter("_level = 0").drop("_level"), [*grid.on, "_cx", "_cy"])
     elif grid.on:
-        rows = _open(met(rows, grid.roots(), grid.on), metric)
+        cells = _open(met(cells, grid.roots(), grid.on), metric, BOX)
     else:
-        rows = _open(rows.withColumn("_boxes", grid.roots().select("_boxes").scalar()), metric)
-    for level in range(len(grid.sizes) - 1):
-        rows = _open(met(rows, grid.children(level), [*grid.on, "_cx", "_cy"]).drop("_cx", "_cy"), metric)
-    return rows
+        cells = _open(cells.withColumn("_boxes", grid.roots().select("_boxes").scalar()), metric, BOX)
+    for level in range(grid.last):
+        cells = _open(met(cells.drop("_box"), grid.children(level), [*grid.on, "_cx", "_cy"]).drop("_cx", "_cy"), metric, BOX)
+    found = cells.groupBy(*home).agg(F.expr("collect_list(_box) AS _boxes"))
+    return _open(met(rows, found, home).selectExpr("*", f"{cap} AS _cap"), metric, ROW).drop("_ox", "_oy", "_box")
 
 
 def nearest_best(
@@ -214,16 +229,18 @@ def nearest_best(
     slim = left.filter("x IS NOT NULL AND y IS NOT NULL").selectExpr(
         *dict.fromkeys([*keys, *on]), "x AS _px", "y AS _py"
     )
-    entry = f"struct({', '.join(fields)}) AS _p"
+    listed = F.expr(f"collect_list(struct({', '.join(fields)})) AS _pts")
+    near = "true"
     if grid.sizes:
-        cells = _descend(slim, grid, reach, max_half, metric)
-        hits = met(cells, grid.leaves(), [*grid.on, "_cx", "_cy"]).selectExpr(*keys, "_px", "_py", "explode(_pts) AS _p")
+        found = met(_descend(slim, grid, reach, max_half, metric), grid.leaves(), [*grid.on, "_cx", "_cy"])
+        # Few entries of a list lie within the known bound (widened by rounding error), so few are grouped.
+        near = f"d <= _cap + {SLACK - 1!r}D * (abs(_px) + abs(_py) + _cap)"
     elif grid.on:
-        hits = met(slim, points.selectExpr(*on, entry), on)
+        # At most a leaf's worth of features in a group.
+        found = met(slim, points.groupBy(*on).agg(listed), on)
     else:
-        # At most a leaf's worth of features in all.
-        few = points.selectExpr(entry).agg(F.expr("collect_list(_p) AS _pts"))
-        hits = slim.withColumn("_pts", few.scalar()).selectExpr(*keys, "_px", "_py", "explode(_pts) AS _p")
+        found = slim.withColumn("_pts", points.agg(listed).scalar())
+    hits = found.selectExpr("*", "explode(_pts) AS _p").drop("_pts")
     if shape == "segment":
         dx, dy = "(_p.x2 - _p.x1)", "(_p.y2 - _p.y1)"
         squared = f"({dx} * {dx} + {dy} * {dy})"
@@ -235,7 +252,7 @@ def nearest_best(
         d = METRICS[metric].format("_px", "_py", f"(_p.x1 + _t * {dx})", f"(_p.y1 + _t * {dy})")
     else:
         d = METRICS[metric].format("_px", "_py", "_p.x", "_p.y")
-    scored = hits.selectExpr(*keys, f"{d} AS d", "_p")
+    scored = hits.selectExpr("*", f"{d} AS d").filter(near).selectExpr(*keys, "d", "_p")
     if reach is not None:
         scored = scored.filter(f"d <= {float(reach)!r}D")
     if payload:

@@ -196,7 +196,8 @@ def project_sites(t: Tables) -> DataFrame:
 SELECT s.kiln_id, {m_sql('d')} AS distance_m, feature_id FROM sites_xy s LEFT JOIN near n ON n.kiln_id = s.kiln_id AND n.layer = 'schools'""")
 def nearest_feature(t: Tables) -> DataFrame:
     schools = t.features_xy().filter("layer = 'schools'")
-    out = spatial.nearest(t.sites_xy(), schools, "kiln_id", ["feature_id"], ["district"])
+    sites = cut_lineage(t.sites_xy().select("kiln_id", "district", "x", "y"), "sites")
+    out = spatial.nearest(sites, schools, "kiln_id", ["feature_id"], ["district"])
     return out.select("kiln_id", metres(F.col("distance")).alias("distance_m"), "feature_id")
 
 

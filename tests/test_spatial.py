@@ -149,3 +149,22 @@ def test_circle_share_of_edges_equals_clipped_polygons():
     far = np.array([[[-9.0, -9], [9, -9], [9, 9], [-9, 9]], [[2, 2], [3, 2], [3, 3], [2, 3]], [[0, 0], [0, 0], [0, 0], [0, 0]]])
     share = overlap._disc_share(far.reshape(-1, 2), np.roll(far, -1, axis=1).reshape(-1, 2)).reshape(3, 4).sum(axis=1)
     assert np.abs(share - [overlap.CIRCLE_SIDES / 2 * np.sin(2 * np.pi / overlap.CIRCLE_SIDES), 0, 0]).max() < 1e-12
+
+
+@pytest.mark.parametrize("reach", [None, 60.0])
+def test_rows_of_a_cell_walk_as_one_box(spark, monkeypatch, reach):
+    rng = np.random.default_rng(7)
+    feats = rng.uniform(-500, 500, (300, 2))
+    rows = np.concatenate([rng.uniform(-1, 1, (1000, 2)) + spot for spot in ((30, -30), (-200, 480), (2000, 0))])
+    right = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(feats)], "fid int, x double, y double")
+    left = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rows)] + [(-1, float("nan"), 30.0)], "id int, x double, y double")
+    walked, step = [], spatial._open
+    monkeypatch.setattr(spatial, "_open", lambda joined, *args: walked.append(joined.count()) or step(joined, *args))
+    got = {r.id: r for r in spatial.nearest(left, right, "id", ["fid"], reach=reach, leaf=8).collect()}
+    # Only the last step, from a cell's leaves to the leaves of each row, is taken by rows.
+    assert len(walked) > 1 and max(walked[:-1]) < 300
+    d = np.hypot(*(rows[:, None] - feats[None]).transpose(2, 0, 1))
+    assert len(got) == 3001 and got[-1].distance is None
+    for i, near in enumerate(d):
+        want = near.argmin() if reach is None or near.min() <= reach else None
+        assert got[i].fid == want and (want is None or got[i].distance == pytest.approx(near[want], abs=1e-9))
