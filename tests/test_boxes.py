@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrasift.functions.overlap import convex_overlap, quad_iou
-from terrasift.operators import boxes, components
+from terrasift.operators import area, boxes, components
 from terrasift.operators.area import radius_area
 
 
@@ -152,6 +152,23 @@ def test_radius_area(spark):
         assert got[3] == pytest.approx((gon / 2 + 100 * 1995) / 1e6 + 0.0, rel=0.03)
 
 
+def test_circles_and_polygons_meet_inside_tasks(spark, monkeypatch):
+    """No row per circle and polygon; a crowded leaf's points come in shares."""
+    monkeypatch.setattr(area, "SHARE", 7)
+    rng = np.random.default_rng(11)
+    spots, homes = rng.uniform(0, 3000, (60, 2)), rng.uniform(0, 3000, (300, 2))
+    squares = homes[:, None] + 150 * np.array([[0, 0], [1, 0], [1, 1], [0, 1]])
+    sites = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(spots)] + [(-1, None, 1.0)], "id int, x double, y double")
+    polys = spark.createDataFrame([([(float(x), float(y)) for x, y in q],) for q in squares], "ring array<struct<x double, y double>>")
+    disc = 400 * np.stack([np.cos(2 * np.pi * np.arange(64) / 64), np.sin(2 * np.pi * np.arange(64) / 64)], axis=1)
+    want = {i: convex_overlap(squares, np.repeat((disc + p)[None], 300, axis=0)).sum() / 1e6 for i, p in enumerate(spots)} | {-1: 0.0}
+    for leaf in (20, 1024):
+        out = radius_area(sites, polys, "id", 400.0, "a", leaf)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+        assert {r.id: r.a for r in out.collect()} == pytest.approx(want, rel=1e-9)
+
+
 def test_concave_quads_match_a_raster():
     rng = np.random.default_rng(12)
     step = 0.02

@@ -168,3 +168,25 @@ def test_rows_of_a_cell_walk_as_one_box(spark, monkeypatch, reach):
     for i, near in enumerate(d):
         want = near.argmin() if reach is None or near.min() <= reach else None
         assert got[i].fid == want and (want is None or got[i].distance == pytest.approx(near[want], abs=1e-9))
+
+
+def test_corners_on_the_border_of_a_circle():
+    angle = 2 * np.pi * np.arange(overlap.CIRCLE_SIDES) / overlap.CIRCLE_SIDES
+    disc = np.stack([np.cos(angle), np.sin(angle)], axis=1)
+    rng = np.random.default_rng(6)
+    on = disc[np.stack([np.sort(rng.permutation(64)[:4]) for _ in range(400)])] * rng.choice([1.0, 1.0, 2.0, 0.5], (400, 1, 1))
+    snapped = np.round(rng.uniform(-2, 2, (400, 4, 2)) * 4) / 4
+    poly = np.concatenate([on, snapped])
+    poly = poly[overlap.is_convex(poly) & (np.abs(poly - np.roll(poly, 1, axis=1)).max(axis=2) > 0).all(axis=1)]
+    n, copies = len(poly), np.full(len(poly), 2.0)
+    boxes = np.stack([poly[..., 0].min(axis=1), poly[..., 1].min(axis=1), poly[..., 0].max(axis=1), poly[..., 1].max(axis=1)])
+    assert n > 300
+    for k in range(n):
+        areas = np.stack([overlap.polygon_area(poly[k:k + 1]) * 2, copies[:1]])
+        got = overlap.discs_overlap(np.zeros(1), np.zeros(1), 1.0, poly[k], np.array([4]), boxes[:, k:k + 1], areas)[0]
+        assert got == pytest.approx(2 * overlap.convex_overlap(poly[k:k + 1], disc[None])[0], abs=1e-11), poly[k]
+    x, y = rng.uniform(-2, 2, (2, 30))
+    got = overlap.discs_overlap(x, y, 0.7, poly.reshape(-1, 2), np.full(n, 4), boxes, np.stack([overlap.polygon_area(poly) * 2 / 0.49, copies]))
+    for i in range(30):
+        want = 2 * overlap.convex_overlap(poly, np.repeat(disc[None] * 0.7 + [x[i], y[i]], n, axis=0)).sum()
+        assert got[i] == pytest.approx(want, rel=1e-11)
