@@ -9,6 +9,9 @@ the edges of its own cell.
 
 Cells are squares with sides of a power of two on one common grid, so points, lines and polygons
 meet by equal cell numbers. A value on a grid line counts as lying just above it, everywhere.
+
+Where many polygons lie over each other, a search for the smallest record cuts crowded cells into
+quarters: under a polygon that holds a whole cell, larger records need no look (``thinned``).
 """
 
 from __future__ import annotations
@@ -20,49 +23,109 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrasift.operators.spatial import polygon_edges
+from terrasift.operators.spatial import EDGE_LIST, polygon_edges
 from terrasift.session import cut_lineage
 
 #: Edges of a border cell, and how often a cell may be halved; deeper piles share one corner.
 MOST, DEEPEST = 48, 40
+#: Border polygons of a cell that points go through one by one, how often crowded cells are quartered for
+#: fewer, and how many rows that may make of one.
+CROWD, QUARTERED, GROWN = 8, 6, 8
 
 EDGE = ("x1", "y1", "x2", "y2")
-# Edges crossed on the way from (ax, ay) along the row and then along the column to (bx, by).
+# Edges crossed on the way from (ax, ay) along the row and then along the column to (bx, by). Points lie a little
+# above their values, in x by far more than in y: what meets the column in its end goes by its slope.
 _ACROSS = "(y1 > {ay}) <> (y2 > {ay}) AND x1 + ({ay} - y1) / nullif(y2 - y1, 0D) * (x2 - x1) > least({ax}, {bx}) AND x1 + ({ay} - y1) / nullif(y2 - y1, 0D) * (x2 - x1) <= greatest({ax}, {bx})"
-_ALONG = "(x1 > {bx}) <> (x2 > {bx}) AND y1 + ({bx} - x1) / nullif(x2 - x1, 0D) * (y2 - y1) > least({ay}, {by}) AND y1 + ({bx} - x1) / nullif(x2 - x1, 0D) * (y2 - y1) <= greatest({ay}, {by})"
+_AT = "y1 + ({bx} - x1) / nullif(x2 - x1, 0D) * (y2 - y1)"
+_ALONG = f"(x1 > {{bx}}) <> (x2 > {{bx}}) AND if((y2 - y1) * (x2 - x1) <= 0, {_AT} > least({{ay}}, {{by}}) AND {_AT} <= greatest({{ay}}, {{by}}), {_AT} >= least({{ay}}, {{by}}) AND {_AT} < greatest({{ay}}, {{by}}))"
 
 
 def crossings(ax: str, ay: str, bx: str, by: str, edge: str = "") -> str:
     """Number of times ``edge`` is crossed between two points, as an expression."""
     both = f"(if({_ACROSS.format(ax=ax, ay=ay, bx=bx)}, 1, 0) + if({_ALONG.format(ay=ay, bx=bx, by=by)}, 1, 0))"
-    if edge:
-        for c in EDGE:
-            both = both.replace(c, f"{edge}.{c}")
-    return both
+    return _of(both, edge)
+
+
+def _of(expression: str, edge: str) -> str:
+    """``expression`` over the coordinates of the lambda variable ``edge``; empty: over columns."""
+    for c in EDGE if edge else ():
+        expression = expression.replace(c, f"{edge}.{c}")
+    return expression
 
 
 def _side(level: str = "_level") -> str:
     return f"pow(2D, {level})"
 
 
-def _touches() -> Column:
+def _touches(edge: str = "", cx: str = "_cx", cy: str = "_cy", level: str = "_level") -> str:
     """An edge's bounding box meets the cell, and the cell's corners do not all lie on one side of it."""
-    s = _side()
-    x, y = f"(_cx * {s})", f"(_cy * {s})"
+    s = _side(level)
+    x, y = f"({cx} * {s})", f"({cy} * {s})"
     side = [f"((x2 - x1) * ({y} + {j} * {s} - y1) - (y2 - y1) * ({x} + {i} * {s} - x1))" for i in (0, 1) for j in (0, 1)]
-    return F.expr(
+    return _of(
         f"greatest(x1, x2) >= {x} AND least(x1, x2) <= {x} + {s} AND greatest(y1, y2) >= {y} AND least(y1, y2) <= {y} + {s} "
-        f"AND least({', '.join(side)}) <= 0 AND greatest({', '.join(side)}) >= 0"
+        f"AND least({', '.join(side)}) <= 0 AND greatest({', '.join(side)}) >= 0", edge
+    )
+
+
+def _parts(rows: DataFrame, names: Sequence[str], numbers: str, level: str, inside: str, ox: str, oy: str) -> DataFrame:
+    """``names, _level, _cx, _cy, _inside, _edges``: ``rows`` put into the cells ``numbers`` (array<struct<cx, cy>>).
+
+    The cells' corners are reached from (ox, oy), which is inside or not; cells outside are left out.
+    """
+    s = _side(level)
+    crossed = f"aggregate(_edges, 0, (n, e) -> n + {crossings(ox, oy, f'(c.cx * {s})', f'(c.cy * {s})', 'e')})"
+    cell = (
+        f"named_struct('cx', c.cx, 'cy', c.cy, 'inside', {inside} <> ({crossed} % 2 = 1), "
+        f"'edges', filter(_edges, e -> {_touches('e', 'c.cx', 'c.cy', level)}))"
+    )
+    found = f"explode(filter(transform({numbers}, c -> {cell}), c -> c.inside OR size(c.edges) > 0)) AS _c"
+    return rows.selectExpr(*names, f"{level} AS _level", found).selectExpr(
+        *names, "_level", "_c.cx AS _cx", "_c.cy AS _cy", "_c.inside AS _inside", "_c.edges AS _edges"
     )
 
 
+def _roots(lists: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Index rows of polygons that need no halving, each from its own row ``keep, _edges``."""
+    bounds = [f"array_{f}(transform(_edges, e -> {g}(e.{c}1, e.{c}2))) AS {n}" for f, g, c, n in (("min", "least", "x", "_w"), ("max", "greatest", "x", "_e"), ("min", "least", "y", "_s"), ("max", "greatest", "y", "_n"))]
+    s = _side()
+    numbers = f"flatten(transform(sequence(floor(_w / {s}), floor(_e / {s})), i -> transform(sequence(floor(_s / {s}), floor(_n / {s})), j -> named_struct('cx', i, 'cy', j))))"
+    placed = lists.selectExpr(*keep, "_edges", *bounds).selectExpr("*", "cast(ceil(log2(greatest(_e - _w, _n - _s, 1e-9D))) AS int) AS _level")
+    return _parts(placed, keep, numbers, "_level", "false", "(_w - 1)", "(_s - 1)")
+
+
+def _quarters(index: DataFrame) -> DataFrame:
+    """Index rows of the four quarters of every cell."""
+    names = [c for c in index.columns if c not in ("_level", "_cx", "_cy", "_inside", "_edges")]
+    numbers = "array(" + ", ".join(f"named_struct('cx', 2 * _cx + {i}, 'cy', 2 * _cy + {j})" for i in (0, 1) for j in (0, 1)) + ")"
+    s = _side()
+    return _parts(index, names, numbers, "(_level - 1)", "_inside", f"(_cx * {s})", f"(_cy * {s})")
+
+
 def cells(polygons: DataFrame, keep: Sequence[str], most: int = MOST, deepest: int = DEEPEST) -> DataFrame:
     """(keep, _level, _cx, _cy, _inside, _edges): border cells with their edges, and cells wholly inside.
 
     ``_inside`` tells whether the lower left corner is inside. Rings may come in any direction.
     """
     keep = list(keep)
-    edges = polygon_edges(polygons, keep)
+    # Of the large ones, only the number of edges is taken here.
+    each = polygons.selectExpr(*keep, f"{EDGE_LIST} AS _e").selectExpr(*keep, "_e", "coalesce(array_size(_e), 0) AS _size")
+    lists = each.groupBy(*keep).agg(
+        F.sum("_size").alias("_many"), F.flatten(F.collect_list(F.when(F.col("_size") <= most, F.col("_e")))).alias("_edges")
+    )
+    lists = cut_lineage(lists.filter("_many > 0"), "polygon-lists")
+    small = _roots(lists.filter(F.col("_many") <= most), keep)
+    many = lists.filter(F.col("_many") > most)
+    if not many.isEmpty():
+        same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keep]
+        small = small.unionByName(_halved(polygons.alias("l").join(many.alias("r"), same, "left_semi"), keep, most, deepest))
+    return cut_lineage(small, "polygon-index")
+
+
+def _halved(polygons: DataFrame, keep: Sequence[str], most: int, deepest: int) -> DataFrame:
+    """Index rows of polygons of many edges, whose edges are rows until few share a cell."""
+    keep = list(keep)
+    edges = cut_lineage(polygon_edges(polygons, keep), "polygon-edges")
     box = edges.groupBy(*keep).agg(
         F.expr("min(least(x1, x2)) AS _w"), F.expr("max(greatest(x1, x2)) AS _e"), F.expr("min(least(y1, y2)) AS _s"), F.expr("max(greatest(y1, y2)) AS _n")
     )
@@ -81,7 +144,7 @@ def cells(polygons: DataFrame, keep: Sequence[str], most: int = MOST, deepest: i
     pairs = joined(tops, edges, same)
     state = ["_level", "_cx", "_cy"]
     here = pairs.groupBy(*keep, *state).agg(counted).selectExpr(*keep, *state, "_n % 2 = 1 AS _inside")
-    held = pairs.filter(_touches()).select(*keep, *state, *EDGE)
+    held = pairs.filter(F.expr(_touches())).select(*keep, *state, *EDGE)
     at_cell = [*same, *(F.col(f"l.{c}") == F.col(f"r.{c}") for c in state)]
     done: list[DataFrame] = []
     for _ in range(deepest):
@@ -98,7 +161,7 @@ def cells(polygons: DataFrame, keep: Sequence[str], most: int = MOST, deepest: i
         inner = joined(held, large.drop("_inside"), at_cell).selectExpr(*keep, *state, *EDGE, quarters).selectExpr(*keep, *corner, *child, *EDGE)
         way = inner.groupBy(*keep, *state).agg(counted)
         here = cut_lineage(joined(below, way, at_cell, "left").selectExpr(*keep, *state, "_up <> (coalesce(_n, 0) % 2 = 1) AS _inside"), "polygon-cells")
-        held = cut_lineage(inner.filter(_touches()).select(*keep, *state, *EDGE), "polygon-edges")
+        held = cut_lineage(inner.filter(F.expr(_touches())).select(*keep, *state, *EDGE), "polygon-edges")
     done.append((here, held))
     parts = []
     for areas, lines in done:
@@ -108,7 +171,43 @@ def cells(polygons: DataFrame, keep: Sequence[str], most: int = MOST, deepest: i
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return cut_lineage(out, "polygon-index")
+    return out
+
+
+def thinned(index: DataFrame, keep: Sequence[str], on: Sequence[str] = (), crowd: int = CROWD) -> DataFrame:
+    """``on, _level, _cx, _cy, _inside, _edges, _rec``: the index as far as a smallest record needs it.
+
+    A polygon that holds a whole cell hides all larger records there. Cells that leave more than
+    ``crowd`` border polygons to go through are quartered, so that more of the cell is held by some
+    polygon; this ends where it makes too many rows of few.
+    """
+    at = [*dict.fromkeys([*on, "_level", "_cx", "_cy"])]
+    rows = index.selectExpr(*at, "_inside", "_edges", f"struct({', '.join(keep)}) AS _rec")
+
+    def crowded(of: DataFrame) -> DataFrame:
+        return of.filter("size(_edges) > 0").groupBy(*at).agg(F.count(F.lit(1)).alias("_many")).filter(F.col("_many") > crowd)
+
+    large = cut_lineage(crowded(rows), "crowded")
+    if large.isEmpty():
+        return rows
+    # Copies of a polygon stay copies in every cell.
+    rows, first, step, done = rows.groupBy(*at, "_inside", "_edges").agg(F.min("_rec").alias("_rec")), 0, 0, None
+    while True:
+        rows = cut_lineage(rows, "cells")
+        held = cut_lineage(rows.filter("size(_edges) = 0").groupBy(*at).agg(F.min("_rec").alias("_least")), "held")
+        border = rows.filter("size(_edges) > 0").join(held, at, "left").filter("_least IS NULL OR _rec < _least").drop("_least")
+        whole = held.selectExpr(*at, "true AS _inside", "cast(array() AS array<struct<x1: double, y1: double, x2: double, y2: double>>) AS _edges", "_least AS _rec")
+        rows = cut_lineage(border.select(*rows.columns).unionByName(whole), "thinned")
+        large = cut_lineage(crowded(rows), "crowded")
+        n = large.agg(F.sum("_many")).first()[0] or 0
+        first = first or n
+        if not n or n > GROWN * first or step == QUARTERED:
+            return rows if done is None else done.unionByName(rows)
+        fine = rows.join(large, at, "left_anti")
+        done = fine if done is None else done.unionByName(fine)
+        rows, step = _quarters(rows.join(large.drop("_many"), at, "left_semi")), step + 1
+
+
 
 
 def levels(index: DataFrame) -> list[int]:
@@ -125,15 +224,14 @@ def containing(
     Without ``strict`` a point on an edge goes by the even-odd count of the edges to its right in
     its row, so that of two polygons with a common edge one holds it.
     """
-    used = levels(index)
+    index_ = thinned(index, keep, on)
+    used = levels(index_)
     if not used:
         return points.limit(0).selectExpr(key, *[f"CAST(NULL AS {t}) AS {c}" for c, t in index.select(*keep).dtypes]).selectExpr(key, f"struct({', '.join(keep)}) AS _hit")
     numbers = f"explode(array({', '.join(map(str, used))})) AS _level"
     keyed = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).selectExpr(
         *dict.fromkeys([key, *on]), f"cast({x} AS double) AS _px", f"cast({y} AS double) AS _py", numbers
     ).selectExpr("*", f"floor(_px / {_side()}) AS _cx", f"floor(_py / {_side()}) AS _cy")
-    # Extra columns of the index do not meet those of the points.
-    cells_ = index.selectExpr(*dict.fromkeys([*on, "_level", "_cx", "_cy"]), "_inside", "_edges", f"struct({', '.join(keep)}) AS _rec")
     s = _side()
     # Along the point's own row, so that an edge is left or right of it as in a count over all edges.
     count = f"aggregate(_edges, 0, (n, e) -> n + {crossings('_px', '_py', f'(_cx * {s})', f'(_cy * {s})', 'e')})"
@@ -142,7 +240,7 @@ def containing(
         "_px BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2) AND _py BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2))"
     )
     return (
-        keyed.join(cells_, [*on, "_level", "_cx", "_cy"])
+        keyed.join(index_, [*on, "_level", "_cx", "_cy"])
         .filter(f"(_inside <> ({count} % 2 = 1))" + (f" AND NOT {on_edge}" if strict else ""))
         .groupBy(key).agg(F.min("_rec").alias("_hit"))
     )

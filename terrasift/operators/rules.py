@@ -39,8 +39,9 @@ def nearest_by_layer(
         best = spatial.nearest_best(asked, edges, [key, "layer"], payload, ["scope", "layer"], shape="segment")
     else:
         index = areas.cells(polygons, ["scope", "layer", *payload])
+        drawn = ", ".join(f"'{r.layer}'" for r in index.select("layer").distinct().collect()) or "''"
         inside = areas.containing(
-            asked.withColumn("_ask", F.expr(f"struct({key}, layer)")), index, "_ask", list(payload), "x", "y", ["scope", "layer"],
+            asked.filter(f"layer IN ({drawn})").withColumn("_ask", F.expr(f"struct({key}, layer)")), index, "_ask", list(payload), "x", "y", ["scope", "layer"],
         ).selectExpr(f"_ask.{key} AS {key}", "_ask.layer AS layer", "named_struct('d', 0D, 'pay', _hit) AS _best")
         # Nothing is nearer than 0, so what lies inside has no need of a search among the edges.
         inside = cut_lineage(inside, "inside")

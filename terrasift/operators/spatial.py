@@ -331,15 +331,12 @@ def step_inside(rows: DataFrame, grid: Grid, level: int, inside: str, touched: s
     return cut, whole
 
 
+_EDGE = "named_struct('x1', r[i].x, 'y1', r[i].y, 'x2', r[(i + 1) % size(r)].x, 'y2', r[(i + 1) % size(r)].y)"
+#: The edges of ``rings`` that are not points, as an array.
+EDGE_LIST = f"filter(flatten(transform(rings, r -> transform(sequence(0, size(r) - 1), i -> {_EDGE}))), e -> e.x1 <> e.x2 OR e.y1 <> e.y2)"
+
+
 def polygon_edges(polygons: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Polygons (``rings``) as one row per edge ``x1, y1, x2, y2``."""
-    edge = (
-        "named_struct('x1', r[i].x, 'y1', r[i].y, 'x2', r[(i + 1) % size(r)].x, 'y2', r[(i + 1) % size(r)].y)"
-    )
-    per_ring = f"transform(rings, r -> transform(sequence(0, size(r) - 1), i -> {edge}))"
     names = [k.split(" AS ")[-1] for k in keep]
-    return (
-        polygons.selectExpr(*keep, f"explode(flatten({per_ring})) AS _e")
-        .selectExpr(*names, "_e.x1", "_e.y1", "_e.x2", "_e.y2")
-        .filter("x1 <> x2 OR y1 <> y2")
-    )
+    return polygons.selectExpr(*keep, f"explode({EDGE_LIST}) AS _e").selectExpr(*names, "_e.x1", "_e.y1", "_e.x2", "_e.y2")

@@ -93,3 +93,34 @@ def test_points_on_an_edge_go_by_the_even_odd_count(spark):
     shared = spark.createDataFrame([(0, 1.0, 0.5), (1, 1.0, 1.5), (2, 0.0, 0.0), (3, 2.0, 1.0)], "id int, lon double, lat double")
     got = polygons.point_in_polygon(shared, halves, "id", ["name"], strict=False).collect()
     assert {r.id: r.name for r in got} == {0: "right", 1: "right", 2: "left", 3: None}
+
+
+def test_polygons_under_a_smaller_record_are_not_looked_at(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    corners, sides = rng.uniform(0, 20, (600, 2)), rng.uniform(1, 6, (600, 1, 1))
+    squares = {f"{i:03d}": [q] for i, q in enumerate(corners[:, None] + sides * np.array([[0, 0], [1, 0], [1, 1], [0, 1]]))}
+    squares |= {f"{i + 600:03d}": squares["007"] for i in range(50)}
+    index = polygons.cells(frame(spark, squares), ["name"])
+    points = rng.uniform(-1, 27, (800, 2))
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(points)], "id int, lon double, lat double")
+    got = {r.id: r._hit.name for r in polygons.containing(df, index, "id", ["name"]).collect()}
+    want = {}
+    for name in sorted(squares, reverse=True):
+        want |= {int(i): name for i in np.flatnonzero(inside(squares[name], points))}
+    assert got == want and 400 < len(want) < 800
+
+    def pairs(of):
+        met = [np.floor(points / 2.0**level) for level in range(-6, 6)]
+        cells = {}
+        for r in of.collect():
+            cells[r._level, r._cx, r._cy] = cells.get((r._level, r._cx, r._cy), 0) + 1
+        return sum(cells.get((level, *c), 0) for level, m in zip(range(-6, 6), met) for c in m.astype(int).tolist())
+
+    assert pairs(polygons.thinned(index, ["name"])) < pairs(index) / 5
+    # Where nothing is hidden, quartering ends.
+    monkeypatch.setattr(polygons, "GROWN", 1)
+    slivers = {f"{i}": [np.array([[0, 0], [9, i], [9, i + 0.5]])] for i in range(40)}
+    index = polygons.cells(frame(spark, slivers), ["name"])
+    assert {r.id: r._hit.name for r in polygons.containing(df, index, "id", ["name"]).collect()} == {
+        int(i): name for name in sorted(slivers, reverse=True) for i in np.flatnonzero(inside(slivers[name], points))
+    }
